@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import cache
-from itertools import chain, pairwise
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from gridloom.llm.common import append_columns
 
 #: Entries that the memo tables may hold before they start afresh; they affect speed only.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -128,16 +129,19 @@ class ByteBpe:
     def __init__(self, tables: MergeTables, pattern: str):
         self._t = tables
         self._split = Splitter(pattern)
+        top = max(tables.tokens) + 1
         self._pairs = {halves: r for r, halves in tables.halves.items() if len(tables.tokens[r]) > 1}
-        self._length = {r: len(t) for r, t in tables.tokens.items()}
-        self._widest = max(self._length.values())
+        self._bytes = [tables.tokens.get(r, b"") for r in range(top)]
+        self._length = list(map(len, self._bytes))
+        self._shorter = [tables.shorter.get(r, -1) for r in range(top)]
+        self._widest = max(self._length)
         self._machine = ahocorasick.Automaton()
         for token, rank in tables.ranks.items():
             if rank not in tables.unreachable:
                 self._machine.add_word(token.decode("latin-1"), (len(token), rank))
         self._machine.make_automaton()
         self._fits = _Memo(self._compatible)
-        self._pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))))
+        self._pieces = _Memo(lambda piece: array("i", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes())
 
     def _compatible(self, pair: tuple[int, int]) -> bool:
         """Whether merging the bytes of both tokens leaves exactly these two: undo the later merge
@@ -172,30 +176,36 @@ class ByteBpe:
 
     def _backtrack(self, latin: str) -> list[int]:
         """The walk with backtracking; ``dead`` marks the ends from which no walk reaches the end of the piece."""
-        fits, shorter, length, longest = self._fits, self._t.shorter, self._length, self._machine.iter_long
-        n, at, out, widest = len(latin), 0, [], self._widest
+        fits, shorter, length, widest = self._fits, self._shorter, self._length, self._widest
+        longest, known = self._machine.iter_long, {}
+        n, at, out, last = len(latin), 0, [], -1
         dead = bytearray(n + 1)
-        token = next(longest(latin[:widest]))[1][1]
-        while at < n:
+        token = known[0] = next(longest(latin[:widest]))[1][1]
+        while True:
             end = at + length[token]
-            if not dead[end] and (not out or fits[out[-1], token]):
+            if not dead[end] and (last < 0 or fits[last, token]):
                 out.append(token)
-                at = end
-                if at < n:
-                    token = next(longest(latin[at : at + widest]))[1][1]
-            elif token in shorter:
+                if end == n:
+                    return out
+                at, last = end, token
+                token = known.get(at, -1)
+                if token < 0:
+                    token = known[at] = next(longest(latin[at : at + widest]))[1][1]
+            elif shorter[token] >= 0:
                 token = shorter[token]
             else:
                 dead[at] = 1
                 token = out.pop()
                 at -= length[token]
-        return out
+                last = out[-1] if out else -1
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self._pieces.__getitem__, self._split(text))))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._pieces.__getitem__, self._split(text))), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self._t.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self._bytes)):
+            raise ValueError("an id is outside the vocabulary")
+        return b"".join(map(self._bytes.__getitem__, ids.tolist()))
 
 
 _ready: dict[tuple, ByteBpe] = {}
@@ -227,10 +237,10 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
         codec = _codec(key, shared, pattern)
 
         def step(batch: pa.RecordBatch) -> list:
-            rows = [codec.encode(t) if t else [] for t in batch.column(at).to_pylist()]
+            rows = [codec.encode(t.as_py() or "") for t in batch.column(at)]
             offsets = np.zeros(len(rows) + 1, np.int32)
             np.cumsum([len(r) for r in rows], out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
             return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
         return step
@@ -247,7 +257,7 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", o
         codec = _codec(key, shared, pattern)
 
         def step(batch: pa.RecordBatch) -> list:
-            return [pa.array([None if r is None else codec.decode(r) for r in batch.column(at).to_pylist()], pa.binary())]
+            return [pa.array([codec.decode(r.values.to_numpy(zero_copy_only=False)) if r.is_valid else None for r in batch.column(at)], pa.binary())]
 
         return step
 
