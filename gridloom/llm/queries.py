@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import byte_bpe, line_dedup, mixing, secrets
+from gridloom.llm import byte_bpe, exact_topk, lang_id, line_dedup, mixing, secrets
 from gridloom.llm.common import table
 
 #: The vocabulary of the byte-level BPE query; any .tiktoken file of ranks will do.
@@ -27,6 +27,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.digests(table(spark, sf_dir, "embeddings"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tables = byte_bpe.share(docs, VOCABULARY)
@@ -38,10 +46,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
     "op4_line_dedup": op4_line_dedup,
+    "op5_lang_id": op5_lang_id,
+    "op8_exact_topk": op8_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op8_exact_topk": exact_topk.ORACLE,
 }
