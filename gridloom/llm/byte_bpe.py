@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from gridloom.llm.common import append_columns
 
 #: Entries that the memo tables may hold before they start afresh; they affect speed only.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -93,6 +93,9 @@ class MergeTables:
                     self.shorter[ranks[token]] = ranks[token[:n]]
                     break
 
+    def by_id(self) -> list[bytes]:
+        return [self.tokens.get(r, b"") for r in range(max(self.tokens) + 1)]
+
 
 @cache
 def _plane_ranges(prop: str) -> str:
@@ -129,9 +132,9 @@ class ByteBpe:
     def __init__(self, tables: MergeTables, pattern: str):
         self._t = tables
         self._split = Splitter(pattern)
-        top = max(tables.tokens) + 1
+        self._bytes = tables.by_id()
+        top = len(self._bytes)
         self._pairs = {halves: r for r, halves in tables.halves.items() if len(tables.tokens[r]) > 1}
-        self._bytes = [tables.tokens.get(r, b"") for r in range(top)]
         self._length = list(map(len, self._bytes))
         self._shorter = [tables.shorter.get(r, -1) for r in range(top)]
         self._widest = max(self._length)
@@ -203,9 +206,13 @@ class ByteBpe:
         return np.frombuffer(b"".join(map(self._pieces.__getitem__, self._split(text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self._bytes)):
-            raise ValueError("an id is outside the vocabulary")
-        return b"".join(map(self._bytes.__getitem__, ids.tolist()))
+        return join_tokens(self._bytes, ids)
+
+
+def join_tokens(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(tokens)):
+        raise ValueError("an id is outside the vocabulary")
+    return b"".join(map(tokens.__getitem__, ids.tolist()))
 
 
 _ready: dict[tuple, ByteBpe] = {}
@@ -248,16 +255,20 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text",
     return append_columns(df, [T.StructField(out_col, T.ArrayType(T.IntegerType()))], make)
 
 
-def decode(df: DataFrame, vocabulary: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded", tables=None) -> DataFrame:
+def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col`` (binary): the bytes of the ids. A null array gives null; an unknown id fails the task."""
-    shared = tables or share(df, vocabulary)
-    at, key = df.columns.index(ids_col), (vocabulary, pattern)
+    ranks = read_ranks(vocabulary)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    at = df.columns.index(ids_col)
 
     def make():
-        codec = _codec(key, shared, pattern)
+        known = shared.value
 
         def step(batch: pa.RecordBatch) -> list:
-            return [pa.array([codec.decode(r.values.to_numpy(zero_copy_only=False)) if r.is_valid else None for r in batch.column(at)], pa.binary())]
+            return [pa.array([join_tokens(known, r.values.to_numpy(zero_copy_only=False)) if r.is_valid else None for r in batch.column(at)], pa.binary())]
 
         return step
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.scratch import materialise  # noqa: F401
 from gridloom.session import ship
 
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -19,60 +17,11 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dirs: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    if shared := spark.conf.get("spark.checkpoint.dir", None):
-        return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="gridloom-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-    return f"file://{_own_dirs[app]}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table; at interpreter exit the JVM may be gone, which leaves nothing to do."""
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001
-        pass
-
-
-def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Writes ``df`` to a scratch Parquet table and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the table behind a frame from ``materialise`` that nothing will read again."""
-    _delete(df.sparkSession, df.scratch_path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the context cleaner drop shuffle files of finished jobs before the next large shuffle."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def without(df: DataFrame, names: list[str]) -> list[str]:
     """Columns of ``df`` whose names do not clash with ``names`` (Spark compares without case)."""
     low = {n.lower() for n in names}

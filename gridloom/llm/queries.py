@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import byte_bpe, exact_topk, lang_id, line_dedup, mixing, secrets
+from gridloom.llm import byte_bpe, exact_topk, lang_id, line_dedup, mixing, secrets, vector_dedup
 from gridloom.llm.common import table
 
 #: The vocabulary of the byte-level BPE query; any .tiktoken file of ranks will do.
@@ -31,15 +31,18 @@ def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.digests(table(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.digests(table(spark, sf_dir, "embeddings"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tables = byte_bpe.share(docs, VOCABULARY)
-    ids = byte_bpe.encode(docs, VOCABULARY, PATTERN, tables=tables).select("doc_id", "ids")
-    return byte_bpe.digests(byte_bpe.decode(ids, VOCABULARY, PATTERN, tables=tables))
+    ids = byte_bpe.encode(docs, VOCABULARY, PATTERN).select("doc_id", "ids")
+    return byte_bpe.digests(byte_bpe.decode(ids, VOCABULARY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -47,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_line_dedup": op4_line_dedup,
     "op5_lang_id": op5_lang_id,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_exact_topk": op8_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -54,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op7_vector_dedup": vector_dedup.ORACLE,
     "op8_exact_topk": exact_topk.ORACLE,
 }
