@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import byte_bpe, exact_topk, lang_id, line_dedup, mixing, secrets, vector_dedup
+from gridloom.llm import byte_bpe, exact_topk, hmm_lm, lang_id, line_dedup, mixing, secrets, vector_dedup
 from gridloom.llm.common import table
 
 #: The vocabulary of the byte-level BPE query; any .tiktoken file of ranks will do.
@@ -31,6 +31,10 @@ def op5_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.digests(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_line_dedup": op4_line_dedup,
     "op5_lang_id": op5_lang_id,
+    "op6_hmm_lm": op6_hmm_lm,
     "op7_vector_dedup": op7_vector_dedup,
     "op8_exact_topk": op8_exact_topk,
     "op10_byte_bpe": op10_byte_bpe,
