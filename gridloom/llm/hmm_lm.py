@@ -61,7 +61,9 @@ class Vocabulary:
     n: int
     v: int
     head: dict[bytes, tuple[int, int]]  # word -> class, count
-    class_mass: np.ndarray  # base probability of a class
+    class_mass: np.ndarray  # share of a class in the training tokens
+    seen_log: np.ndarray  # by class: log10 of what (count + SMOOTH) of a known word is multiplied with
+    unseen_log: np.ndarray  # by class: log10 probability that a word of the class was never seen
 
     @property
     def denominator(self) -> float:
@@ -78,16 +80,21 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     top = counts.orderBy(F.desc("c"), "token").limit(HEAD_WORDS).toArrow()
     words, c = top.column("token").to_pylist(), top.column("c").to_pylist()
     head = {w: (k if k < OWN_CLASSES else class_of(w), m) for k, (w, m) in enumerate(zip(words, c, strict=True))}
-    mass = np.zeros(OWN_CLASSES + SHARED_CLASSES)
-    hashed = counts.groupBy((F.crc32("token") % SHARED_CLASSES).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
+    total, kinds, once = (np.zeros(OWN_CLASSES + SHARED_CLASSES) for _ in range(3))
+    hashed = counts.groupBy((F.crc32("token") % SHARED_CLASSES).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == 1).alias("once"))
     for r in hashed.collect():
-        mass[OWN_CLASSES + r["k"]] = r["c"] + SMOOTH * r["n"]
+        at = OWN_CLASSES + r["k"]
+        total[at], kinds[at], once[at] = r["c"], r["n"], r["once"]
     for w, m in zip(words[:OWN_CLASSES], c[:OWN_CLASSES], strict=True):
-        mass[head[w][0]] = m + SMOOTH
-        mass[class_of(w)] -= m + SMOOTH
-    # the mass of unseen words, spread over the shared classes
-    mass[OWN_CLASSES:] = np.maximum(mass[OWN_CLASSES:], 0) + SMOOTH / SHARED_CLASSES
-    return Vocabulary(int(n), int(v), head, mass / (n + SMOOTH * (v + 1)))
+        total[head[w][0]] = m
+        for sums, less in ((total, m), (kinds, 1), (once, m == 1)):
+            sums[class_of(w)] -= less
+    # Good and Turing: words seen once tell how often an unseen one comes up; a class of one word has no others
+    unseen = np.where(np.arange(len(total)) < OWN_CLASSES, 0.0, (once + 1) / (total + once + 2))
+    with np.errstate(divide="ignore"):
+        seen_log = np.where(unseen > 0, np.log10(1 - unseen) - np.log10(np.maximum(total + SMOOTH * kinds, SMOOTH)), 0.0)
+        unseen_log = np.log10(unseen)
+    return Vocabulary(int(n), int(v), head, (total + 1) / (total + 1).sum(), seen_log, unseen_log)
 
 
 def coded(df: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
@@ -95,14 +102,16 @@ def coded(df: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(known)
     at = df.columns.index(text_col)
     keep = [i for i in range(len(df.columns)) if i != at]
-    fields = [T.StructField("classes", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_log", T.DoubleType()), T.StructField("tail", T.ArrayType(T.BinaryType()))]
+    fields = [T.StructField("classes", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_log", T.DoubleType()), T.StructField("head_within", T.DoubleType()), T.StructField("tail", T.ArrayType(T.BinaryType()))]
     schema = T.StructType([df.schema[i] for i in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = shared.value.head
-        log = np.log10(np.array([m for _, m in head.values()]) + SMOOTH).tolist()
-        number = {w: (k, x) for (w, (k, _)), x in zip(head.items(), log, strict=True)}
-        none = (-1, 0.0)
+        kinds = np.array([k for k, _ in head.values()], np.int64)
+        log = np.log10(np.array([m for _, m in head.values()]) + SMOOTH)
+        within = np.where(kinds < OWN_CLASSES, 0.0, log + shared.value.seen_log[kinds])
+        number = dict(zip(head, zip(kinds.tolist(), log.tolist(), within.tolist(), strict=True), strict=True))
+        none = (-1, 0.0, 0.0)
         for b in batches:
             for part in range(0, len(b), 500):
                 some = b.slice(part, 500)
@@ -114,10 +123,10 @@ def coded(df: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
                     classes = np.fromiter((g[0] for g in got), np.int16, len(got))
                     if tail:
                         classes[classes < 0] = [class_of(w) for w in tail]
-                    rows.append((classes.tobytes(), len(words), len(words) - len(tail), sum(g[1] for g in got), tail))
+                    rows.append((classes.tobytes(), len(words), len(words) - len(tail), sum(g[1] for g in got), sum(g[2] for g in got), tail))
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in keep), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
+                types = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in keep), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -287,32 +296,35 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     known = vocabulary(counts)
     codes = materialise(coded(docs, known, "text"), "lm-coded")
     model, _ = baum_welch(codes.filter(~F.col("held_out")), known.class_mass, rounds=rounds)
-    shared = df.sparkSession.sparkContext.broadcast((model, np.log10(known.class_mass)))
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hmm, log_mass = shared.value
+        hmm = shared.value
         for b in batches:
             texts = _texts(b.column("classes"))
             out = np.zeros(len(texts))
             for at, some in _grouped(texts):
-                out[at : at + len(some)] = hmm.log10_likelihoods(some) - [log_mass[x.astype(np.int64)].sum() for x in some]
+                out[at : at + len(some)] = hmm.log10_likelihoods(some)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out)], names=[*names, "latent"])
 
-    names = ["doc_id", "row_key", "held_out", "n_tokens", "head_known", "head_log", "n_tail"]
+    names = ["doc_id", "row_key", "held_out", "n_tokens", "head_known", "head_log", "head_within", "n_tail"]
     latent = codes.select(*names[:-1], F.size("tail").cast("long").alias("n_tail"), "classes").mapInArrow(run, T.StructType([*(codes.schema[n] for n in names[:-1]), T.StructField("n_tail", T.LongType()), T.StructField("latent", T.DoubleType())]))
     # equal rows repeat their words here; dividing by how often the words came undoes that
     words = codes.select("doc_id", "row_key", F.explode("tail").alias("token"))
-    joined = words.join(counts, "token", "left").groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("came"), F.count("c").alias("seen"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("logs"))
-    sums = joined.select(F.col("doc_id").alias("s_id"), F.col("row_key").alias("s_key"), "came", "seen", "logs")
-    all_log = F.col("head_log") + F.coalesce(F.col("logs") * F.col("n_tail") / F.col("came"), F.lit(0.0))
-    n_known = F.col("head_known") + F.coalesce(F.round(F.col("seen") * F.col("n_tail") / F.col("came")).cast("long"), F.lit(0))
+    by_class = F.pmod(F.crc32("token"), F.lit(SHARED_CLASSES)).cast("int") + 1
+    log_c = F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))
+    within = F.when(F.col("c").isNull(), F.element_at(F.lit(known.unseen_log[OWN_CLASSES:].tolist()), by_class)).otherwise(log_c + F.element_at(F.lit(known.seen_log[OWN_CLASSES:].tolist()), by_class))
+    joined = words.join(counts, "token", "left").groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("came"), F.count("c").alias("seen"), F.sum(log_c).alias("logs"), F.sum(within).alias("within"))
+    sums = joined.select(F.col("doc_id").alias("s_id"), F.col("row_key").alias("s_key"), "came", "seen", "logs", "within")
+    share = F.col("n_tail") / F.col("came")
+    all_log = F.col("head_log") + F.coalesce(F.col("logs") * share, F.lit(0.0))
+    n_known = F.col("head_known") + F.coalesce(F.round(F.col("seen") * share).cast("long"), F.lit(0))
     base = all_log - F.col("n_tokens") * F.lit(float(np.log10(known.denominator)))
-    unseen = F.col("n_tokens") - F.col("n_known")
     return (
         latent.join(sums, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row_key") == F.col("s_key")), "left")
         .withColumn("n_known", n_known)
         .withColumn("base_score", base)
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.n).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") - unseen * F.lit(float(np.log10(SHARED_CLASSES))) + F.col("latent")).alias("score"))
+        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.n).cast("long").alias("train_tokens"), "base_score", (F.col("latent") + F.col("head_within") + F.coalesce(F.col("within") * share, F.lit(0.0))).alias("score"))
     )
 
 
