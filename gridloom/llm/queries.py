@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import byte_bpe, exact_topk, hmm_lm, lang_id, line_dedup, mixing, secrets, vector_dedup
+from gridloom.llm import byte_bpe, exact_topk, hmm_lm, lang_id, line_dedup, mixing, pii, secrets, vector_dedup
 from gridloom.llm.common import table
 
 #: The vocabulary of the byte-level BPE query; any .tiktoken file of ranks will do.
@@ -23,6 +23,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
+    "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
     "op5_lang_id": op5_lang_id,
     "op6_hmm_lm": op6_hmm_lm,
