@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import byte_bpe, exact_topk, hmm_lm, lang_id, line_dedup, mixing, pii, secrets, vector_dedup
+from gridloom.llm import byte_bpe, exact_topk, hmm_lm, lang_id, line_dedup, minhash_dedup, mixing, pii, secrets, vector_dedup
 from gridloom.llm.common import table
 
 #: The vocabulary of the byte-level BPE query; any .tiktoken file of ranks will do.
@@ -47,6 +47,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.digests(table(spark, sf_dir, "embeddings"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = byte_bpe.encode(docs, VOCABULARY, PATTERN).select("doc_id", "ids")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hmm_lm": op6_hmm_lm,
     "op7_vector_dedup": op7_vector_dedup,
     "op8_exact_topk": op8_exact_topk,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
