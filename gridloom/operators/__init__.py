@@ -1,0 +1 @@
+"""Whole-table operators: DataFrames in, DataFrames out."""

@@ -1,0 +1 @@
+"""The stateless operators on streaming tables."""
