@@ -139,7 +139,7 @@ def digests(df: DataFrame) -> DataFrame:
 def mix(df: DataFrame, **options) -> DataFrame:
     """``df`` with every document as often as the mix takes it: not at all, once or up to ``epochs`` times."""
     shares = allocate(df, **options)
-    times = shares.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.expr("taken div size").alias("__times")).filter(F.col("__times") > 0)
+    times = shares.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.expr("taken div nullif(size, 0)").alias("__times")).filter(F.col("__times") > 0)
     # rows that repeat id, source and text are taken together: their times add up
     times = times.groupBy("__id", "__source", "__hash").agg(F.sum("__times").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
     source, ident, text = (F.col(quoted(options.get(k, v))) for k, v in (("source_col", "source"), ("id_col", "doc_id"), ("text_col", "text")))
