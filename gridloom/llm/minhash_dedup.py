@@ -311,14 +311,16 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         def partners(key, t):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(t), -1)
             node, comp = t.column("node").combine_chunks(), np.unique(np.array(t.column("component").to_pylist(), object), return_inverse=True)[1]
+            # of a pair of components one is not the largest, so members of that one need not ask
+            asking = np.flatnonzero(comp != np.bincount(comp).argmax())
             found = []
-            for at in range(0, len(sig), 64):
-                share = np.mean(sig[at : at + 64, None, :] == sig[None, :, :], axis=2) if len(sig) <= 256 else np.stack([(sig[i] == sig).mean(1) for i in range(at, min(at + 64, len(sig)))])
-                share[comp[at : at + 64, None] == comp[None, :]] = 0
-                best = np.argsort(-share, axis=1, kind="stable")[:, :PARTNERS]
-                i, j = np.nonzero(np.take_along_axis(share, best, 1) >= PROMISING)
-                found.append(np.stack([i + at, best[i, j]], 1))
-            i, j = (np.concatenate(found).T) if found else np.zeros((2, 0), np.int64)
+            for at in asking:
+                share = (sig == sig[at]).mean(1)
+                share[comp == comp[at]] = 0
+                best = np.argsort(-share, kind="stable")[:PARTNERS]
+                best = best[share[best] >= PROMISING]
+                found.append(np.stack([np.full(len(best), at), best], 1))
+            i, j = np.concatenate(found).T if found else np.zeros((2, 0), np.int64)
             a, b = (node.take(pa.array(x)) for x in (i, j))
             return pa.table({"a": a, "b": b})
 
