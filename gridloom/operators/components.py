@@ -18,18 +18,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     named = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     named = materialise(named, "cc-input")
-    labels = materialise(named.select(F.col("a").alias("id")).union(named.select("b")).distinct().withColumn("component", F.col("id")), "cc-labels")
+    labels = named.select(F.col("a").alias("id")).union(named.select("b")).distinct().withColumn("component", F.col("id"))
     live = named.filter(F.col("a") != F.col("b"))
     while True:
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
+        up = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p")), "cc-up")
+        if up.isEmpty():
+            return materialise(labels, "cc-labels")
         for _ in range(2):
-            up = materialise(up, "cc-up")
             above = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
             up = up.join(above, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
         up = materialise(up, "cc-up")
-        if up.isEmpty():
-            return labels
-        labels = materialise(labels.join(up.select(F.col("a").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "cc-labels")
+        # the maps of all rounds are applied one after another in a single job at the end
+        labels = labels.join(up.select(F.col("a").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
         ends = live.join(up, "a").select(F.col("p").alias("x"), F.col("b").alias("a")).join(up, "a").select(F.col("x").alias("a"), F.col("p").alias("b"))
         live = materialise(ends.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-live")

