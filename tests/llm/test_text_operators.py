@@ -1,0 +1,360 @@
+"""The text operators against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from gridloom.llm import byte_bpe, hmm_lm, lang_id, line_dedup, minhash_dedup, mixing, pii, secrets
+from gridloom.llm.queries import ORACLES, QUERIES
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns whose names clash with what the operators add.
+EXTRA = {"ids": 1, "Size": "x", "taken": 2, "secret_spans": 3, "LANG_PRED": 4, "n_lines": 5, "kept": 6, "row_key": 7, "node": 8}
+CASES = [
+    (1, None, "en", "a", 0), (2, "", None, None, 0), (3, "same line\nother", "en", "a", 0), (4, "  SAME LINE \nx\n\n", "en", "b", 0),
+    (4, "  SAME LINE \nx\n\n", "en", "b", 0), (None, "no id at all", None, "a", 0), (5, "é😀 ñ " * 3000, "es", None, 0), (6, "\t\n ", "en", "", 0), (7, "word " * 5000 + "end", "en", "a", 0),
+]
+
+
+def cases(spark, extra=True):
+    df = spark.createDataFrame(CASES, SCHEMA)
+    return df.withColumns({k: F.lit(v) for k, v in EXTRA.items()}) if extra else df
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+# ---- byte-level BPE --------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library():
+    ranks = byte_bpe.read_ranks(VOCABULARY)
+    codec = byte_bpe.ByteBpe(byte_bpe.MergeTables(ranks), public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(1)
+    alphabets = ["ab", "abcde ", "etaoin shrdlu", "é中аab😀 ", "   \n\t x\x1c\x85 ", "0123a'sdtll ", "".join(map(chr, range(0x20, 0x250)))]
+    texts = ["".join(rng.choices(rng.choice(alphabets), k=rng.randrange(120))) for _ in range(1500)] + ["a" * 5000, "ab" * 3000, "ñandú " * 500]
+    for t in texts:
+        ids = codec.encode(t)
+        assert ids.tolist() == library.encode_ordinary(t)
+        assert codec.decode(ids) == t.encode()
+
+
+def test_bpe_query(spark):
+    docs = cases(spark)
+    out = byte_bpe.decode(byte_bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
+    assert set(EXTRA) - {"ids"} <= set(out.columns) and out.columns.count("ids") == 1
+    rows = out.collect()
+    assert len(rows) == len(CASES) and all(bytes(r.decoded) == (r.text or "").encode() for r in rows)
+    assert byte_bpe.encode(empty(spark), VOCABULARY, public_tokenizers.PATTERN).count() == 0
+
+
+# ---- mixing ----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op1_mixing", "op4_line_dedup", "op7_vector_dedup", "op8_exact_topk"])
+def test_sql_oracles(spark, name):
+    from oracle import SF, agree
+
+    agree(QUERIES[name](spark, SF), ORACLES[name])
+
+
+def test_mix_respects_targets(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join("w" * rng.randrange(1, 6) for _ in range(rng.randrange(40))), "en", rng.choice(["a", "a", "a", "b", "c", None]), 0) for k in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.allocate(df).collect()
+    total, by = sum(r["size"] for r in got), defaultdict(list)
+    for r in got:
+        assert r.taken in (0, r["size"], 2 * r["size"])
+        by[r.source].append(r)
+    assert abs(sum(r.target for rs in by.values() for r in rs[:1]) - 1.5 * total) < 1e-6
+    for rs in by.values():
+        assert abs(sum(r.taken for r in rs) - rs[0].target) <= 2 * 40 + 1
+        assert rs[0].target <= 2 * rs[0].source_size + 1e-9
+    mixed = mixing.mix(df).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in mixed} == {r.doc_id: r.taken // r["size"] for r in got if r.taken}
+    assert sorted(map(str, mixing.allocate(df).collect())) == sorted(map(str, got))
+
+
+def test_mix_edge_cases(spark):
+    rows = mixing.allocate(cases(spark)).collect()
+    assert len(rows) == len(CASES) and sum(r.taken for r in rows if r["size"] == 0) == 0
+    assert mixing.allocate(empty(spark)).count() == 0
+    assert mixing.mix(cases(spark)).columns == cases(spark).columns
+
+
+# ---- secrets ---------------------------------------------------------------------------------------------------
+
+_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute_secrets(t):
+    out = [(0, m.start(), m.end()) for m in _ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [(1, m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(2, m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(out, key=lambda s: (s[1], s[0]))
+
+
+def test_base_secrets_equal_brute_force():
+    rng = random.Random(3)
+    bits = ["password", "Token", "api_key", "APIKEY=", ": ", "=", '"', "AKIA", "ABCD1234", "0123456789abcdef", "é", " ", "\n", "secret:token:", "deadbeef", "x"]
+    for _ in range(3000):
+        t = "".join(rng.choices(bits, k=rng.randrange(25)))
+        assert secrets.base_spans(t) == brute_secrets(t)
+
+
+def test_weak_parts_need_company():
+    key = "aB3dE5gH7jK9mN1pQ3sT5vX7"
+    kinds = lambda t: [secrets.KINDS[k] for k, _, _ in secrets.scan_text(t)[1]]
+    assert kinds(f"random {key} text") == []
+    assert kinds("user: someone here") == []
+    assert kinds(f"user: someone key {key}") == ["ident", "key"]
+    assert kinds(f"user: someone key {key} https://host.example/x") == ["ident", "key", "endpoint"]
+    assert kinds(f"user: someone\n\nkey {key}") == []
+    assert kinds("user: someone " + "x " * 200 + key) == []
+
+
+def test_secrets_edge_cases(spark):
+    rows = secrets.digests(cases(spark)).collect()
+    assert len(rows) == len(CASES) and {r.base_sha256 for r in rows} == {sha("")}
+    assert secrets.digests(empty(spark)).count() == 0
+
+
+# ---- personal data ---------------------------------------------------------------------------------------------
+
+
+def luhn(d):
+    doubled = [int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d))]
+    return sum(doubled) % 10 == 0
+
+
+def brute_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    found = lambda p: [(m[0], m.start(), m.end()) for m in re.finditer(p, t)]
+    out = [("email", s, e) for _, s, e in found(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")]
+    out += [("ip", s, e) for m, s, e in found(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)") if all(int(p) <= 255 for p in m.split("."))]
+    out += [("card", s, e) for m, s, e in found(r"[0-9]([\x20-]?[0-9])+") if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    return out + [("phone", s, e) for m, s, e in found(r"\+[0-9][\x20().0-9-]+[0-9]") if 9 <= len(digits(m)) <= 15]
+
+
+def test_base_pii_equals_brute_force(spark):
+    rng = random.Random(5)
+    bits = ["1234567890", "a@b.", "+1 ()-", "é ", "😀x", "4111 1111 1111 1111 ", "1.2.3.4 ", "300.1.1.1.2", "a@b.c_d@e.f", "+1 (555) 123-4567 "]
+    texts = ["".join(rng.choice(rng.choice(bits)) if rng.random() < 0.5 else rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(1500)] + [None, "", "1.2.3.4 " * 700]
+    got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        want = brute_pii(t or "")
+        assert got[k].base_sha256 == sha(",".join(f"{a}:{s}:{e}" for a, s, e in want))
+        assert (got[k].n_email, got[k].n_phone) == tuple(sum(w[0] == kind for w in want) for kind in ("email", "phone"))
+
+
+def test_contexts_discover_unseen_identifiers(spark):
+    rows = [(k, f"please mail person{k}@example{k}.com now") for k in range(40)] + [(99, "please mail person99 (at) home"), (100, "nothing to see"), (101, "odd thing x12345 here")]
+    rows += [(200, "please mail person-200-home today")]
+    got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200] == "id:12:27" and got[99] == "id:12:20"
+    assert got[100] == got[101] == ""
+
+
+def test_pii_edge_cases(spark):
+    assert pii.digests(cases(spark)).count() == len(CASES)
+    assert pii.digests(empty(spark)).count() == 0
+
+
+# ---- lines -----------------------------------------------------------------------------------------------------
+
+
+def line_key(line):
+    return line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+
+
+def test_frequent_lines_equal_brute_force(spark):
+    rng = random.Random(6)
+    pool = [f"Line {k}" for k in range(30)] + ["", "  ", "\tLINE 1 ", "É", "é"]
+    rows = [(k, "\n".join(rng.choices(pool, weights=[20] * 5 + [1] * 30, k=rng.randrange(1, 30)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = defaultdict(set)
+    for k, t in rows:
+        for line in t.split("\n"):
+            seen[line_key(line)].add(k)
+    got = {r.doc_id: r for r in line_dedup.digests(docs).collect()}
+    for k, t in rows:
+        kept = [x for x in t.split("\n") if not (line_key(x) and len(seen[line_key(x)]) >= 10)]
+        assert got[k].kept_sha256 == sha("\n".join(kept)) and got[k].n_dropped == len(t.split("\n")) - len(kept)
+
+
+def test_first_occurrences_stay(spark):
+    rows = [(k, f"shared\nown {k}\nshared") for k in range(25)]
+    out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=1, keep_first=True)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[0] == "shared\nown 0" and all(got[k] == f"own {k}" for k in range(1, 25))
+
+
+def test_line_edge_cases(spark):
+    out = line_dedup.deduplicate(cases(spark), min_docs=2)
+    got = sorted(((r.doc_id or 0), r.text or "", r.n_dropped) for r in out.collect())
+    # the repeated row is one document; document 3 has the same line
+    assert [g for g in got if g[0] == 4] == [(4, "x\n\n", 1)] * 2 and (3, "other", 1) in got
+    assert len(got) == len(CASES)
+    assert line_dedup.digests(empty(spark)).count() == 0
+
+
+# ---- languages -------------------------------------------------------------------------------------------------
+
+
+def test_language_accuracy_on_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = lang_id.digests(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = out[out.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.97
+    assert out.score.between(0, 1).all()
+
+
+def test_language_model_is_a_distribution():
+    import numpy as np
+
+    texts = ["abab abba baab", "bbaa abab"]
+    parts = [lang_id.letter_codes(t) for t in texts]
+    rows = np.vstack([np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(lang_id.ORDER - 2, np.uint32), p + 1], lang_id.ORDER) for p in parts])
+    grams, counts = np.unique(rows, axis=0, return_counts=True)
+    model = lang_id.fit(["xx"], grams, counts[:, None], {})
+    letters, unseen = "ab ", 1000 + 3
+    total = 0.0
+    for c in letters:
+        bits = model._sum([np.array([ord(x) for x in " ab" + c], np.uint32)], np.array([3]))[0, 0]
+        prefix = model._sum([np.array([ord(x) for x in " ab"], np.uint32)], np.array([2]))[0, 0]
+        total += 2 ** (prefix - bits)
+    other = model._sum([np.array([ord(x) for x in " abq"], np.uint32)], np.array([3]))[0, 0] - model._sum([np.array([ord(x) for x in " ab"], np.uint32)], np.array([2]))[0, 0]
+    assert total + (unseen - 3) * 2**-other == pytest.approx(1.0, abs=1e-4)
+
+
+def test_language_edge_cases(spark):
+    model = lang_id.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    got = lang_id.classify(cases(spark), model).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(CASES)
+    assert [(by[k]["lang_pred"], by[k].lang_score, by[k].lang_accepted) for k in (1, 2, 6)] == [("und", 0.0, False)] * 3
+    junk = spark.createDataFrame([(1, "xqzjv kqxzw vvkjq zzxqj " * 40)], "doc_id long, text string")
+    assert not lang_id.classify(junk, model).first().lang_accepted
+    assert lang_id.digests(empty(spark)).count() == 0
+
+
+# ---- hidden Markov model ---------------------------------------------------------------------------------------
+
+
+def test_hmm_scores(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    out = hmm_lm.digests(docs).toPandas().sort_values("doc_id")
+    rows = sorted(map(tuple, docs.collect()))
+    words = [(t or "").encode().lower().split() + [b""] for _, t in rows]
+    held = [zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in rows]
+    c = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
+    n, d = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
+    assert out.held_out.tolist() == held and out.train_tokens.tolist() == [n] * len(rows)
+    assert out.n_tokens.tolist() == [len(w) for w in words] and out.n_known.tolist() == [sum(c[x] > 0 for x in w) for w in words]
+    assert out.base_score.tolist() == pytest.approx([sum(math.log10((c[x] + 0.1) / d) for x in w) for w in words])
+    assert out[out.held_out].score.sum() > out[out.held_out].base_score.sum()
+
+
+def test_hmm_recursions():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    mass = rng.dirichlet(np.ones(40))
+    model = hmm_lm.Hmm.initial(mass, 3)
+
+    def naive(x):
+        a = model.start * model.emit[x[0]]
+        for k in x[1:]:
+            a = (a @ model.move) * model.emit[k]
+        return math.log10(a.sum())
+
+    texts = [rng.integers(0, 40, k).astype(np.int16) for k in (1, 2, 31, 32, 33, 34, 64, 65, 120)]
+    assert model.log10_likelihoods(texts) == pytest.approx([naive(x) for x in texts])
+    assert model.log10_likelihoods([np.zeros(60_000, np.int16)])[0] < -1000
+    likely = []
+    short = [x[:50] for x in texts]
+    for _ in range(6):
+        *sums, total = model.expected(short)
+        likely.append(total)
+        model = model.update(*sums, mass, prior=1e-9)
+    assert all(b >= a - 0.6 for a, b in zip(likely, likely[1:], strict=False)) and likely[-1] > likely[0]
+
+
+def test_hmm_edge_cases(spark):
+    rows = hmm_lm.digests(cases(spark)).collect()
+    twice = [r for r in rows if r.doc_id == 4]
+    assert len(rows) == len(CASES) and twice[0] == twice[1]
+    assert all(r.n_tokens == 1 for r in rows if r.doc_id in (1, 2, 6))
+    assert hmm_lm.digests(empty(spark)).count() == 0
+
+
+# ---- near duplicates -------------------------------------------------------------------------------------------
+
+
+def five_words(t):
+    w = t.encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_classes_hold_all_plain_links(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    rows = []
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=rng.randrange(30, 160))
+        for _ in range(rng.choice([1, 1, 2, 6])):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: five_words(t) for k, t in rows}
+    for a in sets:
+        for b in range(a):
+            similarity = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if similarity >= 0.8:
+                assert got[a] == got[b]
+            if similarity == 0 and got[a] == got[b]:
+                # only through others
+                assert any(len(sets[a] & sets[c]) / len(sets[a] | sets[c]) > 0.6 for c in sets if c != a)
+
+
+def test_consistent_sampling_estimates_similarity():
+    import numpy as np
+
+    tables = minhash_dedup._random_tables()
+    rng = np.random.default_rng(1)
+    h = np.sort(rng.choice(1 << 32, 1300, replace=False).astype(np.uint32))
+    w = rng.uniform(1, 2, 1300).astype(np.float32)
+    a, b = np.arange(0, 1000), np.arange(150, 1300)
+    doc = np.r_[np.zeros(len(a), int), np.ones(len(b), int)]
+    agree = []
+    for seed in range(30):
+        x = minhash_dedup._mix(h.astype(np.uint64) + np.uint64(seed)).astype(np.uint32)
+        sig = minhash_dedup.samples(doc, np.r_[x[a], x[b]], np.log(np.r_[w[a], w[b]]), 2, tables)
+        agree.append((sig[0] == sig[1]).mean())
+    true = minhash_dedup.weighted_jaccard(h[a], w[a], h[b], w[b])
+    assert abs(np.mean(agree) - true) < 0.03
+
+
+def test_near_duplicate_edge_cases(spark):
+    got = sorted(((r.doc_id or -1), r.class_id, r.kept) for r in minhash_dedup.classes(cases(spark)).collect())
+    assert len(got) == len(CASES) and [g for g in got if g[0] in (1, 2, 6)] == [(1, 1, True), (2, 2, True), (6, 6, True)]
+    assert minhash_dedup.deduplicate(cases(spark)).filter("doc_id = 4").count() == 1
+    assert minhash_dedup.classes(empty(spark)).count() == 0
