@@ -21,6 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from gridloom.llm.common import materialise, quoted
 
@@ -118,8 +119,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     q_blocks = [r[0] for r in q.select("q_block").distinct().collect()]  # one number per block of queries
     if not q_blocks:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    met = va.withColumn("q_block", F.explode(F.array(*(F.lit(int(x)).cast("long") for x in q_blocks)))) if len(q_blocks) <= 64 else va.withColumn("q_block", F.explode(F.lit([int(x) for x in q_blocks]).cast("array<long>")))
-    on = (met["q_block"] == q["q_block"]) & (met["dim"] == q["q_dim"])
+    met = va.withColumn("q_block", F.explode(F.lit([int(x) for x in q_blocks]).cast("array<long>")))
 
     def meet(columns: list[str], extra: DataFrame | None = None) -> DataFrame:
         out = met.select("block", "dim", "n", "q_block", *columns).join(q.withColumnRenamed("q_block", "qb"), (F.col("q_block") == F.col("qb")) & (F.col("dim") == F.col("q_dim")))
@@ -137,8 +137,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, top.shape[1])), pa.array(np.full(top.size, r["dim"], np.int32)), pa.array(np.full(top.size, r["q_block"], np.int64)), pa.array(top.ravel())], names=["query_id", "dim", "q_block", "low"])
 
     lows = meet(["ids", "codes", "borders"]).mapInArrow(lower, "query_id long, dim int, q_block long, low double")
-    # k values a query and block: folded in a sorted array of k
-    floors = lows.groupBy("query_id", "dim", "q_block").agg(F.collect_list("low").alias("lows")).select("query_id", "dim", "q_block", F.element_at(F.sort_array("lows", asc=False), F.least(F.size("lows"), F.lit(k))).alias("floor"), (F.size("lows") >= k).alias("full"))
+    # the window keeps k rows a query and task before the shuffle
+    best = Window.partitionBy("query_id", "dim", "q_block").orderBy(F.desc("low"))
+    floors = lows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).groupBy("query_id", "dim", "q_block").agg(F.min("low").alias("floor"), (F.count(F.lit(1)) >= k).alias("full"))
     floors = floors.groupBy("q_block", "dim").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.when(F.col("full"), F.col("floor")).otherwise(F.lit(float("-inf"))).alias("floor")))).alias("floors"))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +165,6 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
                 cols = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-    from pyspark.sql.window import Window
-
     found = meet(["ids", "codes", "borders", "data"], floors).mapInArrow(refine, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
