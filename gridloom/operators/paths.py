@@ -6,11 +6,15 @@ Each function takes and returns points as Python lists; ``per_object`` runs them
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 Point = tuple[float, float]
 
@@ -201,22 +205,31 @@ def svg(path: list[Point], close: bool = True, dx: float = 0, dy: float = 0, pre
 def per_object(df: DataFrame, key: str, work: Callable[[list[tuple]], list[tuple]], columns: list[str], schema: str) -> DataFrame:
     """Applies ``work`` to the rows of each object, in the order of ``columns``; it returns rows without the key.
 
-    An object has to fit into one task, as an image or a path does; objects spread over the cluster.
+    An object has to fit into one task, as an image or a path does; objects spread over the cluster. Rows arrive
+    sorted, so a task streams through its objects and holds one at a time.
     """
-    names = [p.split()[0] for p in schema.split(",")]
-
-    def run(group, table):
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in columns), strict=True))
-        out = [(group[0].as_py(), *r) for r in work(rows)]
-        cols = list(zip(*out, strict=True)) or [[] for _ in range(len(names) + 1)]
-        return pa.table({n: pa.array(list(c), t) for n, c, t in zip([key, *names], cols, types, strict=True)})
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
     whole = f"{key} {df.schema[key].dataType.simpleString()}, {schema}"
-    types = [to_arrow_type(f.dataType) for f in _parse_datatype_string(whole).fields]
-    return df.groupBy(key).applyInArrow(run, whole)
+    fields = _parse_datatype_string(whole).fields
+    names, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for k, group in groupby(objects(batches), key=lambda r: r[0]):
+            out += ((k, *r) for r in work([r[1:] for r in group]))
+            if len(out) >= 10_000:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    return df.select(key, *columns).repartition(F.col(key)).sortWithinPartitions(key, *columns).mapInArrow(run, whole)
 
 
 def outlines(bits: DataFrame, simplified: bool = True) -> DataFrame:
