@@ -101,7 +101,9 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([lines.schema[c] for c in _OCCURRENCE] + [T.StructField("pending", T.BooleanType())])
     seen = materialise(spread.select(*_OCCURRENCE).mapInArrow(_stream(min_docs, keep_first), schema), "line-runs")
     edges = seen.filter("pending")
-    totals = edges.groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc_id", "text_hash")).alias("docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")).filter(F.col("docs") >= min_docs)
+    # by document first: then a hot line is one row a task when its documents are counted
+    by_doc = edges.groupBy("h1", "h2", "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
+    totals = by_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")).filter(F.col("docs") >= min_docs)
     decided = edges.join(totals, ["h1", "h2"])
     if keep_first:
         decided = decided.filter(F.struct("doc_id", "text_hash", "pos") != F.col("first"))
