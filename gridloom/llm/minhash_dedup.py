@@ -8,7 +8,8 @@ samples make buckets, and pairs from a bucket are verified on their full shingle
 
 Exact copies are gathered first. Of a bucket, only pairs with its two leaders are verified at once, so their number is
 linear in its size however large a group of copies is. What that leaves apart in a common bucket is compared by
-samples, and the best partners of each text are verified, round by round, until a round joins nothing more.
+samples: first the best partners of each text are verified, as they join most, and then every promising pair
+that is still apart. Large buckets are cut into parts, and every part meets every other.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 #: The sketch: rows and cells of a row. Entries of the tables that random variables are drawn from.
 DEPTH, WIDTH, TABLE = 2, 1 << 21, 1 << 16
-#: Members of a bucket compared in one task; partners verified per text and round; least share of agreeing samples.
+#: Members of a bucket's part; partners verified per text before all others are; least share of agreeing samples.
 BLOCK, PARTNERS, PROMISING = 2048, 3, 0.55
 #: Bytes of text shingled at once.
 CHUNK = 2_000_000
@@ -211,6 +212,67 @@ def weighted_jaccard(h1, w1, h2, w2) -> float:
     return float(low / (w1.sum() + w2.sum() - low))
 
 
+def _partners(key, t: pa.Table, similarity: float, most: int | None) -> pa.Table:
+    """``a, b``: promising pairs of two components in a group that ``_groups`` dealt, the ``most`` best of each text or all.
+
+    Members of a bucket's largest component do not meet each other. A pair counts in the first band that it shares, and
+    its sizes, by counts or by weights, must allow the similarity.
+    """
+    band, low, high, large = (k.as_py() for k in key[1:])
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(t), -1)
+    node, comp = t.column("node").combine_chunks(), t.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    big, part, plain, weight = (t.column(c).to_numpy() for c in ("big", "part", "plain", "weight"))
+    if large or low < high:
+        left, right = (~big, big) if large else (part == low, part == high)
+    else:
+        left, right = ~big, np.ones(len(t), bool)
+    right, found = np.flatnonzero(right), []
+    for at in np.flatnonzero(left):
+        others = right[comp[right] != comp[at]]
+        if most is None and not large and low == high:
+            others = others[(others > at) | big[others]]
+        fits = [np.minimum(x[others], x[at]) >= (similarity - 1e-9) * np.maximum(x[others], x[at]) for x in (plain, weight)]
+        others = others[fits[0] | fits[1]]
+        same = sig[others] == sig[at]
+        share = same.mean(1)
+        good = np.flatnonzero(share >= PROMISING)
+        shared = same[good].reshape(len(good), BANDS, ROWS).all(2)
+        good = good[shared[:, band] & (shared.argmax(1) == band)]
+        if most is not None:
+            good = good[np.argsort(-share[good], kind="stable")[:most]]
+        found.append(np.stack([np.full(len(good), at), others[good]], 1))
+    i, j = np.concatenate(found).T if found else np.zeros((2, 0), np.int64)
+    return pa.table({"a": node.take(pa.array(i)), "b": node.take(pa.array(j))})
+
+
+def _asking(similarity: float, most: int | None):
+    def ask(key, t):
+        return _partners(key, t, similarity, most)
+
+    return ask
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """Members of buckets with more than one component, dealt to groups in which each two of them meet, save two of the largest.
+
+    ``members`` has ``bucket, node, component``; added are whether a member is of the largest component (``big``),
+    its ``part``, and the parts (``low``, ``high``) that meet in the group, ``high`` being one of the largest component if ``large``.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("of"))
+    sizes = sizes.filter("components > 1").select("bucket", "of", F.col("largest.n").alias("n_big"), F.col("largest.component").alias("top"))
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    small, large = parts(F.col("of") - F.col("n_big")), parts(F.col("n_big"))
+    out = members.join(sizes, "bucket").withColumn("big", F.col("component") == F.col("top"))
+    out = out.withColumn("part", F.when(F.col("of") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("big"), large).otherwise(small)).cast("int")))
+    group = lambda low, high, big: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(big).alias("large"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    own = F.col("part")
+    asking = F.concat(each(small, lambda q: group(F.least(own, q), F.greatest(own, q), False)), each(large, lambda q: group(own, q, True)))
+    where = F.when(F.col("of") <= BLOCK, F.array(group(F.lit(0), F.lit(0), False))).when(F.col("big"), each(small, lambda q: group(q, own, True))).otherwise(asking)
+    return out.withColumn("g", F.explode(where)).select(*members.columns, "big", "part", "g.low", "g.high", "g.large")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, row_key, class_id, kept``: one row per row of ``df``.
 
@@ -233,12 +295,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
                 doc, h, tf = distinct(doc, h)
                 sig = samples(doc, h, np.log(tf.astype(np.float32) * weights.idf(h)), len(some), tables) if len(h) else np.zeros((len(some), BANDS * ROWS), np.uint32)
                 n = np.bincount(doc, minlength=len(some))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(some)), b.column("row_key").slice(at, len(some)), _node(c1, c2), pa.array(n), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "row_key", "node", "n", "sig"])
+                count = np.minimum(tf, 65535).astype(np.float64)
+                sums = [np.bincount(doc, w, len(some)).astype(np.float64) for w in (count, count * weights.idf(h))]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(some)), b.column("row_key").slice(at, len(some)), _node(c1, c2), pa.array(n), pa.array([s.tobytes() for s in sig], pa.binary()), *map(pa.array, sums)], names=["doc_id", "row_key", "node", "n", "sig", "plain", "weight"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialise(keyed.select("doc_id", "row_key", "text").mapInArrow(sign, f"doc_id {id_type}, row_key long, node binary, n long, sig binary"), "icws-signed")
-    texts = signed.filter(F.col("n") > 0).groupBy("node").agg(F.min_by(F.struct("doc_id", "row_key"), F.struct("row_key")).alias("of"), F.first("sig").alias("sig"))
-    texts = materialise(texts.select("node", F.col("of.doc_id").alias("of_id"), F.col("of.row_key").alias("of_key"), "sig"), "icws-texts")
+    signed = materialise(keyed.select("doc_id", "row_key", "text").mapInArrow(sign, f"doc_id {id_type}, row_key long, node binary, n long, sig binary, plain double, weight double"), "icws-signed")
+    texts = signed.filter(F.col("n") > 0).groupBy("node").agg(F.min_by(F.struct("doc_id", "row_key"), F.struct("row_key")).alias("of"), *(F.first(c).alias(c) for c in ("sig", "plain", "weight")))
+    texts = materialise(texts.select("node", F.col("of.doc_id").alias("of_id"), F.col("of.row_key").alias("of_key"), "sig", "plain", "weight"), "icws-texts")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,9 +311,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
                 h = np.arange(1, BANDS + 1).astype(_U)[None, :] * _U(0x9E3779B97F4A7C15)
                 for k in range(ROWS):
                     h = _mix(h ^ sig[:, :, k]) + _U(k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), b.column("node").take(pa.array(np.repeat(np.arange(len(b)), BANDS)))], names=["bucket", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(b))), b.column("node").take(pa.array(np.repeat(np.arange(len(b)), BANDS)))], names=["bucket", "band", "node"])
 
-    banded = materialise(texts.select("node", "sig").mapInArrow(bands, "bucket long, node binary"), "icws-bands")
+    banded = materialise(texts.select("node", "sig").mapInArrow(bands, "bucket long, band int, node binary"), "icws-bands")
     leaders = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"), F.max("node").alias("other")).filter(F.col("size") > 1)
     shared_buckets = materialise(banded.join(leaders, "bucket"), "icws-buckets")
     stars = shared_buckets.select("node", F.explode(F.array("lead", "other")).alias("lead")).filter(F.col("node") != F.col("lead"))
@@ -301,38 +365,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 
     tried = materialise(promising(pairs), "icws-tried")
     links = materialise(verified(tried), "icws-links")
-    n_links = links.count()
-    while True:
-        label = connected_components(links).select(F.col("id").alias("node"), "component")
-        members = shared_buckets.select("bucket", "node", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") != F.col("y")).select("bucket")
-        open_members = members.join(apart, "bucket").withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / BLOCK).cast("long"))).join(sigs, "node")
-
-        def partners(key, t):
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(t), -1)
-            node, comp = t.column("node").combine_chunks(), np.unique(np.array(t.column("component").to_pylist(), object), return_inverse=True)[1]
-            # of a pair of components one is not the largest, so members of that one need not ask
-            asking = np.flatnonzero(comp != np.bincount(comp).argmax())
-            found = []
-            for at in asking:
-                share = (sig == sig[at]).mean(1)
-                share[comp == comp[at]] = 0
-                best = np.argsort(-share, kind="stable")[:PARTNERS]
-                best = best[share[best] >= PROMISING]
-                found.append(np.stack([np.full(len(best), at), best], 1))
-            i, j = np.concatenate(found).T if found else np.zeros((2, 0), np.int64)
-            a, b = (node.take(pa.array(x)) for x in (i, j))
-            return pa.table({"a": a, "b": b})
-
-        more = open_members.select("bucket", "salt", "node", "component", "sig").groupBy("bucket", "salt").applyInArrow(partners, "a binary, b binary")
+    # of up to three members, all pairs have been tried with the leaders
+    wide = shared_buckets.filter(F.col("size") > 3).select("bucket", "band", "node")
+    named_components = lambda: connected_components(links).select(F.col("id").alias("node"), "component")
+    label = named_components()
+    for most in (PARTNERS, None):
+        members = wide.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        dealt = _groups(members).join(texts.select("node", "sig", "plain", "weight"), "node")
+        more = dealt.groupBy("bucket", "band", "low", "high", "large").applyInArrow(_asking(similarity, most), "a binary, b binary")
         more = materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "icws-more")
-        if more.isEmpty():
-            break
         tried = materialise(tried.union(more), "icws-tried")
         links = materialise(links.union(verified(more)), "icws-links")
-        n, n_links = n_links, links.count()
-        if n == n_links:
-            break
+        label = named_components()
     by_node = signed.join(label, "node", "left").select("doc_id", "row_key", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"))
     least_id = by_node.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"))
     out = by_node.join(least_id, "component", "left").withColumn("class_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
