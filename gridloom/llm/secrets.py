@@ -2,8 +2,8 @@
 
 Strong patterns (assignments, access ids, long hex) count on their own. Weak parts - something that looks
 like an account name, a mixed random-looking string, an endpoint - mean nothing alone, and are reported
-only where complementary parts meet: each part reaches ``window`` characters to either side, and an interval
-join within its scope (a block of text without an empty line) looks for the parts it lacks.
+only where complementary parts meet in a scope (a block of text without an empty line): an interval join looks for
+the parts that each lacks, over the whole scope or within ``window`` characters to either side.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Weak parts. An identifier is named as one; a key mixes capitals, small letters and digits.
-IDENT = re.compile(r"""(?:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user(?:name)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9._@-]{4,64})""", re.ASCII | re.IGNORECASE)
+IDENT = re.compile(r"""(?:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user(?:name)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9._@-]{4,})""", re.ASCII | re.IGNORECASE)
 IDENT_WORDS = ("key", "client", "account", "user", "login")
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,39}[0-9])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,2048}""")
+KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}""")
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
 
 Span = tuple[int, int, int]  # kind by place in KINDS, start, end
@@ -79,8 +79,8 @@ class _Intervals:
         return any(self.spans[i] != but and self.spans[i][2] >= lo for i in range(a, b))
 
 
-def link_parts(text: str, base: list[Span], weak: list[Span], window: int) -> list[Span]:
-    """The weak parts whose complements co-occur in their scope within ``window`` characters.
+def link_parts(text: str, base: list[Span], weak: list[Span], window: int | None) -> list[Span]:
+    """The weak parts whose complements co-occur in their scope, within ``window`` characters if that is given.
 
     A key needs an identifier; an identifier needs a key, an assigned secret or a hex string; an endpoint
     needs both. Weak parts that overlap a base span are part of it and are left out.
@@ -97,7 +97,7 @@ def link_parts(text: str, base: list[Span], weak: list[Span], window: int) -> li
         idents = _Intervals([s for s in parts if s[0] in (1, 3)])
         secrets = _Intervals([s for s in parts if s[0] in (0, 2, 4)])
         for s in parts:
-            lo, hi = s[1] - window, s[2] + window
+            lo, hi = (0, len(text)) if window is None else (s[1] - window, s[2] + window)
             if s[0] == 4 and idents.meets(lo, hi, s) or s[0] == 3 and secrets.meets(lo, hi, s) or s[0] == 5 and idents.meets(lo, hi, s) and secrets.meets(lo, hi, s):
                 found.append(s)
     return found
@@ -107,7 +107,7 @@ def _text(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def scan_text(text: str | None, window: int = 200) -> tuple[list[Span], list[Span]]:
+def scan_text(text: str | None, window: int | None = 200) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, by start and then kind."""
     base = base_spans(text or "")
     more = link_parts(text or "", base, weak_parts(text or ""), window)
@@ -118,8 +118,9 @@ SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.S
 _ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def scan(df: DataFrame, text_col: str = "text", window: int = 200) -> DataFrame:
-    """Adds ``secret_spans`` (array of kind, start, end in code points), all spans of the whole text.
+def scan(df: DataFrame, text_col: str = "text", window: int | None = None) -> DataFrame:
+    """Adds ``secret_spans`` (array of kind, start, end in code points), all spans of the whole text; without a ``window`` the scope
+    alone bounds what is joined.
 
     Null and empty texts have none. Rows are independent; clashing columns are replaced.
     """

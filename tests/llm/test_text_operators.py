@@ -129,6 +129,19 @@ def test_weak_parts_need_company():
     assert kinds("user: someone " + "x " * 200 + key) == []
 
 
+def test_scope_alone_bounds_the_query(spark):
+    key = "aB3dE5gH7jK9mN1pQ3sT5vX7"
+    texts = ["user: someone " + "x " * 200 + key, "user: someone " + "x " * 200 + "\n\n" + key]
+    rows = secrets.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in rows} == {0: "ident:6:13,key:414:438", 1: ""}
+
+
+def test_long_parts_are_whole():
+    late, ident, path = "aB" * 100 + "7", "n" * 100, "x" * 5000
+    spans = secrets.weak_parts(f"user: {ident} {late} https://{path}")
+    assert [(k, e - s) for k, s, e in spans] == [(3, 100), (4, 201), (5, 5008)]
+
+
 def test_secrets_edge_cases(spark):
     rows = secrets.digests(cases(spark)).collect()
     assert len(rows) == len(CASES) and {r.base_sha256 for r in rows} == {sha("")}
