@@ -374,6 +374,21 @@ def test_links_among_many_texts_on_one_template(spark, monkeypatch):
     assert len(set(got.values())) > 100
 
 
+def test_smaller_side_asks_without_a_cap():
+    import numpy as np
+    import pyarrow as pa
+
+    # text 0 is of the largest component; text 9 has five better partners, of components of their own
+    sig = np.tile(np.arange(80, dtype=np.uint32), (10, 1))
+    for k in range(5):
+        sig[k, 60:] = 1000 + k
+    columns = {"node": [bytes([k]) for k in range(10)], "component": [b"L"] * 4 + [bytes([k]) for k in range(4, 10)], "sig": [x.tobytes() for x in sig], "big": [k < 4 for k in range(10)], "part": [0] * 10, "plain": [1.0] * 10, "weight": [1.0] * 10}
+    key = [pa.scalar(x) for x in (1, 0, 0, 0, False)]
+    pairs = lambda most: {frozenset((r["a"][0], r["b"][0])) for r in minhash_dedup._partners(key, pa.table(columns), 0.8, most).to_pylist()}
+    assert frozenset((0, 9)) not in pairs(3)
+    assert pairs(None) == {frozenset((a, b)) for a in range(10) for b in range(max(a + 1, 4), 10)}
+
+
 def test_consistent_sampling_estimates_similarity():
     import numpy as np
 
