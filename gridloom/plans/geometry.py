@@ -436,8 +436,13 @@ def bilinear_sample(spark, sf_dir):
 # ---- shapes ----------------------------------------------------------------------------------------------------
 
 
+def _all_frames(spark, sf_dir):
+    return load(spark, sf_dir, "fx_rects").select(F.col("rect_id").alias("image_id"), (F.col("r") - F.col("l") + 4).alias("w"), (F.col("b") - F.col("t") + 4).alias("h"), (F.col("rect_id") % 6).alias("radius"))
+
+
 def _frames(spark, sf_dir):
-    return load(spark, sf_dir, "fx_rects").filter("rect_id <= 100").select(F.col("rect_id").alias("image_id"), (F.col("r") - F.col("l") + 4).alias("w"), (F.col("b") - F.col("t") + 4).alias("h"), (F.col("rect_id") % 6).alias("radius"))
+    """The frames that the SQL below names."""
+    return _all_frames(spark, sf_dir).filter("image_id <= 100")
 
 
 _FRAMES = "f AS (SELECT rect_id AS image_id, r-l+4 AS w, b-t+4 AS h, rect_id % 6 AS radius FROM fx_rects WHERE rect_id <= 100), c AS (SELECT f.*, x, y FROM f, range(60) a(x), range(60) b(y) WHERE x < w AND y < h)"
@@ -505,10 +510,10 @@ def shapecode_hex(spark, sf_dir):
 
 @query()
 def shapecode_topk(spark, sf_dir):
-    """The three nearest codes of each: a small table against itself, ranked in one window per code."""
+    """The three nearest codes of each, of all others, ranked in one window per code."""
     from pyspark.sql.window import Window
 
-    codes = _codes(spark, sf_dir).filter("image_id < 40")
+    codes = _codes(spark, sf_dir)
     a, b = codes.select(F.col("image_id").alias("a"), F.col("code").alias("ca")), codes.select(F.col("image_id").alias("b"), F.col("code").alias("cb"))
     pairs = a.join(b, F.col("a") != F.col("b")).withColumn("distance", shapes.code_distance(F.col("ca"), F.col("cb")))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).filter("rank <= 3").select("a", "rank", "b", "distance")
@@ -548,13 +553,13 @@ def bitmap_significance(spark, sf_dir):
 
 @query()
 def shape_average(spark, sf_dir):
-    big = load(spark, sf_dir, "fx_rects").filter("rect_id <= 100").select(F.col("rect_id").alias("image_id"), (F.col("r") - F.col("l") + 9).alias("w"), (F.col("b") - F.col("t") + 9).alias("h"), L(0).alias("radius"))
+    big = load(spark, sf_dir, "fx_rects").select(F.col("rect_id").alias("image_id"), (F.col("r") - F.col("l") + 9).alias("w"), (F.col("b") - F.col("t") + 9).alias("h"), L(0).alias("radius"))
     return morph.averages(shapes.discs(big), shapes.rounded_rects(big))
 
 
 @query()
 def shape_recognise(spark, sf_dir):
-    frames = _frames(spark, sf_dir)
+    frames = _all_frames(spark, sf_dir)
     ellipse = morph.is_ellipse(shapes.ellipses(frames), frames.select("image_id", "w", "h"), 64)
     return ellipse.join(morph.is_isosceles(shapes.rounded_rects(frames), frames.select("image_id", "w", "h"), 64), "image_id")
 

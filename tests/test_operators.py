@@ -262,3 +262,15 @@ def test_recognition(spark):
     frames = spark.createDataFrame([(1, 20, 20), (2, 30, 12), (3, 4, 4)], "image_id long, w long, h long")
     got = {r.image_id: (r.ellipse, r.circle) for r in morph.is_ellipse(shapes.ellipses(frames), frames, 64).collect()}
     assert got == {1: (True, True), 2: (True, False), 3: (False, False)}
+
+
+def test_shape_queries_give_every_rectangle(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.plans.geometry import QUERIES
+    from gridloom.sources.examples import load
+
+    sf = "/root/testdata/sf0.001"
+    rects = load(spark, sf, "fx_rects").count()
+    for name in ("shape_average", "shape_recognise"):
+        assert QUERIES[name](spark, sf).agg(F.count_distinct("image_id")).first()[0] == rects
