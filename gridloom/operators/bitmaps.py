@@ -94,7 +94,9 @@ def components(bits: DataFrame, diagonal: bool, width: int) -> DataFrame:
     reach = 1 if diagonal else 0
     below = runs.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("id").alias("b"))
     edges = runs.join(below, ["image_id", "y"]).filter((F.col("u0") <= F.col("x1") + reach) & (F.col("u1") >= F.col("x0") - reach)).select(F.col("id").alias("a"), "b")
-    labels = connected_components(edges)
+    # edges of an image of up to 4,096 rows lie together and are done in one task, without further rounds
+    together = edges.repartition(F.col("a.image_id"), F.floor(F.col("a.at") / (4096 * width)))
+    labels = connected_components(together)
     named = runs.join(labels, "id", "left").select("image_id", "y", "start", F.coalesce("component", "id")["at"].alias("component"))
     return run.join(named, ["image_id", "y", "start"]).select(*PIXEL, "component")
 

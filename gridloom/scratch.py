@@ -5,16 +5,22 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+#: Paths written since each open ``temporary`` block began.
+_open: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one of our own only where that is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one of our own only in local mode where that is unset, as in tests."""
     if shared := spark.conf.get("spark.checkpoint.dir", None):
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="gridloom-")
@@ -36,4 +42,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Within the block, scratch tables are freed at its end, save what the yielded function writes.
+
+    That function takes a frame and a label like ``materialise``; what it returns depends on no other scratch table.
+    """
+    _open.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        out = materialise(df, label)
+        kept.append(_open[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+        if _open:
+            _open[-1].extend(kept)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,11 +19,14 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="gridloom-src-"), "gridloom.zip")
+    folder = tempfile.mkdtemp(prefix="gridloom-src-")
+    archive = os.path.join(folder, "gridloom.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, files in os.walk(here):
+        for at, _, files in os.walk(here):
             for f in files:
                 if f.endswith(".py"):
-                    z.write(os.path.join(folder, f), os.path.join("gridloom", os.path.relpath(os.path.join(folder, f), here)))
+                    z.write(os.path.join(at, f), os.path.join("gridloom", os.path.relpath(os.path.join(at, f), here)))
     spark.sparkContext.addPyFile(archive)
+    # the driver serves this file to executors as long as the application runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _shipped.add(app)
