@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import append_columns
+from gridloom.llm.common import append_columns, position
 
-#: Entries that the memo tables may hold before they start afresh; they affect speed only.
-MEMO_ENTRIES = 300_000
+#: Entries of a memo table, and bytes of the pieces in one, before it starts afresh; they affect speed only.
+MEMO_ENTRIES, MEMO_BYTES, MEMO_PIECE = 80_000, 2_000_000, 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,6 +61,22 @@ class _Memo(dict):
         return value
 
 
+class _PieceMemo(_Memo):
+    """Bounded in bytes as well; long pieces, which hardly ever come twice, are not kept."""
+
+    size = 0
+
+    def __missing__(self, key):
+        if len(key) > MEMO_PIECE:
+            return self._make(key)
+        if self.size > MEMO_BYTES:
+            self.clear()
+            self.size = 0
+        value = super().__missing__(key)
+        self.size += len(key) + len(value)
+        return value
+
+
 class MergeTables:
     """What the encoder needs of a vocabulary: each token's last merge and its longest proper prefix.
 
@@ -71,17 +87,17 @@ class MergeTables:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"vocabulary lacks the single bytes {missing[:5]}")
         self.ranks = ranks
-        self.tokens = {r: t for t, r in ranks.items()}
-        self.halves: dict[int, tuple[int, int]] = {}
-        self.shorter: dict[int, int] = {}
+        top = max(ranks.values()) + 1
+        #: Flat arrays by id, -1 where there is nothing: the two halves, and the longest proper prefix that is a token.
+        self.left, self.right, self.shorter = (array("i", [-1]) * top for _ in range(3))
         self.unreachable: set[int] = set()
         for token, rank in ranks.items():
             if len(token) == 1:
-                self.halves[rank] = (rank, rank)
+                self.left[rank] = self.right[rank] = rank
                 continue
             parts = merge_plainly(token, ranks, rank)
             if len(parts) == 2:
-                self.halves[rank] = (ranks[parts[0]], ranks[parts[1]])
+                self.left[rank], self.right[rank] = ranks[parts[0]], ranks[parts[1]]
             elif len(merge_plainly(token, ranks)) == 1:
                 raise ValueError(f"token {rank} is merged from tokens of higher rank")
             else:
@@ -94,7 +110,10 @@ class MergeTables:
                     break
 
     def by_id(self) -> list[bytes]:
-        return [self.tokens.get(r, b"") for r in range(max(self.tokens) + 1)]
+        out = [b""] * len(self.left)
+        for token, rank in self.ranks.items():
+            out[rank] = token
+        return out
 
 
 @cache
@@ -133,10 +152,10 @@ class ByteBpe:
         self._t = tables
         self._split = Splitter(pattern)
         self._bytes = tables.by_id()
-        top = len(self._bytes)
-        self._pairs = {halves: r for r, halves in tables.halves.items() if len(tables.tokens[r]) > 1}
-        self._length = list(map(len, self._bytes))
-        self._shorter = [tables.shorter.get(r, -1) for r in range(top)]
+        # the two halves in one integer
+        self._pairs = {tables.left[r] << 32 | tables.right[r]: r for r, t in enumerate(self._bytes) if len(t) > 1 and tables.left[r] >= 0}
+        self._length = array("i", map(len, self._bytes))
+        self._shorter = tables.shorter
         self._widest = max(self._length)
         self._machine = ahocorasick.Automaton()
         for token, rank in tables.ranks.items():
@@ -144,25 +163,25 @@ class ByteBpe:
                 self._machine.add_word(token.decode("latin-1"), (len(token), rank))
         self._machine.make_automaton()
         self._fits = _Memo(self._compatible)
-        self._pieces = _Memo(lambda piece: array("i", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes())
+        self._pieces = _PieceMemo(lambda piece: array("i", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes())
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
+    def _compatible(self, pair: int) -> bool:
         """Whether merging the bytes of both tokens leaves exactly these two: undo the later merge
         on either side of the border, step by step; no merge across the border may come before it."""
-        halves, pairs = self._t.halves, self._pairs
-        left, right = pair
+        first, second, pairs = self._t.left, self._t.right, self._pairs
+        left, right = pair >> 32, pair & 0xFFFFFFFF
         bound = 1 << 60
         while True:
-            if pairs.get((left, right), bound) < bound:
+            if pairs.get(left << 32 | right, bound) < bound:
                 return False
-            open_left, open_right = halves[left][0] != left, halves[right][0] != right
+            open_left, open_right = first[left] != left, first[right] != right
             if not open_left and not open_right:
                 return True
             # of equal ranks the left one was merged first, so the right one is undone first
             if open_left and (left > right or not open_right):
-                bound, left = left, halves[left][1]
+                bound, left = left, second[left]
             else:
-                bound, right = right + 1, halves[right][0]
+                bound, right = right + 1, first[right]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern, as merging by rank gives them."""
@@ -172,8 +191,8 @@ class ByteBpe:
         latin = piece.decode("latin-1")
         out = [hit[1][1] for hit in self._machine.iter_long(latin)]
         fits = self._fits
-        for pair in pairwise(out):
-            if not fits[pair]:
+        for left, right in pairwise(out):
+            if not fits[left << 32 | right]:
                 return self._backtrack(latin)
         return out
 
@@ -186,7 +205,7 @@ class ByteBpe:
         token = known[0] = next(longest(latin[:widest]))[1][1]
         while True:
             end = at + length[token]
-            if not dead[end] and (last < 0 or fits[last, token]):
+            if not dead[end] and (last < 0 or fits[last << 32 | token]):
                 out.append(token)
                 if end == n:
                     return out
@@ -231,28 +250,37 @@ def share(df: DataFrame, vocabulary: str):
     return df.sparkSession.sparkContext.broadcast(MergeTables(read_ranks(vocabulary)))
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "ids", tables=None) -> DataFrame:
-    """Adds ``out_col`` (array of int): the ids of the whole text.
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+
+
+def encode(df: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None, tables=None) -> DataFrame:
+    """Adds ``out_col`` (array of int): the ids of the whole text; and with ``decoded_col`` (binary) the bytes that
+    decoding those ids gives, by the same worker in the same pass.
 
-    Null and empty texts give an empty array. Rows are independent, so repeated rows, empty tables and
-    any further columns need no rule; an existing column called ``out_col`` is replaced.
+    Null and empty texts give an empty array. Rows are independent, so repeated rows, ties, empty tables and
+    any further columns need no rule; an existing column of an added name is replaced. A worker takes a few
+    megabytes of text at a time, and a very long text whole.
     """
     shared = tables or share(df, vocabulary)
-    at, key = df.columns.index(text_col), (vocabulary, pattern)
+    at, key = position(df, text_col), (vocabulary, pattern)
 
     def make():
         codec = _codec(key, shared, pattern)
 
         def step(batch: pa.RecordBatch) -> list:
             rows = [codec.encode(t.as_py() or "") for t in batch.column(at)]
-            offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r) for r in rows], out=offsets[1:])
-            flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            back = [] if decoded_col is None else [pa.array(map(codec.decode, rows), pa.binary())]
+            return [_lists(rows), *back]
 
         return step
 
-    return append_columns(df, [T.StructField(out_col, T.ArrayType(T.IntegerType()))], make)
+    fields = [T.StructField(out_col, T.ArrayType(T.IntegerType()))]
+    if decoded_col is not None:
+        fields.append(T.StructField(decoded_col, T.BinaryType()))
+    return append_columns(df, fields, make)
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -262,7 +290,7 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str =
     for token, rank in ranks.items():
         tokens[rank] = token
     shared = df.sparkSession.sparkContext.broadcast(tokens)
-    at = df.columns.index(ids_col)
+    at = position(df, ids_col)
 
     def make():
         known = shared.value

@@ -3,8 +3,8 @@
 One model per language over characters, order ``ORDER``. All languages share one sorted array of n-gram hashes per
 order; next to each hash stand the interpolated log-probabilities of all languages, so scoring a character takes one
 binary search for all of them, and shorter n-grams only where the longest was never seen. A text gets the
-language of lowest cross-entropy per character. It is rejected where that exceeds what held-back texts of the language
-show, by a margin fitted with the model.
+language of lowest cross-entropy per character. It is rejected where that lies further above what its language's held-back
+texts show than all but a stated share of them do, times a margin.
 """
 
 from __future__ import annotations
@@ -19,13 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import append_columns, crc_mod, quoted
+from gridloom.llm.common import append_columns, crc_mod, position, quoted, slices
 
 #: Characters of an n-gram; absolute discount; rows that a language's model and its calibration are fitted on, at most about.
 ORDER, DISCOUNT, SAMPLE_ROWS = 4, 0.75, 1200
-#: Standard deviations of a text's cross-entropy above its language's mean at which it is rejected.
-REJECT_SIGMAS = 14.0
+#: Share of held-back texts of a language that may be rejected, and the allowance in bits per character on top of what they show.
+#: Share of held-back texts beyond the rejection limit before ``MARGIN`` widens it; the least limit, in deviations.
+REJECT_RATE, MARGIN, LEAST_LIMIT = 0.001, 1.5, 6.0
 UNKNOWN = "und"
+#: Characters scored at once.
+CHUNK = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 21  # of a code point
@@ -93,29 +96,50 @@ class Model:
     spread: np.ndarray
     per_char: np.ndarray
     sharpness: float = 1.0
+    limit: float = LEAST_LIMIT
+
+    def excess(self, least: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many deviations a text's lowest cross-entropy lies above its language's; shorter texts vary more."""
+        return (least - self.mean[best]) / np.sqrt(self.spread[best] ** 2 + self.per_char[best] / np.maximum(n, 1))
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy in bits per character (texts x languages), and characters scored, 0 without a letter."""
-        parts = [letter_codes(t) if t else np.zeros(0, np.uint32) for t in texts]
-        n = np.array([max(0, len(p) - 1) for p in parts])
-        out = np.zeros((len(texts), len(self.languages)))
-        group, size = [], 0
-        for i in [*np.flatnonzero(n), -1]:
-            if i < 0 or size > 2_000_000:
-                if group:
-                    out[group] = self._sum([parts[g] for g in group], n[group]) / n[group][:, None]
-                group, size = [], 0
-            if i >= 0:
-                group.append(i)
-                size += n[i]
-        return out, n
-
-    def _sum(self, parts: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+        """Cross-entropy in bits per character (texts x languages), and characters scored, 0 without a letter.
+
+        Works on ``CHUNK`` characters at a time: short texts are laid end to end, longer ones cut into pieces that
+        start with the characters their first n-gram looks back on.
+        """
+        n, bits = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)))
+        group, owner, skip, size = [], [], [], 0
+
+        def flush() -> None:
+            nonlocal group, owner, skip, size
+            if group:
+                np.add.at(bits, owner, self._sum(group, np.array([len(p) for p in group]) - 1, np.array(skip)))
+            group, owner, skip, size = [], [], [], 0
+
+        for i, t in enumerate(texts):
+            codes = letter_codes(t) if t else np.zeros(0, np.uint32)
+            n[i] = max(0, len(codes) - 1)
+            for begin in range(1, len(codes), CHUNK):
+                back = min(begin, len(self.tables))
+                group.append(codes[begin - back : begin + CHUNK])
+                owner.append(i)
+                skip.append(back)
+                size += len(group[-1])
+                if size >= CHUNK:
+                    flush()
+        flush()
+        return bits / np.maximum(n, 1)[:, None], n
+
+    def _sum(self, parts: list[np.ndarray], n: np.ndarray, skip: np.ndarray | int = 1) -> np.ndarray:
+        """Bits of each part's characters from the ``skip``-th on; those before are context only."""
         order = len(self.tables)
         codes = np.concatenate(parts).astype(np.uint64) + np.uint64(1)
         sizes = n + 1
         local = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.flatnonzero(local)  # the opening space is context only
+        skip = np.broadcast_to(skip, len(parts))
+        at = np.flatnonzero(local >= np.repeat(skip, sizes))
+        n = sizes - skip
         logs, miss = _look(self.tables[-1], gram_hashes(codes, local, at, 0, order))
         todo = np.flatnonzero(miss)
         extra = np.zeros((len(todo), logs.shape[1]), np.float32)
@@ -131,7 +155,7 @@ class Model:
             got, none = _look(self.tables[m - 1], gram_hashes(codes, local, at[todo], 0, m))
             logs[todo[~none]] = got[~none] + extra[~none]
             todo, extra = todo[none], extra[none]
-        return -np.add.reduceat(logs.astype(np.float64), np.r_[0, np.cumsum(n)[:-1]], axis=0)
+        return -np.add.reduceat(logs, np.r_[0, np.cumsum(n)[:-1]], axis=0, dtype=np.float64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score in 0 to 1 and whether the text is accepted. Without a letter: ``und``, 0, rejected."""
@@ -141,9 +165,8 @@ class Model:
         # the sharpness is fitted on held-back rows; a character too many must not make a certainty of it
         odds = np.exp2(-self.sharpness * np.sqrt(np.maximum(n, 1))[:, None] * (bits - least[:, None]))
         score = 1 / odds.sum(1)
-        limit = self.mean[best] + REJECT_SIGMAS * np.sqrt(self.spread[best] ** 2 + self.per_char[best] / np.maximum(n, 1))
         named = [self.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)]
-        return named, np.where(n > 0, score, 0.0), (n > 0) & (least <= limit)
+        return named, np.where(n > 0, score, 0.0), (n > 0) & (self.excess(least, best, n) <= self.limit)
 
 
 def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +176,7 @@ def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
     return rows[at], hashes[at] != keys
 
 
-def fit(languages: list[str], grams: np.ndarray, counts: np.ndarray, held_back: dict[str, list[str]]) -> Model:
+def fit(languages: list[str], grams: np.ndarray, counts: np.ndarray) -> Model:
     """``grams``: distinct n-grams of order ``ORDER`` as rows of code points plus one (0 before a text);
     ``counts``: how often each occurs in each language."""
     held, kept = grams.astype(np.int64), counts.astype(np.float64)
@@ -183,9 +206,7 @@ def fit(languages: list[str], grams: np.ndarray, counts: np.ndarray, held_back:
         tables.append(_packed(held, prob, 0))
         backs.append(_packed(contexts, back, 1))
         lower = prob
-    model = Model(languages, tables, backs, float(np.log2(uniform)), *(np.zeros(len(languages)) for _ in range(3)))
-    _calibrate(model, held_back)
-    return model
+    return Model(languages, tables, backs, float(np.log2(uniform)), *(np.full(len(languages), v) for v in (8.0, 1.0, 25.0)))
 
 
 def _packed(rows: np.ndarray, values: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,79 +219,92 @@ def _packed(rows: np.ndarray, values: np.ndarray, first: int) -> tuple[np.ndarra
     return keys[order], np.log2(values).astype(np.float32)[order]
 
 
-def _calibrate(model: Model, held_back: dict[str, list[str]]) -> None:
-    bits, names = [], []
-    for k, lang in enumerate(model.languages):
-        e, n = model.entropies(held_back.get(lang) or [""])
-        e, n = e[n > 0], n[n > 0]
-        own = e[:, k] if len(e) else np.array([8.0])
-        long = own[n >= np.median(n)] if len(e) else own
-        model.mean[k] = np.median(own)
-        # median absolute deviation: a few mislabelled rows do not widen the margin
-        model.spread[k] = 1.4826 * np.median(np.abs(long - model.mean[k])) + 0.05
-        model.per_char[k] = np.median((own - model.mean[k]) ** 2 * n) / 0.455 + 4.0 if len(e) else 25.0
-        bits += [(row, m) for row, m in zip(e, n, strict=True)]
-        names += [k] * len(e)
-    if not bits or len(model.languages) < 2:
+def calibrate(model: Model, names: np.ndarray, bits: np.ndarray, n: np.ndarray) -> None:
+    """Fits means, spreads, the sharpness of scores and the rejection limit.
+
+    ``names``: languages by number of held-back texts, ``bits`` their cross-entropies (texts x languages), ``n`` their characters.
+    """
+    names, bits, n = names[n > 0], bits[n > 0], n[n > 0]
+    if not len(n):
         return
-    e, n, y = np.array([b[0] for b in bits]), np.array([b[1] for b in bits]), np.array(names)
-    best = np.inf
+    for k in range(len(model.languages)):
+        own, chars = bits[names == k, k], n[names == k]
+        if len(own):
+            model.mean[k] = np.median(own)
+            # median absolute deviation: a few mislabelled rows do not widen the margin
+            model.spread[k] = 1.4826 * np.median(np.abs(own[chars >= np.median(chars)] - model.mean[k])) + 0.05
+            model.per_char[k] = np.median((own - model.mean[k]) ** 2 * chars) / 0.455 + 4.0
+    best = bits.argmin(1)
+    over = model.excess(bits.min(1), best, n)
+    model.limit = max(LEAST_LIMIT, MARGIN * float(np.quantile(over, 1 - REJECT_RATE)))
+    least = np.inf
     for sharp in np.geomspace(0.05, 8, 16):
-        z = -sharp * np.sqrt(n)[:, None] * (e - e.min(1, keepdims=True)) * np.log(2)
-        loss = (np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).mean()
-        if loss < best:
-            best, model.sharpness = loss, float(sharp)
+        z = -sharp * np.sqrt(n)[:, None] * (bits - bits.min(1, keepdims=True)) * np.log(2)
+        loss = (np.log(np.exp(z).sum(1)) - z[np.arange(len(n)), names]).mean()
+        if loss < least and len(model.languages) > 1:
+            least, model.sharpness = loss, float(sharp)
 
 
 def train(df: DataFrame, usable: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits the models on a sample of about ``sample_rows`` rows of each language, whole texts, drawn by a hash
-    of the id; every fifth is held back for calibration. Rows without language or text are not used.
+    of the id; every fifth is held back for calibration. Rows without language or text are not used; without any
+    row the only language is ``und``. What reaches the driver are the distinct n-grams of the sample and a row of numbers
+    for each held-back text.
     """
     lang, text, doc_id = F.col(quoted(lang_col)), F.col(quoted(text_col)), F.col(quoted(id_col))
     labelled = df.filter(lang.isNotNull() & text.isNotNull() & (usable if usable is not None else F.lit(True)))
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang.alias("lang")).count().collect()}
     if not sizes:
-        return fit([UNKNOWN], np.zeros((0, ORDER)), np.zeros((0, 1)), {})
+        return fit([UNKNOWN], np.zeros((0, ORDER)), np.zeros((0, 1)))
     # a rate for each language; the hash decides row by row, so no sorting and no shuffle of texts
-    rate = F.lit(0.0)
-    for name, rows in sizes.items():
-        rate = F.when(lang == F.lit(name), F.lit(min(1.0, sample_rows / rows))).otherwise(rate)
+    rates = F.create_map(*(F.lit(v) for name, rows in sizes.items() for v in (name, min(1.0, sample_rows / rows))))
     draw = F.pmod(F.xxhash64(doc_id, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    fold = F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(5)) == 0
-    chosen = labelled.filter(draw < rate).select(lang.alias("lang"), text.alias("text"), fold.alias("back"))
+    back = F.pmod(F.xxhash64(doc_id, F.lit("fold")), F.lit(5)) == 0
+    chosen = labelled.filter(draw < F.try_element_at(rates, lang)).select(lang.alias("lang"), text.alias("text"), back.alias("back"))
 
     def rows_of(name: str, parts: list[np.ndarray]) -> pa.RecordBatch:
-        kinds, times = _distinct(np.vstack([np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(ORDER - 2, np.uint32), c + 1], ORDER) for c in parts]))
+        kinds, times = _distinct(np.vstack([np.lib.stride_tricks.sliding_window_view(c, ORDER) for c in parts]))
         names = [k.tobytes().decode("utf-32-le", "surrogatepass") for k in kinds]
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(kinds)), pa.nulls(len(kinds), pa.string()), pa.array(names, pa.string()), pa.array(times, pa.int64())], names=["lang", "text", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(kinds)), pa.array(names, pa.string()), pa.array(times, pa.int64())], names=["lang", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, list[np.ndarray]] = {}
-        for b in batches:
-            for name, t, back in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if back:
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([t]), pa.nulls(1, pa.string()), pa.array([0], pa.int64())], names=["lang", "text", "gram", "n"])
-                elif len(c := letter_codes(t)) > 1:
-                    parts = by.setdefault(name, [])
-                    parts.append(c)
-                    if sum(map(len, parts)) > 2_000_000:
-                        yield rows_of(name, by.pop(name))
+        for whole in batches:
+            for b in slices(whole):
+                for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    codes = letter_codes(t)
+                    if len(codes) > 1:
+                        padded = np.r_[np.zeros(ORDER - 2, np.uint32), codes + 1]
+                        # a long text in pieces that overlap by what an n-gram looks back on
+                        for at in range(0, len(padded) - ORDER + 1, CHUNK):
+                            by.setdefault(name, []).append(padded[at : at + CHUNK + ORDER - 1])
+                            if sum(map(len, by[name])) > CHUNK:
+                                yield rows_of(name, by.pop(name))
         for name, parts in by.items():
             yield rows_of(name, parts)
 
-    got = chosen.mapInArrow(count, "lang string, text string, gram string, n long").groupBy("lang", "gram", "text").agg(F.sum("n").alias("n")).toArrow()
+    got = chosen.filter(~F.col("back")).mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
-    held: dict[str, list[str]] = {}
-    for name, t in zip(got.column("lang").to_pylist(), got.column("text").to_pylist(), strict=True):
-        if t is not None:
-            held.setdefault(name, []).append(t)
-    got = got.filter(pa.compute.is_valid(got.column("gram")))
     index: dict[str, int] = {}
     at = np.array([index.setdefault(g, len(index)) for g in got.column("gram").to_pylist()], np.int64)
     counts = np.zeros((len(index), len(languages)))
-    np.add.at(counts, (at, np.array([languages.index(x) for x in got.column("lang").to_pylist()], np.int64)), got.column("n").to_numpy())
+    place = {name: k for k, name in enumerate(languages)}
+    np.add.at(counts, (at, np.array([place[x] for x in got.column("lang").to_pylist()], np.int64)), got.column("n").to_numpy())
     grams = np.frombuffer("".join(index).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-    return fit(languages, grams, counts, held)
+    model = fit(languages, grams, counts)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                bits, n = shared.value.entropies(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(list(bits), pa.list_(pa.float64()))], names=["lang", "n", "bits"])
+
+    held = chosen.filter("back").mapInArrow(measure, "lang string, n long, bits array<double>").toArrow()
+    if len(held):
+        calibrate(model, np.array([place[x] for x in held.column("lang").to_pylist()]), np.array(held.column("bits").to_pylist()), held.column("n").to_numpy())
+    shared.unpersist()
+    return model
 
 
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +327,7 @@ def classify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Rows are independent; the model, bounded by its training sample, is broadcast. Clashing columns are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text_col)
+    at = position(df, text_col)
 
     def make():
         m = shared.value
@@ -309,8 +343,12 @@ def classify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """Prediction for every row of ``documents``, learned from the rows that are not held out."""
+    """Prediction for every row of ``documents``, learned from the rows that are not held out.
+
+    ``accepted`` is the calibrated decision; the language is given either way. Rows that repeat an id are predicted each on
+    its own; a null id counts as the empty text where folds are dealt; an empty table gives an empty result.
+    """
     held = crc_mod(F.col("doc_id"), 4) == 2
     model = train(df, ~held)
     out = classify(df.select("doc_id", "text", held.alias("held_out")), model)
-    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))

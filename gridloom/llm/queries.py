@@ -53,8 +53,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, VOCABULARY, PATTERN).select("doc_id", "ids")
-    return byte_bpe.digests(byte_bpe.decode(ids, VOCABULARY))
+    return byte_bpe.digests(byte_bpe.encode(docs, VOCABULARY, PATTERN, decoded_col="decoded"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -56,7 +56,9 @@ def test_bpe_equals_the_library():
 
 def test_bpe_query(spark):
     docs = cases(spark)
-    out = byte_bpe.decode(byte_bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
+    out = byte_bpe.decode(byte_bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, text_col="TEXT"), VOCABULARY)
+    both = byte_bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, decoded_col="decoded")
+    assert sorted(map(str, both.select("ids", "decoded").collect())) == sorted(map(str, out.select("ids", "decoded").collect()))
     assert set(EXTRA) - {"ids"} <= set(out.columns) and out.columns.count("ids") == 1
     rows = out.collect()
     assert len(rows) == len(CASES) and all(bytes(r.decoded) == (r.text or "").encode() for r in rows)
@@ -245,7 +247,7 @@ def test_language_model_is_a_distribution():
     parts = [lang_id.letter_codes(t) for t in texts]
     rows = np.vstack([np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(lang_id.ORDER - 2, np.uint32), p + 1], lang_id.ORDER) for p in parts])
     grams, counts = np.unique(rows, axis=0, return_counts=True)
-    model = lang_id.fit(["xx"], grams, counts[:, None], {})
+    model = lang_id.fit(["xx"], grams, counts[:, None])
     letters, unseen = "ab ", 1000 + 3
     total = 0.0
     for c in letters:
@@ -256,6 +258,56 @@ def test_language_model_is_a_distribution():
     assert total + (unseen - 3) * 2**-other == pytest.approx(1.0, abs=1e-4)
 
 
+def plain_kneser_ney(texts, alphabet, order=4, discount=0.75):
+    """log2-probability of a text's letters, from dictionaries and the formula."""
+    pad = lambda t: (0,) * (order - 2) + tuple(int(c) + 1 for c in lang_id.letter_codes(t))
+    levels = {order: Counter(w[k : k + order] for w in map(pad, texts) for k in range(len(w) - order + 1))}
+    for n in range(order, 1, -1):
+        levels[n - 1] = Counter()
+        for g, c in levels[n].items():
+            levels[n - 1][g[1:]] += c if g[:2] == (0, 0) else 1
+    floor = 1 / (alphabet + 1000)
+
+    def prob(gram):
+        if not gram:
+            return floor
+        same = [c for g, c in levels[len(gram)].items() if g[:-1] == gram[:-1]]
+        below = prob(gram[1:])
+        return below if not same else max(levels[len(gram)][gram] - discount, 0) / sum(same) + discount * len(same) / sum(same) * below
+
+    return lambda t: sum(math.log2(prob(pad(t)[k : k + order])) for k in range(len(pad(t)) - order + 1))
+
+
+def test_language_models_equal_the_formula(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "CHUNK", 50)  # longer texts go in pieces
+    rng = random.Random(4)
+    texts = {x: ["".join(rng.choices(a, k=rng.randrange(1, 160))) for _ in range(12)] for x, a in (("aa", "abcde  "), ("bb", "cdefgé .1"))}
+    rows = [(k, t, x) for k, (x, t) in enumerate((x, t) for x, ts in texts.items() for t in ts)]
+    docs = spark.createDataFrame([*rows, (99, None, "aa"), (98, "only text", None)], "doc_id long, text string, lang string")
+    fold = {r[0] for r in docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0).select("doc_id").collect()}
+    model = lang_id.train(docs)
+    probes = ["abc", "cde fgé", "zz abc zz", "abcde " * 40]
+    bits, n = model.entropies(probes)
+    used = [(t, x) for i, t, x in rows if i not in fold]
+    alphabet = len({c for t, _ in used for c in lang_id.letter_codes(t)})
+    for k, x in enumerate(("aa", "bb")):
+        plain = plain_kneser_ney([t for t, y in used if y == x], alphabet)
+        assert (-bits[:, k] * n).tolist() == pytest.approx([plain(t) for t in probes], rel=1e-4)
+
+
+def test_rejection_rate_is_calibrated():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    model = lang_id.fit(["a", "b"], np.zeros((0, lang_id.ORDER)), np.zeros((0, 2)))
+    names, n = rng.integers(0, 2, 4000), rng.integers(200, 3000, 4000)
+    own = 2 + 0.1 * rng.normal(size=4000) + 3 * rng.exponential(size=4000) ** 2 / np.sqrt(n)
+    bits = np.where(np.arange(2)[None, :] == names[:, None], own[:, None], own[:, None] + 1)
+    lang_id.calibrate(model, names, bits, n)
+    over = model.excess(bits.min(1), bits.argmin(1), n)
+    assert model.limit > lang_id.LEAST_LIMIT and 0 < (over > model.limit / lang_id.MARGIN).mean() <= 0.0011
+
+
 def test_language_edge_cases(spark):
     model = lang_id.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     got = lang_id.classify(cases(spark), model).collect()
