@@ -16,37 +16,53 @@ from gridloom.session import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that no language's model accepts; the models learn from a bounded labelled sample of ``docs``."""
+    """Drops documents that no language's model accepts; the models learn from a bounded labelled sample of ``docs``.
+
+    Documents without a letter, null texts among them, are not accepted by any. Rows that repeat are judged alike.
+    Without any labelled text nothing is known to be a language, and all go; an empty table stays empty.
+    """
     ship(spark)
     model = lang_id.train(docs, crc_mod(F.col("doc_id"), 4) != 2)
     return lang_id.classify(docs, model).filter("lang_accepted").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that ten documents or more share out of all of them; the documents stay."""
+    """Cuts lines that ten documents or more share out of all of them; the documents stay, ``n_chars`` is counted anew.
+
+    Null texts stay null, with null ``n_chars``. Rows that repeat id and text are one document here and lose the same lines.
+    """
     ship(spark)
     out = line_dedup.deduplicate(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the one of smallest id."""
+    """Keeps one document of each group of near duplicates, the one of smallest id, and of rows that repeat it one.
+
+    Null, empty and blank texts are no duplicates of each other. Null ids come after all others.
+    """
     ship(spark)
     return minhash_dedup.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them: not at all, once or twice."""
+    """Documents as often as the mix to target weights takes them: not at all, once or twice.
+
+    Texts without words, null ones too, are not taken. A null source is a source. Repeated rows count each.
+    """
     ship(spark)
     return mixing.mix(docs)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether decoding them gives the text back."""
+    """Token ids of every text, and whether decoding them gives the text back.
+
+    A null text counts as empty. Every row is encoded on its own; an empty table gives an empty one.
+    """
     ship(spark)
-    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, PATTERN)
+    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, PATTERN, decoded_col="decoded")
     same = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
-    return byte_bpe.decode(ids, VOCABULARY).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [
