@@ -1,15 +1,17 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the multiset of its five-word shingles, each weighted by its count and by an idf between 1 and 2.
-Document frequencies of all shingles are counted in a count-min sketch of fixed size, which is summed over
-partitions and broadcast. Improved consistent weighted sampling (Ioffe 2010) draws ``BANDS * ROWS`` samples, such
-that two documents agree in a sample with probability equal to their weighted Jaccard similarity; bands of
-samples make buckets, and pairs from a bucket are verified on their full shingles.
-
-Exact copies are gathered first. Of a bucket, only pairs with its two leaders are verified at once, so their number is
-linear in its size however large a group of copies is. What that leaves apart in a common bucket is compared by
-samples: first the best partners of each text are verified, as they join most, and then every promising pair
-that is still apart. Large buckets are cut into parts, and every part meets every other.
+Document frequencies are counted over all documents in a count-min sketch whose width follows the number of
+documents; it is summed over partitions and broadcast. Improved consistent weighted sampling (Ioffe 2010) draws
+``BANDS * ROWS`` samples, such that two documents agree in a sample with probability equal to their weighted Jaccard
+similarity; bands of samples make buckets, and pairs from a bucket are verified on all their shingles.
+
+Exact copies are gathered first, so a text counts once however often it is repeated. A bucket's members come to a
+task with their shingles, and all pairs of them are verified that are not connected yet; a pair counts in the first
+band that it shares. Buckets of equal members are searched once. Buckets of more than a block are cut into parts:
+members of a part meet each other and the bucket's two leaders, which joins what a large group of copies consists of;
+then every part meets every other, save that members of the largest component do not meet each other. No
+number of members, partners or candidates is cut off anywhere.
 """
 
 from __future__ import annotations
@@ -20,20 +22,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.llm.common import materialise, quoted
+from gridloom.llm.common import fresh, materialise, quoted, slices, temporary
 from gridloom.operators.components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
-#: The sketch: rows and cells of a row. Entries of the tables that random variables are drawn from.
-DEPTH, WIDTH, TABLE = 2, 1 << 21, 1 << 16
-#: Members of a bucket's part; partners verified per text before all others are; least share of agreeing samples.
-BLOCK, PARTNERS, PROMISING = 2048, 3, 0.55
+#: Rows of the sketch; least and most binary digits of its width; entries of the tables that random variables are drawn from.
+DEPTH, WIDTH_BITS, TABLE = 2, (20, 23), 1 << 16
+#: Members, and shingles, of a part of a bucket; least share of agreeing samples of a pair that is read in full, more than
+#: five standard deviations below what a linked pair shows.
+BLOCK, BLOCK_SHINGLES, PROMISING = 2048, 2_000_000, 0.5
+#: Nodes that a broadcast may name (some 40 bytes each).
+BROADCAST_NODES = 500_000
 #: Bytes of text shingled at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,7 +59,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts with A-Z lower-cased: document index and 32-bit hash of each five-word shingle, by document and hash,
+    """For texts with A-Z lower-cased: document index and 64-bit hash of each five-word shingle, by document and hash,
     with repeats; and a 128-bit hash of each document's word sequence as two columns.
 
     A text of one to four words is one shingle; a text without words has none.
@@ -65,7 +71,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     starts = np.flatnonzero(first)
     content = np.zeros((len(texts), 2), _U)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint32), content[:, 0], content[:, 1]
+        return np.zeros(0, np.int64), np.zeros(0, _U), content[:, 0], content[:, 1]
     ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
     length = ends - starts
     inside = np.arange(len(raw)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(raw)]))
@@ -86,8 +92,9 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     full = place + WORDS <= n[doc]
     whole = (place == 0) & (n[doc] < WORDS)
     keep = np.flatnonzero(full | whole)
-    doc, h = doc[keep], (_mix(joined[keep]) >> _U(32)).astype(np.uint32)
-    order = np.argsort((doc.astype(_U) << _U(32)) | h.astype(_U), kind="stable")
+    doc, h = doc[keep], _mix(joined[keep])
+    bits = len(texts).bit_length()
+    order = np.argsort((doc.astype(_U) << _U(64 - bits)) | (h >> _U(bits)))
     return doc[order], h[order], content[:, 0], content[:, 1]
 
 
@@ -99,22 +106,26 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[new], h[new], np.diff(np.r_[new, len(h)])
 
 
-def _cells(h: np.ndarray) -> list[np.ndarray]:
-    mixed = _mix(h.astype(_U) + _U(0x5851F42D4C957F2D))
-    return [(mixed >> _U(21 * k)).astype(np.int64) & (WIDTH - 1) for k in range(DEPTH)]
+def _cells(h: np.ndarray, width: int) -> list[np.ndarray]:
+    mixed = _mix(h + _U(0x5851F42D4C957F2D))
+    return [(mixed >> _U(24 * k)).astype(np.int64) & (width - 1) for k in range(DEPTH)]
 
 
 class Weights:
-    """idf of shingles by the sketch: 1 for one in every document, 2 for one in a single document."""
+    """idf of shingles by the sketch: 1 for one in every document, 2 for a rare one, in steps of 1/255.
+
+    A cell holds its shingle's documents and its share of all others. What does not stand out from that share by three
+    deviations cannot be told from a rare shingle and counts as one.
+    """
 
     def __init__(self, sketch: np.ndarray, docs: int):
-        noise = sketch.mean(1, keepdims=True)
-        # a cell holds its shingle's documents and, on average, its share of all others
-        df = np.clip(sketch - noise.astype(np.float32), 1, max(docs, 1))
-        self.table = (2 - np.log(df) / np.log(max(docs, 2))).astype(np.float32)
+        mean, spread = sketch.mean(1, keepdims=True), np.sqrt(np.median(sketch, 1, keepdims=True) + 1)
+        df = np.where(sketch > mean + 3 * spread, sketch - mean, 1).clip(1, max(docs, 1))
+        self.table = np.round(255 * (1 - np.log(df) / np.log(max(docs, 2)))).astype(np.uint8)
 
     def idf(self, h: np.ndarray) -> np.ndarray:
-        return np.maximum.reduce([row[c] for row, c in zip(self.table, _cells(h), strict=True)])
+        steps = np.maximum.reduce([row[c] for row, c in zip(self.table, _cells(h, self.table.shape[1]), strict=True)])
+        return np.float32(1) + steps * np.float32(1 / 255)
 
 
 def _random_tables() -> tuple[np.ndarray, ...]:
@@ -130,13 +141,14 @@ def samples(doc: np.ndarray, h: np.ndarray, log_weight: np.ndarray, n: int, tabl
     """``n x (BANDS * ROWS)`` samples as 32-bit identities; documents without shingles get zeros.
 
     Random variables of a shingle and sample come from tables, at a place that their hash gives. The shingle that
-    minimises ln a = ln c - ln y - r is drawn, y being the weight rounded down on a random grid (r, beta).
+    minimises ln a = ln c - ln y - r is drawn, y being the weight rounded down on a random grid (r, beta). Its
+    identity is 32 bits of its hash.
     """
     r, inverse, beta, rest = tables
     out = np.zeros((n, len(_MULTIPLIERS)), np.uint32)
     if not len(h):
         return out
-    wide = _mix(h.astype(_U))
+    wide, short = _mix(h), h & _U(0xFFFFFFFF)
     begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     who = doc[begin]
     for k, m in enumerate(_MULTIPLIERS):
@@ -145,7 +157,7 @@ def samples(doc: np.ndarray, h: np.ndarray, log_weight: np.ndarray, n: int, tabl
         log_a = rest[at] - rk * (np.floor(log_weight * inverse[at] + bk) - bk)
         bits = log_a.view(np.uint32)
         order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
-        key = (order.astype(_U) << _U(32)) | h
+        key = (order.astype(_U) << _U(32)) | short
         out[who, k] = (_mix(np.minimum.reduceat(key, begin)) >> _U(32)).astype(np.uint32)
     return out
 
@@ -169,30 +181,37 @@ def _node(c1: np.ndarray, c2: np.ndarray) -> pa.Array:
     return pa.array([both[16 * i : 16 * i + 16] for i in range(len(c1))], pa.binary())
 
 
+def _width(docs: int) -> int:
+    """Cells of a sketch row: eight for each document, within bounds."""
+    low, high = WIDTH_BITS
+    return 1 << min(high, max(low, (8 * max(docs, 1) - 1).bit_length()))
+
+
 def _sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Document frequencies of all shingles in the sketch's cells, and the number of documents."""
-    parts = 64
+    n_docs = docs.count()
+    width, parts = _width(n_docs), 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros((DEPTH, WIDTH), np.uint32), 0
+        sums, n = np.zeros((DEPTH, width), np.uint32), 0
         for b in batches:
             for _, some in _chunks(b.column(0)):
                 doc, h, _, _ = shingles(some)
                 _, h, _ = distinct(doc, h)
                 n += len(some)
-                for row, c in zip(sums, _cells(h), strict=True):
-                    np.add(row, np.bincount(c, minlength=WIDTH).astype(np.uint32), out=row)
+                for row, c in zip(sums, _cells(h, width), strict=True):
+                    np.add.at(row, c, np.uint32(1))
         if n:
             for k, piece in enumerate(np.array_split(sums.ravel(), parts)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(piece.astype(np.uint64).tobytes(), 1)], pa.binary()), pa.array([n if not k else 0], pa.int64())], names=["piece", "sums", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(piece.astype(np.uint64).tobytes(), 1)], pa.binary())], names=["piece", "sums"])
 
-    schema = "piece int, sums binary, n long"
+    schema = "piece int, sums binary"
     salted = docs.select("text").mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
     rows = salted.groupBy("piece", "salt").applyInArrow(_add_pieces, schema).groupBy("piece").applyInArrow(_add_pieces, schema).collect()
     if not rows:
-        return np.zeros((DEPTH, WIDTH), np.float32), 0
+        return np.zeros((DEPTH, width), np.float32), 0
     flat = np.concatenate([np.frombuffer(zlib.decompress(r["sums"]), np.uint64) for r in sorted(rows, key=lambda r: r["piece"])])
-    return flat.reshape(DEPTH, WIDTH).astype(np.float32), sum(r["n"] for r in rows)
+    return flat.reshape(DEPTH, width).astype(np.float32), n_docs
 
 
 def _add_pieces(key, table):
@@ -200,7 +219,7 @@ def _add_pieces(key, table):
     for x in table.column("sums"):
         piece = np.frombuffer(zlib.decompress(x.as_py()), np.uint64)
         total = piece.copy() if total is None else total + piece
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()), "n": pa.array([pa.compute.sum(table.column("n")).as_py()], pa.int64())})
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def weighted_jaccard(h1, w1, h2, w2) -> float:
@@ -212,186 +231,264 @@ def weighted_jaccard(h1, w1, h2, w2) -> float:
     return float(low / (w1.sum() + w2.sum() - low))
 
 
-def _partners(key, t: pa.Table, similarity: float, most: int | None) -> pa.Table:
-    """``a, b``: promising pairs of two components in a group that ``_groups`` dealt, the ``most`` best of each text or all.
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each band of each signature (texts x BANDS)."""
+    sig = sig.reshape(len(sig), BANDS, ROWS).astype(_U)
+    h = np.broadcast_to(np.arange(1, BANDS + 1).astype(_U)[None, :] * _U(0x9E3779B97F4A7C15), sig.shape[:2])
+    for k in range(ROWS):
+        h = _mix(h ^ sig[:, :, k]) + _U(k + 1)
+    return h
+
+
+class _Members:
+    """Texts of one group with their shingles: finds links between texts of different components."""
+
+    def __init__(self, t: pa.Table, weights: Weights, similarity: float, plain: bool):
+        self.similarity = similarity - 1e-9
+        self.node = t.column("node").combine_chunks()
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(t), -1)
+        self.bands = band_hashes(self.sig)
+        packed = t.column("h").to_pylist()
+        self.n = np.array([len(x) // 8 for x in packed])
+        h = np.frombuffer(b"".join(packed), _U)
+        times = np.concatenate([np.frombuffer(x, np.uint32) if x else np.ones(k, np.uint32) for x, k in zip(t.column("tf").to_pylist(), self.n, strict=True)])
+        self.begin = np.cumsum(self.n) - self.n
+        self.vocabulary, self.at = np.unique(h, return_inverse=True)
+        idf = weights.idf(self.vocabulary).astype(np.float64)
+        #: Weights by place: with idf, and plain counts if those may link as well.
+        self.weights = [times * idf[self.at], *([times.astype(np.float64)] if plain else [])]
+        self.sums = [np.add.reduceat(w, self.begin) for w in self.weights]
+        self.dense = np.zeros(len(self.vocabulary))
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others`` reach the similarity to text ``i``, on all their shingles."""
+        own = slice(self.begin[i], self.begin[i] + self.n[i])
+        n = self.n[others]
+        edge = np.cumsum(n) - n
+        flat = np.arange(n.sum()) - np.repeat(edge - self.begin[others], n)
+        good = np.zeros(len(others), bool)
+        for w, sums in zip(self.weights, self.sums, strict=True):
+            self.dense[self.at[own]] = w[own]
+            low = np.add.reduceat(np.minimum(w[flat], self.dense[self.at[flat]]), edge)
+            good |= low >= self.similarity * (sums[others] + sums[i] - low)
+        self.dense[self.at[own]] = 0
+        return good
+
+    def links(self, band: int, comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Links between ``left`` and ``right`` rows of different components, as many as it takes to connect what they connect."""
+        out: list[tuple[int, int]] = []
+        both = left & right
+        for i in np.flatnonzero(left):
+            others = np.flatnonzero(right & (comp != comp[i]))
+            if both[i]:
+                others = others[(others > i) | ~both[others]]
+            if not len(others):
+                continue
+            fits = np.zeros(len(others), bool)
+            for sums in self.sums:
+                fits |= np.minimum(sums[others], sums[i]) >= self.similarity * np.maximum(sums[others], sums[i])
+            others = others[fits]
+            shared = self.bands[others] == self.bands[i]
+            # in the first band that the two share
+            others = others[shared[:, band] & (shared.argmax(1) == band)]
+            others = others[(self.sig[others] == self.sig[i]).mean(1) >= PROMISING]
+            if len(others):
+                for j in others[self.similar(i, others)]:
+                    if comp[j] != comp[i]:
+                        out.append((i, j))
+                        comp[comp == comp[j]] = comp[i]
+        return out
 
-    Members of a bucket's largest component do not meet each other. A pair counts in the first band that it shares, and
-    its sizes, by counts or by weights, must allow the similarity.
-    """
-    band, low, high, large = (k.as_py() for k in key[1:])
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(t), -1)
-    node, comp = t.column("node").combine_chunks(), t.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-    big, part, plain, weight = (t.column(c).to_numpy() for c in ("big", "part", "plain", "weight"))
-    if large or low < high:
-        left, right = (~big, big) if large else (part == low, part == high)
+
+_GROUP = ["bucket", "low", "high", "large"]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of equal ``keys``, which lie together, as one table each."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
+            key = tuple(c[s] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _searched(shared, similarity: float, plain: bool):
+    """Over sorted groups of members: the links of each, as rows ``a, b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value[0]
+        for t in _runs(batches, _GROUP):
+            if len(t) < 2:
+                continue
+            members = _Members(t, weights, similarity, plain)
+            comp = t.column("component").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+            part, big = (t.column(c).to_numpy(zero_copy_only=False) for c in ("part", "big"))
+            low, high, large = (t.column(c)[0].as_py() for c in ("low", "high", "large"))
+            if large:
+                left, right = ~big, big
+            elif low < high:
+                left, right = part == low, part == high
+            else:
+                left = right = np.ones(len(t), bool)
+            found = members.links(t.column("band")[0].as_py(), comp, left, right)
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([members.node.take(pa.array(i)), members.node.take(pa.array(j))], names=["a", "b"])
+
+    return run
+
+
+def _id_key(least: Column, node: Column, kind: T.DataType) -> Column:
+    """Binary names of texts that sort by their least id, null last, and end with the 16 bytes of the text's hash."""
+    if isinstance(kind, T.IntegralType):
+        body = F.unhex(F.lpad(F.hex(least.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     else:
-        left, right = ~big, np.ones(len(t), bool)
-    right, found = np.flatnonzero(right), []
-    for at in np.flatnonzero(left):
-        others = right[comp[right] != comp[at]]
-        if most is None and not large and low == high:
-            others = others[(others > at) | big[others]]
-        fits = [np.minimum(x[others], x[at]) >= (similarity - 1e-9) * np.maximum(x[others], x[at]) for x in (plain, weight)]
-        others = others[fits[0] | fits[1]]
-        same = sig[others] == sig[at]
-        share = same.mean(1)
-        good = np.flatnonzero(share >= PROMISING)
-        shared = same[good].reshape(len(good), BANDS, ROWS).all(2)
-        good = good[shared[:, band] & (shared.argmax(1) == band)]
-        if most is not None:
-            good = good[np.argsort(-share[good], kind="stable")[:most]]
-        found.append(np.stack([np.full(len(good), at), others[good]], 1))
-    i, j = np.concatenate(found).T if found else np.zeros((2, 0), np.int64)
-    return pa.table({"a": node.take(pa.array(i)), "b": node.take(pa.array(j))})
-
-
-def _asking(similarity: float, most: int | None):
-    def ask(key, t):
-        return _partners(key, t, similarity, most)
-
-    return ask
+        body = least.cast("string").cast("binary")
+    return F.when(least.isNull(), F.concat(F.unhex(F.lit("01")), node)).otherwise(F.concat(F.unhex(F.lit("00")), body, node))
 
 
-def _groups(members: DataFrame) -> DataFrame:
-    """Members of buckets with more than one component, dealt to groups in which each two of them meet, save two of the largest.
-
-    ``members`` has ``bucket, node, component``; added are whether a member is of the largest component (``big``),
-    its ``part``, and the parts (``low``, ``high``) that meet in the group, ``high`` being one of the largest component if ``large``.
-    """
-    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("of"))
-    sizes = sizes.filter("components > 1").select("bucket", "of", F.col("largest.n").alias("n_big"), F.col("largest.component").alias("top"))
-    parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    small, large = parts(F.col("of") - F.col("n_big")), parts(F.col("n_big"))
-    out = members.join(sizes, "bucket").withColumn("big", F.col("component") == F.col("top"))
-    out = out.withColumn("part", F.when(F.col("of") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("big"), large).otherwise(small)).cast("int")))
-    group = lambda low, high, big: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(big).alias("large"))
-    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
-    own = F.col("part")
-    asking = F.concat(each(small, lambda q: group(F.least(own, q), F.greatest(own, q), False)), each(large, lambda q: group(own, q, True)))
-    where = F.when(F.col("of") <= BLOCK, F.array(group(F.lit(0), F.lit(0), False))).when(F.col("big"), each(small, lambda q: group(q, own, True))).otherwise(asking)
-    return out.withColumn("g", F.explode(where)).select(*members.columns, "big", "part", "g.low", "g.high", "g.large")
+def _key_id(key: Column, kind: T.DataType) -> Column:
+    """The id that a name starts with."""
+    if isinstance(kind, T.IntegralType):
+        h = F.hex(F.substring(key, 2, 8))
+        word = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+        found = F.shiftleft(word(1), 32).bitwiseOR(word(9)).bitwiseXOR(F.lit(-(1 << 63))).cast(kind)
+    else:
+        found = key.substr(F.lit(2), F.length(key) - 17).cast("string").cast(kind)
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", found)
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, plain: bool = True) -> DataFrame:
     """``doc_id, row_key, class_id, kept``: one row per row of ``df``.
 
-    Documents are linked if their weighted Jaccard similarity reaches ``similarity``, by TF-IDF weights or by plain
-    counts; classes are what links connect, and ``class_id`` is the smallest id in it (null if all are). A row is
+    Documents are linked if their Jaccard similarity by TF-IDF weights reaches ``similarity``, or with ``plain`` that by counts
+    alone: in very large groups of copies what they share weighs little, and the weights alone would lose links that
+    plain shingles have. Classes are what links connect, and ``class_id`` is the smallest id in it (null if all are). A row is
     kept if it has that id. Case of A-Z and white space make no difference. Null, empty and blank texts have
     no shingles and are classes of their own. ``row_key`` is a hash of id and text; rows that repeat both share a class.
+    Ids are integers or strings; nulls come last. An empty table gives an empty result; further columns are not looked at.
     """
     docs = df.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    with temporary(spark) as keep:
+        return keep(_classes(docs, similarity, plain), "icws-classes")
+
+
+def _classes(docs: DataFrame, similarity: float, plain: bool) -> DataFrame:
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
     sketch, n_docs = _sketch(docs)
-    shared = sc.broadcast((Weights(sketch, n_docs), _random_tables()))
+    shared = spark.sparkContext.broadcast((Weights(sketch, n_docs), _random_tables()))
     keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, tables = shared.value
-        for b in batches:
-            for at, some in _chunks(b.column("text")):
-                doc, h, c1, c2 = shingles(some)
-                doc, h, tf = distinct(doc, h)
-                sig = samples(doc, h, np.log(tf.astype(np.float32) * weights.idf(h)), len(some), tables) if len(h) else np.zeros((len(some), BANDS * ROWS), np.uint32)
-                n = np.bincount(doc, minlength=len(some))
-                count = np.minimum(tf, 65535).astype(np.float64)
-                sums = [np.bincount(doc, w, len(some)).astype(np.float64) for w in (count, count * weights.idf(h))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(some)), b.column("row_key").slice(at, len(some)), _node(c1, c2), pa.array(n), pa.array([s.tobytes() for s in sig], pa.binary()), *map(pa.array, sums)], names=["doc_id", "row_key", "node", "n", "sig", "plain", "weight"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = materialise(keyed.select("doc_id", "row_key", "text").mapInArrow(sign, f"doc_id {id_type}, row_key long, node binary, n long, sig binary, plain double, weight double"), "icws-signed")
-    texts = signed.filter(F.col("n") > 0).groupBy("node").agg(F.min_by(F.struct("doc_id", "row_key"), F.struct("row_key")).alias("of"), *(F.first(c).alias(c) for c in ("sig", "plain", "weight")))
-    texts = materialise(texts.select("node", F.col("of.doc_id").alias("of_id"), F.col("of.row_key").alias("of_key"), "sig", "plain", "weight"), "icws-texts")
+        for whole in batches:
+            for b in slices(whole):
+                for at, some in _chunks(b.column("text")):
+                    doc, h, c1, c2 = shingles(some)
+                    doc, h, tf = distinct(doc, h)
+                    sig = samples(doc, h, np.log(tf.astype(np.float32) * weights.idf(h)), len(some), tables)
+                    edge = np.searchsorted(doc, np.arange(len(some) + 1)).tolist()
+                    cuts = list(zip(edge[:-1], edge[1:], strict=True))
+                    counts = pa.array([tf[x:y].astype(np.uint32).tobytes() if (tf[x:y] > 1).any() else b"" for x, y in cuts], pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [*(b.column(c).slice(at, len(some)) for c in ("doc_id", "row_key")), _node(c1, c2), pa.array(np.diff(edge)), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([h[x:y].tobytes() for x, y in cuts], pa.binary()), counts],
+                        names=["doc_id", "row_key", "node", "n", "sig", "h", "tf"],
+                    )
+
+    signed = materialise(keyed.select("doc_id", "row_key", "text").mapInArrow(sign, f"doc_id {kind.simpleString()}, row_key long, node binary, n long, sig binary, h binary, tf binary"), "icws-signed")
+    texts = signed.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("of_key"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    texts = materialise(texts.withColumn("name", _id_key(F.col("least"), F.col("node"), kind)), "icws-texts")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(len(b), BANDS, ROWS).astype(_U)
-                h = np.arange(1, BANDS + 1).astype(_U)[None, :] * _U(0x9E3779B97F4A7C15)
-                for k in range(ROWS):
-                    h = _mix(h ^ sig[:, :, k]) + _U(k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(b))), b.column("node").take(pa.array(np.repeat(np.arange(len(b)), BANDS)))], names=["bucket", "band", "node"])
-
-    banded = materialise(texts.select("node", "sig").mapInArrow(bands, "bucket long, band int, node binary"), "icws-bands")
-    leaders = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead"), F.max("node").alias("other")).filter(F.col("size") > 1)
-    shared_buckets = materialise(banded.join(leaders, "bucket"), "icws-buckets")
-    stars = shared_buckets.select("node", F.explode(F.array("lead", "other")).alias("lead")).filter(F.col("node") != F.col("lead"))
-    pairs = stars.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    sigs = texts.select("node", "sig")
-    # texts in shared buckets alone: their shingles are all that verification reads
-    named = shared_buckets.select("node").distinct().join(texts, "node").select("node", F.col("of_id").alias("t_id"), F.col("of_key").alias("t_key"))
-    wanted = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("row_key") == F.col("t_key")))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at, some in _chunks(b.column("text")):
-                doc, h, _, _ = shingles(some)
-                doc, h, tf = distinct(doc, h)
-                edge = np.searchsorted(doc, np.arange(len(some) + 1))
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(at, len(some)), pa.array([h[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), pa.array([np.minimum(tf[x:y], 65535).astype(np.uint16).tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], names=["node", "h", "tf"])
-
-    packed = materialise(wanted.select("node", "text").mapInArrow(pack, "node binary, h binary, tf binary").groupBy("node").agg(F.first("h").alias("h"), F.first("tf").alias("tf")), "icws-shingles")
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        """Pairs that agree in enough samples to be worth reading."""
-        left, right = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-
-        def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if len(b):
-                    x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(len(b), -1) for c in ("sa", "sb"))
-                    good = np.flatnonzero((x == y).mean(1) >= PROMISING)
-                    yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
-
-        return pairs.join(left, "a").join(right, "b").mapInArrow(agree, "a binary, b binary")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs whose similarity reaches the threshold, on all their shingles."""
-        left, right = packed.select(F.col("node").alias("a"), F.col("h").alias("ha"), F.col("tf").alias("ta")), packed.select(F.col("node").alias("b"), F.col("h").alias("hb"), F.col("tf").alias("tb"))
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = shared.value[0]
-            for b in batches:
-                good = []
-                for i, (ha, ta, hb, tb) in enumerate(zip(*(b.column(c) for c in ("ha", "ta", "hb", "tb")), strict=True)):
-                    h1, h2 = (np.frombuffer(x.as_py(), np.uint32) for x in (ha, hb))
-                    t1, t2 = (np.frombuffer(x.as_py(), np.uint16).astype(np.float64) for x in (ta, tb))
-                    good.append(min(len(h1), len(h2)) and (weighted_jaccard(h1, t1, h2, t2) >= similarity or weighted_jaccard(h1, t1 * weights.idf(h1), h2, t2 * weights.idf(h2)) >= similarity))
-                some = pa.array(np.flatnonzero(np.array(good, bool)))
-                yield pa.RecordBatch.from_arrays([b.column(c).take(some) for c in ("a", "b")], names=["a", "b"])
-
-        return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a binary, b binary")
-
-    tried = materialise(promising(pairs), "icws-tried")
-    links = materialise(verified(tried), "icws-links")
-    # of up to three members, all pairs have been tried with the leaders
-    wide = shared_buckets.filter(F.col("size") > 3).select("bucket", "band", "node")
-    named_components = lambda: connected_components(links).select(F.col("id").alias("node"), "component")
-    label = named_components()
-    for most in (PARTNERS, None):
-        members = wide.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        dealt = _groups(members).join(texts.select("node", "sig", "plain", "weight"), "node")
-        more = dealt.groupBy("bucket", "band", "low", "high", "large").applyInArrow(_asking(similarity, most), "a binary, b binary")
-        more = materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "icws-more")
-        tried = materialise(tried.union(more), "icws-tried")
-        links = materialise(links.union(verified(more)), "icws-links")
-        label = named_components()
-    by_node = signed.join(label, "node", "left").select("doc_id", "row_key", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"))
-    least_id = by_node.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    out = by_node.join(least_id, "component", "left").withColumn("class_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
+                h = band_hashes(np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(len(b), -1))
+                at = pa.array(np.repeat(np.arange(len(b)), BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(b))), b.column("node").take(at), b.column("n").take(at)], names=["bucket", "band", "node", "n"])
+
+    banded = materialise(texts.select("node", "n", "sig").mapInArrow(bands, "bucket long, band int, node binary, n long"), "icws-bands")
+    a_set = [F.xxhash64("node").alias("x"), F.xxhash64(F.lit("second"), "node").alias("y")]
+    buckets = banded.select("*", *a_set).groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("node").alias("lead"), F.max("node").alias("other"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter(F.col("size") > 1)
+    # of buckets with the same members the first; what two texts share first is always among these
+    buckets = buckets.groupBy("size", "lead", "other", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("first"), F.max("shingles").alias("shingles"))
+    pieces = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    buckets = materialise(buckets.select("first.bucket", "size", "lead", "other", pieces.alias("pieces")), "icws-buckets")
+    members = materialise(banded.select("bucket", "band", "node").join(buckets, "bucket"), "icws-members")
+    wanted = materialise(members.select("node").distinct().join(texts.select("node", "of_key", "name"), "node"), "icws-wanted")
+    few = wanted.count() <= BROADCAST_NODES
+    named = wanted.select(F.col("node").alias("w_node"), "of_key", "name")
+    read = signed.select("node", "row_key", "sig", "h", "tf").join(F.broadcast(named) if few else named, (F.col("node") == F.col("w_node")) & (F.col("row_key") == F.col("of_key"))).select("node", "name", "sig", "h", "tf")
+    # rows that repeat id and text have the same key
+    packed = materialise(read.groupBy("node").agg(*(F.first(c).alias(c) for c in ("name", "sig", "h", "tf"))), "icws-shingles")
+
+    def search(groups: DataFrame) -> DataFrame:
+        """``a, b``: links within each group, by names."""
+        rows = groups.join(packed, "node").select(*_GROUP, "band", "component", "part", "big", F.col("name").alias("node"), "sig", "h", "tf")
+        return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_searched(shared, similarity, plain), "a binary, b binary")
+
+    no = F.lit(False)
+    part = F.pmod(F.xxhash64("node", "bucket"), F.col("pieces")).cast("int")
+    is_lead = (F.col("node") == F.col("lead")) | (F.col("node") == F.col("other"))
+    # the leaders are in every part
+    where = F.when((F.col("pieces") > 1) & is_lead, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(part))
+    inside = members.withColumn("low", F.explode(where)).select("bucket", "band", "node", "low", F.col("low").alias("high"), no.alias("large"), F.col("node").alias("component"), F.col("low").alias("part"), no.alias("big"))
+    links = materialise(search(inside), "icws-links")
+    found = connected_components(links)
+    cut = members.filter("pieces > 1").select("bucket", "band", "node", "pieces")
+    if not cut.isEmpty():
+        label = wanted.join(found.withColumnRenamed("id", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("component"))
+        links = materialise(links.union(search(_groups(cut.join(label, "node")))), "icws-links")
+        found = connected_components(links)
+    by_node = texts.join(found.withColumnRenamed("id", "name"), "name", "left").select("node", _key_id(F.coalesce("component", "name"), kind).alias("of_class"))
+    out = signed.select("doc_id", "row_key", "node", "n").join(by_node, "node", "left")
+    out = out.select("doc_id", "row_key", F.when(F.col("n") > 0, F.col("of_class")).otherwise(F.col("doc_id")).alias("class_id"))
     return out.select("doc_id", "row_key", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each class; of rows that repeat the kept id and text, one."""
-    named = classes(df, id_col, text_col).filter("kept")
-    named = named.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.count(F.lit(1)).alias("__rows"))
-    named = materialise(named, "icws-kept")
+def _groups(members: DataFrame) -> DataFrame:
+    """Members of buckets with more than one component, dealt to groups in which each two of them meet, save two of the largest.
+
+    ``members`` has ``bucket, band, node, component, pieces``; added are whether a member is of the largest component (``big``),
+    its ``part``, and the parts (``low``, ``high``) that meet in the group, ``high`` being one of the largest component if ``large``.
+    """
+    sizes = members.groupBy("bucket", "component", "pieces").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("of"), F.max("pieces").alias("cut"))
+    sizes = sizes.filter("components > 1").select("bucket", F.col("largest.component").alias("top"), *(F.greatest(F.ceil(F.col("cut") * n / F.col("of")), F.lit(1)).cast("int").alias(name) for name, n in (("small", F.col("of") - F.col("largest.n")), ("wide", F.col("largest.n")))))
+    out = members.join(sizes, "bucket").withColumn("big", F.col("component") == F.col("top"))
+    out = out.withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("big"), F.col("wide")).otherwise(F.col("small"))).cast("int"))
+    group = lambda low, high, big: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(big).alias("large"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    own = F.col("part")
+    asking = F.concat(each("small", lambda q: group(F.least(own, q), F.greatest(own, q), False)), each("wide", lambda q: group(own, q, True)))
+    where = F.when(F.col("big"), each("small", lambda q: group(q, own, True))).otherwise(asking)
+    return out.withColumn("g", F.explode(where)).select("bucket", "band", "node", "component", "big", "part", "g.low", "g.high", "g.large")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``df`` with one document of each class, that of smallest id; of rows that repeat the kept id and text, one.
+
+    Texts that differ but share the kept id all stay. Null, empty and blank texts stay, as classes of their own. Column
+    names are free; an empty table stays empty.
+    """
+    named = classes(df, id_col, text_col, **options).filter("kept")
+    own_id, own_key, rows, row_key = fresh(df, "kept_id", "kept_key", "kept_rows", "row_key")
+    named = named.groupBy(F.col("doc_id").alias(own_id), F.col("row_key").alias(own_key)).agg(F.count(F.lit(1)).alias(rows))
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    joined = df.withColumn("__rk", F.xxhash64(F.col(quoted(id_col)), text)).join(named, F.col(quoted(id_col)).eqNullSafe(F.col("__id")) & (F.col("__rk") == F.col("__key")))
-    if not named.filter(F.col("__rows") > 1).isEmpty():
-        joined = joined.dropDuplicates(["__id", "__key"])
+    joined = df.withColumn(row_key, F.xxhash64(F.col(quoted(id_col)), text)).join(named, F.col(quoted(id_col)).eqNullSafe(F.col(own_id)) & (F.col(row_key) == F.col(own_key)))
+    if not named.filter(F.col(rows) > 1).isEmpty():
+        joined = joined.dropDuplicates([own_id, own_key])
     return joined.select(*(F.col(quoted(c)) for c in df.columns))
 
 

@@ -426,19 +426,44 @@ def test_links_among_many_texts_on_one_template(spark, monkeypatch):
     assert len(set(got.values())) > 100
 
 
-def test_smaller_side_asks_without_a_cap():
-    import numpy as np
-    import pyarrow as pa
+@pytest.mark.parametrize("block", [2048, 16])
+def test_every_linked_pair_of_a_crowd_is_found(spark, monkeypatch, block):
+    # one template, copies of it, and texts between: buckets of many components, in one part or cut into several
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    template = [f"t{k}" for k in range(200)]
+    rows = []
+    for k in range(150):
+        own = list(template)
+        for p in rng.sample(range(200), rng.choice([0, 1, 2, 4, 6, 8])):
+            own[p] = f"u{k}x{p}"
+        rows.append((k, " ".join(own)))
+    sets = {k: five_words(t) for k, t in rows}
+    parent = list(range(150))
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = parent[a], parent[b]
+                parent = [min(x, y) if p in (x, y) else p for p in parent]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] for a in sets for b in range(a) if parent[a] == parent[b])
+    # weights may link a little more than plain counts, never unlike texts
+    assert len(set(got.values())) >= 0.8 * len(set(parent)) > 10
+
+
+def test_plain_links_are_needed_in_crowds(spark):
+    rows = one_template(5, texts=120, pairs=0)
+    rows = [*rows, (1000, rows[0][1].replace("t500", "zz").replace("t900", "yy").replace("t100 ", "xx "))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.class_id == 0 for r in minhash_dedup.classes(df).filter("doc_id in (0, 1000)").collect())
+
 
-    # text 0 is of the largest component; text 9 has five better partners, of components of their own
-    sig = np.tile(np.arange(80, dtype=np.uint32), (10, 1))
-    for k in range(5):
-        sig[k, 60:] = 1000 + k
-    columns = {"node": [bytes([k]) for k in range(10)], "component": [b"L"] * 4 + [bytes([k]) for k in range(4, 10)], "sig": [x.tobytes() for x in sig], "big": [k < 4 for k in range(10)], "part": [0] * 10, "plain": [1.0] * 10, "weight": [1.0] * 10}
-    key = [pa.scalar(x) for x in (1, 0, 0, 0, False)]
-    pairs = lambda most: {frozenset((r["a"][0], r["b"][0])) for r in minhash_dedup._partners(key, pa.table(columns), 0.8, most).to_pylist()}
-    assert frozenset((0, 9)) not in pairs(3)
-    assert pairs(None) == {frozenset((a, b)) for a in range(10) for b in range(max(a + 1, 4), 10)}
+def test_string_ids_name_classes(spark):
+    rows = [("b", "one two three four five six"), ("a", "One two  three four five six"), (None, "one two three four five six"), ("c", "other words of another text here"), (None, None)]
+    got = sorted(map(str, minhash_dedup.classes(spark.createDataFrame(rows, "doc_id string, text string")).select("doc_id", "class_id", "kept").collect()))
+    assert got == sorted(map(str, spark.createDataFrame([("a", "a", True), ("b", "a", False), (None, "a", False), ("c", "c", True), (None, None, True)], "doc_id string, class_id string, kept boolean").collect()))
+    low = spark.createDataFrame([(-5, "p q r s t u"), (7, "p q r s t u"), (-(1 << 62), "zz")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash_dedup.classes(low).collect()} == {-5: -5, 7: -5, -(1 << 62): -(1 << 62)}
 
 
 def test_consistent_sampling_estimates_similarity():
@@ -446,13 +471,13 @@ def test_consistent_sampling_estimates_similarity():
 
     tables = minhash_dedup._random_tables()
     rng = np.random.default_rng(1)
-    h = np.sort(rng.choice(1 << 32, 1300, replace=False).astype(np.uint32))
+    h = np.sort(rng.choice(1 << 62, 1300).astype(np.uint64))
     w = rng.uniform(1, 2, 1300).astype(np.float32)
     a, b = np.arange(0, 1000), np.arange(150, 1300)
     doc = np.r_[np.zeros(len(a), int), np.ones(len(b), int)]
     agree = []
     for seed in range(30):
-        x = minhash_dedup._mix(h.astype(np.uint64) + np.uint64(seed)).astype(np.uint32)
+        x = minhash_dedup._mix(h + np.uint64(seed))
         sig = minhash_dedup.samples(doc, np.r_[x[a], x[b]], np.log(np.r_[w[a], w[b]]), 2, tables)
         agree.append((sig[0] == sig[1]).mean())
     true = minhash_dedup.weighted_jaccard(h[a], w[a], h[b], w[b])
@@ -463,4 +488,6 @@ def test_near_duplicate_edge_cases(spark):
     got = sorted(((r.doc_id or -1), r.class_id, r.kept) for r in minhash_dedup.classes(cases(spark)).collect())
     assert len(got) == len(CASES) and [g for g in got if g[0] in (1, 2, 6)] == [(1, 1, True), (2, 2, True), (6, 6, True)]
     assert minhash_dedup.deduplicate(cases(spark)).filter("doc_id = 4").count() == 1
+    clash = cases(spark).withColumns({k: F.lit("own") for k in ("kept_id", "kept_key", "kept_rows")})
+    assert {tuple(r) for r in minhash_dedup.deduplicate(clash).select("row_key", "kept_id", "kept_key", "kept_rows").collect()} == {(7, "own", "own", "own")}
     assert minhash_dedup.classes(empty(spark)).count() == 0
