@@ -3,8 +3,8 @@
 Lines go out as 128-bit hashes of their keys, range-partitioned by hash and document and sorted by
 position, so a hot line spreads over as many partitions as its occurrences need. One streaming pass over
 each partition sees the occurrences of a hash one after another. A run that lies within a partition is decided on
-the spot; of the runs at a partition's edges, two at most, partial counts are joined. What comes back is a
-compressed bitmap per document, never text.
+the spot; the runs at a partition's edges, two as a rule, leave a partial count of documents, which are added up and
+broadcast. What comes back is a compressed bitmap per document, never text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import SPACES, append_columns, ascii_lower, materialise, quoted
+from gridloom.llm.common import SPACES, append_columns, ascii_lower, fresh, materialise, position, quoted
 
 
 def line_key(line: Column) -> Column:
@@ -35,55 +35,99 @@ def line_hashes(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 
 
 _OCCURRENCE = ["doc_id", "text_hash", "pos", "h1", "h2"]
+#: What a row of the pass says: a line to drop, one that the totals decide, a partial count with its first occurrence.
+DROPPED, PENDING, COUNT = 0, 1, 2
+#: Rows of an undecided run that are held; a longer one is left to the totals.
+HELD_ROWS = 100_000
+
+
+class _Run:
+    """The run of one hash that is still open while a sorted partition goes by."""
+
+    def __init__(self, min_docs: int, keep_first: bool):
+        self.min_docs, self.keep_first = min_docs, keep_first
+        self.key = self.last = self.first = None
+        self.docs = self.rows = 0
+        self.torn = True  # may have begun in another partition, as the first run does
+        self.held: list[pa.RecordBatch] = []
+
+    def open(self, key: tuple, torn: bool) -> None:
+        self.key, self.torn, self.docs, self.rows, self.first, self.held = key, torn, 0, 0, None, []
+
+    def add(self, rows: pa.RecordBatch, docs: int) -> Iterator[pa.RecordBatch]:
+        if self.first is None:
+            self.first = rows.slice(0, 1)
+            if self.keep_first and not self.torn:
+                rows = rows.slice(1)
+        self.docs += docs
+        self.held.append(rows)
+        self.rows += len(rows)
+        if self.torn:
+            yield from self._flush(PENDING)
+        elif self.docs >= self.min_docs:
+            yield from self._flush(DROPPED)
+        elif self.rows > HELD_ROWS:
+            self.torn = True
+            yield from self._flush(PENDING)
+
+    def _flush(self, kind: int) -> Iterator[pa.RecordBatch]:
+        yield from (_told(b, kind) for b in self.held if len(b))
+        self.held, self.rows = [], 0
+
+    def close(self, at_end: bool) -> Iterator[pa.RecordBatch]:
+        if self.key is not None and (at_end or self.torn):
+            yield from self._flush(PENDING)
+            yield _told(self.first, COUNT, self.docs)
+
+
+def _told(b: pa.RecordBatch, kind: int, docs: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), kind, np.int8)), pa.array(np.full(len(b), docs, np.int64))], names=[*_OCCURRENCE, "told", "docs"])
 
 
 def _stream(min_docs: int, keep_first: bool):
-    """Over one sorted partition: rows of decided runs that lose their line, and all rows of the edge runs."""
+    """Over one sorted partition: lines to drop, rows of runs at its edges, and those runs' counts of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []  # occurrences of the run that is still open, until it is known to be frequent
-        state = {"hash": None, "docs": 0, "last": None, "edge": True}
-
-        def close(edge: bool) -> Iterator[pa.Table]:
-            t = pa.concat_tables(held) if held else None
-            held.clear()
-            if t is None:
-                return
-            if edge or state["edge"]:
-                yield mark(t, True)
-            elif state["docs"] >= min_docs:
-                yield mark(t.slice(1) if keep_first else t, False)
-
-        def mark(t: pa.Table, pending: bool) -> pa.Table:
-            return t.append_column("pending", pa.array(np.full(len(t), pending)))
-
+        state = _Run(min_docs, keep_first)
         for b in batches:
             if not len(b):
                 continue
-            t = pa.table(b)
             h1, h2, th = (b.column(n).to_numpy() for n in ("h1", "h2", "text_hash"))
-            ids = b.column("doc_id").cast(pa.string()).fill_null("").to_numpy(zero_copy_only=False)
-            new_doc = np.ones(len(b), bool)
-            new_doc[1:] = (th[1:] != th[:-1]) | (ids[1:] != ids[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            ends = np.r_[starts[1:], len(b)]
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                same = state["hash"] == (h1[s], h2[s])
-                if not same:
-                    first = state["hash"] is None
-                    for out in close(False):
-                        yield from out.to_batches()
-                    state.update(hash=(h1[s], h2[s]), docs=0, last=None, edge=first)
-                docs = int(new_doc[s:e].sum()) - (same and state["last"] == (ids[s], th[s]))
-                state["docs"] += docs
-                state["last"] = (ids[e - 1], th[e - 1])
-                held.append(t.slice(s, e - s))
-                # a run that is decided, or that can only be pending, need not be held any longer
-                if len(held) > 64 and state["edge"]:
-                    for out in close(True):
-                        yield from out.to_batches()
-        for out in close(True):
-            yield from out.to_batches()
+            ids = b.column("doc_id").dictionary_encode()
+            ident = ids.indices.fill_null(-1).to_numpy()
+            new_run = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+            new_doc = new_run | np.r_[True, (th[1:] != th[:-1]) | (ident[1:] != ident[:-1])]
+            head = (h1[0], h2[0]), (b.column("doc_id")[0].as_py(), th[0])
+            if state.key == head[0]:
+                new_run[0] = False
+                new_doc[0] = state.last != head[1]
+            starts = np.flatnonzero(new_run)
+            # what continues the open run
+            upto = int(starts[0]) if len(starts) else len(b)
+            if upto:
+                yield from state.add(b.slice(0, upto), int(new_doc[:upto].sum()))
+            if len(starts):
+                yield from state.close(False)
+                # runs that begin and end here, save the partition's first: decided at once
+                lone = starts[:-1]
+                if len(lone):
+                    docs = np.add.reduceat(new_doc[: starts[-1]].astype(np.int64), lone)
+                    if state.key is None:
+                        state.open((h1[lone[0]], h2[lone[0]]), True)
+                        end = int(starts[1])
+                        yield from state.add(b.slice(int(lone[0]), end - int(lone[0])), int(docs[0]))
+                        yield from state.close(False)
+                        docs[0] = 0
+                    drop = np.repeat(docs >= min_docs, np.diff(starts))
+                    if keep_first:
+                        drop[lone - lone[0]] = False
+                    if drop.any():
+                        yield _told(b.take(pa.array(np.flatnonzero(drop) + lone[0])), DROPPED)
+                at = int(starts[-1])
+                state.open((h1[at], h2[at]), state.key is None)
+                yield from state.add(b.slice(at), int(new_doc[at:].sum()))
+            state.last = (b.column("doc_id")[len(b) - 1].as_py(), th[-1])
+        yield from state.close(True)
 
     return run
 
@@ -92,26 +136,28 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, text_hash, pos``: the lines to drop, those whose key is in ``min_docs`` documents or more.
 
     With ``keep_first`` the first occurrence in order of document and position stays. Documents are told apart by
-    id and text, so rows that repeat both count as one document and lose the same lines. Null texts are
-    one empty line; lines with an empty key stay where ``min_chars`` is 1 or more. An empty table gives none.
+    id and text, so rows that repeat both count as one document and lose the same lines, while rows that share an id, or have
+    none, and differ in their texts are documents of their own. Null texts are one empty line; lines with an empty key
+    stay where ``min_chars`` is 1 or more. An empty table gives none.
     """
     lines = materialise(line_hashes(df, id_col, text_col, min_chars), "line-hashes")
-    # rows that repeat a document wholly would count their lines twice over
+    # equal hash, document and text never lie in two partitions, so counts of documents add up
     spread = lines.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc_id"), F.col("text_hash")).sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
-    schema = T.StructType([lines.schema[c] for c in _OCCURRENCE] + [T.StructField("pending", T.BooleanType())])
+    schema = T.StructType([lines.schema[c] for c in _OCCURRENCE] + [T.StructField("told", T.ByteType()), T.StructField("docs", T.LongType())])
     seen = materialise(spread.select(*_OCCURRENCE).mapInArrow(_stream(min_docs, keep_first), schema), "line-runs")
-    edges = seen.filter("pending")
-    # by document first: then a hot line is one row a task when its documents are counted
-    by_doc = edges.groupBy("h1", "h2", "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
-    totals = by_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first")).filter(F.col("docs") >= min_docs)
-    decided = edges.join(totals, ["h1", "h2"])
+    # two rows a partition or a little more
+    totals = seen.filter(F.col("told") == COUNT).groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
+    decided = seen.filter(F.col("told") == PENDING).join(F.broadcast(totals.filter(F.col("total") >= min_docs)), ["h1", "h2"])
     if keep_first:
-        decided = decided.filter(F.struct("doc_id", "text_hash", "pos") != F.col("first"))
-    return seen.filter(~F.col("pending")).select("doc_id", "text_hash", "pos").unionAll(decided.select("doc_id", "text_hash", "pos"))
+        decided = decided.filter(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
+    return seen.filter(F.col("told") == DROPPED).select("doc_id", "text_hash", "pos").unionAll(decided.select("doc_id", "text_hash", "pos"))
 
 
 def keep_bitmaps(drops: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, bitmap``: for each document that loses lines, its zlib-compressed keep bits up to the last lost line."""
+    """``doc_id, text_hash, bitmap``: for each document that loses lines, its zlib-compressed keep bits up to the last lost line.
+
+    Rows that repeat count once. No row for documents that lose nothing; none at all for an empty table.
+    """
 
     def pack(positions: list[int]) -> bytes:
         keep = np.ones((max(positions) // 8 + 1) * 8, bool)
@@ -126,12 +172,13 @@ def keep_bitmaps(drops: DataFrame) -> DataFrame:
 
 
 def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with ``text_col`` cut to the kept lines, and ``n_lines``, ``n_dropped`` (long)."""
+    """``df`` with ``text_col`` cut to the kept lines, and ``n_lines``, ``n_dropped`` (long). Null texts stay null, with one line."""
+    own_id, own_hash, bits, text_hash = fresh(df, "line_id", "line_hash", "line_bitmap", "line_text")
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    named = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("bitmap").alias("__bitmap"))
-    joined = df.withColumn("__h", F.xxhash64(text)).join(named, F.col(quoted(id_col)).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
-    wide = joined.select(*(F.col(quoted(c)) for c in df.columns), "__bitmap")
-    at = df.columns.index(text_col)
+    named = bitmaps.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("bitmap").alias(bits))
+    joined = df.withColumn(text_hash, F.xxhash64(text)).join(named, F.col(quoted(id_col)).eqNullSafe(F.col(own_id)) & (F.col(text_hash) == F.col(own_hash)), "left")
+    wide = joined.select(*(F.col(quoted(c)) for c in df.columns), bits)
+    at = position(df, text_col)
 
     def cut(t: str | None, bitmap: bytes | None):
         if bitmap is None:
@@ -148,27 +195,34 @@ def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", tex
 
         return step
 
-    fields = [T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    return append_columns(wide, fields, make).drop("__bitmap")
+    fields = [T.StructField(df.columns[at], T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    return append_columns(wide, fields, make).drop(bits)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``df`` without the lines that ``dropped_lines`` names, and ``n_lines``, ``n_dropped``, which replace columns of those names.
+
+    Every row stays, those with null or empty texts unchanged; repeated rows lose the same lines; an empty table stays empty.
+    """
     drops = dropped_lines(df, id_col, text_col, **options)
     return apply_bitmaps(df, keep_bitmaps(drops), id_col, text_col)
 
 
 def digests(df: DataFrame) -> DataFrame:
+    """The digest columns of ``deduplicate``: a row per row, a null text counting as one empty line."""
     out = deduplicate(df.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: A document is an id and a text; every row gives a row.
 ORACLE = r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT r, doc_id, md5(text) AS h, string_split(text, chr(10)) AS ls FROM d),
+l AS (SELECT r, doc_id, h, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM s),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE f.key IS NOT NULL) AS BIGINT) AS n_dropped,
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || h) >= 10)
+SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE f.key IS NOT NULL) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY r
 """

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import materialise, quoted, word_count
+from gridloom.llm.common import fresh, materialise, quoted, word_count
 
 #: Weights of the sources by code point of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -53,11 +53,11 @@ def allocate(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     ``size`` is the number of words, 0 for null and empty texts, of which nothing is taken. ``taken`` counts
     words with repeats: a document is taken whole, up to ``epochs`` times. A null source is a source of
     its own, last in order. Ties in shuffle order go by id, then text hash; rows that repeat both are queued
-    one after another. An empty table gives an empty result. Other columns of ``df`` are not looked at.
+    one after another. Rows without an id are shuffled by their texts. An empty table gives an empty result. Other columns of ``df`` are not looked at.
     """
     doc_id, source, text = (F.col(quoted(c)) for c in (id_col, source_col, text_col))
     sized = materialise(
-        df.select(doc_id.alias("doc_id"), source.alias("source"), F.xxhash64(text).alias("text_hash"), word_count(text).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")).alias("shuffle")),
+        df.select(doc_id.alias("doc_id"), source.alias("source"), F.xxhash64(text).alias("text_hash"), word_count(text).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), text, F.lit(""))).cast("binary")).alias("shuffle")),
         "mix-sized",
     )
     targets = materialise(source_targets(sized, budget, weights, epochs), "mix-targets")
@@ -112,7 +112,7 @@ def _truncate(queued: DataFrame, rows: int, words: int, budget: float) -> DataFr
 #: The same mix in DuckDB SQL.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle,
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), text, '')) AS shuffle,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -133,16 +133,29 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken
 
 
 def digests(df: DataFrame) -> DataFrame:
+    """The digest columns of ``allocate``: one row per row, with its rules for nulls, ties and repeated rows."""
     return allocate(df).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
-    """``df`` with every document as often as the mix takes it: not at all, once or up to ``epochs`` times."""
-    shares = allocate(df, **options)
-    times = shares.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.expr("taken div nullif(size, 0)").alias("__times")).filter(F.col("__times") > 0)
-    # rows that repeat id, source and text are taken together: their times add up
-    times = times.groupBy("__id", "__source", "__hash").agg(F.sum("__times").alias("__sum"), F.count(F.lit(1)).alias("__rows"))
+    """``df`` with every document as often as the mix takes it: not at all, once or up to ``epochs`` times.
+
+    Of rows that repeat id, source and text, those come more often whose other columns hash lower, so that together they
+    come as often as ``allocate`` takes them. Nulls are ids, sources and texts like others; a null or empty text is not taken.
+    Column names are free; an empty table stays empty.
+    """
+    own_id, own_source, own_hash, total, rows, text_hash, nth, copy = fresh(df, "mix_id", "mix_source", "mix_hash", "mix_total", "mix_rows", "mix_text", "mix_nth", "mix_copy")
+    times = allocate(df, **options).withColumn("times", F.coalesce(F.expr("taken div nullif(size, 0)"), F.lit(0)))
+    times = times.groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("text_hash").alias(own_hash)).agg(F.sum("times").alias(total), F.count(F.lit(1)).alias(rows))
+    times = materialise(times.filter(F.col(total) > 0), "mix-times")
     source, ident, text = (F.col(quoted(options.get(k, v))) for k, v in (("source_col", "source"), ("id_col", "doc_id"), ("text_col", "text")))
-    joined = df.withColumn("__h", F.xxhash64(text)).join(times, ident.eqNullSafe(F.col("__id")) & source.eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__hash")))
-    each = F.ceil(F.col("__sum") / F.col("__rows")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), each))).select(*(F.col(quoted(c)) for c in df.columns))
+    joined = df.withColumn(text_hash, F.xxhash64(text)).join(times, ident.eqNullSafe(F.col(own_id)) & source.eqNullSafe(F.col(own_source)) & (F.col(text_hash) == F.col(own_hash)))
+    each = F.floor(F.col(total) / F.col(rows)).cast("int")
+    if not times.filter(F.col(total) % F.col(rows) != 0).isEmpty():
+        # a few of the repeated rows come once more than the others
+        plain = [F.col(quoted(f.name)) for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+        by = Window.partitionBy(own_id, own_source, own_hash).orderBy(F.xxhash64(*plain))
+        joined = joined.withColumn(nth, F.row_number().over(by))
+        each = each + (F.col(nth) <= F.col(total) % F.col(rows)).cast("int")
+    taken = joined.withColumn(copy, each).filter(F.col(copy) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*(F.col(quoted(c)) for c in df.columns))

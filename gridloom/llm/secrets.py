@@ -8,16 +8,16 @@ the parts that each lacks, over the whole scope or within ``window`` characters
 
 from __future__ import annotations
 
-import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import append_columns
+from gridloom.llm.common import append_columns, position
 
 #: The base patterns and the order of their kinds. Lengths are of the whole match, for assign of the value.
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
@@ -32,7 +32,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 IDENT = re.compile(r"""(?:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user(?:name)?|login)["']?\x20?[:=]\x20?["']?([A-Za-z0-9._@-]{4,})""", re.ASCII | re.IGNORECASE)
 IDENT_WORDS = ("key", "client", "account", "user", "login")
 KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}""")
+#: A scheme begins with the first letter of its run.
+ENDPOINT = re.compile(r"""(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]++)://[^\s"'<>]{4,}""")
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
 
 Span = tuple[int, int, int]  # kind by place in KINDS, start, end
@@ -62,21 +63,33 @@ def weak_parts(text: str) -> list[Span]:
         out += ((3, m.start(1), m.end(1)) for m in IDENT.finditer(text))
     out += ((4, m.start(), m.end()) for m in KEY.finditer(text) if _mixed(m[0]))
     if "://" in text:
-        out += ((5, m.start(), m.end()) for m in ENDPOINT.finditer(text))
+        out += ((5, m.start(1), m.end()) for m in ENDPOINT.finditer(text))
     return out
 
 
 class _Intervals:
-    """Spans of one role by start, with the longest of them: answers whether any comes within reach."""
+    """Spans of one role by start, with the two furthest ends up to each: tells in logarithmic time whether any comes within reach."""
 
     def __init__(self, spans: list[Span]):
-        self.spans = sorted(spans, key=lambda s: s[1])
-        self.starts = [s[1] for s in self.spans]
-        self.longest = max((e - s for _, s, e in spans), default=0)
-
-    def meets(self, lo: int, hi: int, but: Span) -> bool:
-        a, b = bisect_left(self.starts, lo - self.longest), bisect_right(self.starts, hi)
-        return any(self.spans[i] != but and self.spans[i][2] >= lo for i in range(a, b))
+        spans = sorted(spans, key=lambda s: s[1])
+        self.starts = [s[1] for s in spans]
+        self.furthest: list[tuple[Span | None, Span | None]] = []
+        first = second = None
+        for s in spans:
+            if first is None or s[2] > first[2]:
+                first, second = s, first
+            elif second is None or s[2] > second[2]:
+                second = s
+            self.furthest.append((first, second))
+
+    def meets(self, lo: int, hi: int, but: Span | None = None) -> bool:
+        """Whether a span other than ``but`` starts at ``hi`` or before and ends at ``lo`` or after."""
+        at = bisect_right(self.starts, hi)
+        if not at:
+            return False
+        first, second = self.furthest[at - 1]
+        best = second if first == but else first
+        return best is not None and best[2] >= lo
 
 
 def link_parts(text: str, base: list[Span], weak: list[Span], window: int | None) -> list[Span]:
@@ -88,7 +101,7 @@ def link_parts(text: str, base: list[Span], weak: list[Span], window: int | None
     if not weak:
         return []
     taken = _Intervals(base)
-    weak = [w for w in weak if not any(s[1] < w[2] and s[2] > w[1] for s in taken.spans[bisect_left(taken.starts, w[1] - taken.longest) : bisect_right(taken.starts, w[2])])]
+    weak = [w for w in weak if not taken.meets(w[1] + 1, w[2] - 1)]
     ends = [m.start() for m in SCOPE_END.finditer(text)] if weak else []
     scope = lambda s: bisect_right(ends, s[1])
     found: list[Span] = []
@@ -103,10 +116,6 @@ def link_parts(text: str, base: list[Span], weak: list[Span], window: int | None
     return found
 
 
-def _text(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
-
-
 def scan_text(text: str | None, window: int | None = 200) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, by start and then kind."""
     base = base_spans(text or "")
@@ -124,7 +133,7 @@ def scan(df: DataFrame, text_col: str = "text", window: int | None = None) -> Da
 
     Null and empty texts have none. Rows are independent; clashing columns are replaced.
     """
-    at = df.columns.index(text_col)
+    at = position(df, text_col)
 
     def make():
         def step(b: pa.RecordBatch) -> list:
@@ -137,19 +146,9 @@ def scan(df: DataFrame, text_col: str = "text", window: int | None = None) -> Da
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """The digest columns, derived from ``secret_spans`` of the scan."""
-    spans = scan(df.select("doc_id", "text")).select("doc_id", "secret_spans")
-    at = 1
-
-    def make():
-        def step(b: pa.RecordBatch) -> list:
-            rows = [[(KINDS.index(s["kind"]), s["start"], s["end"]) for s in r] for r in b.column(at).to_pylist()]
-            bases = [[s for s in r if s[0] < 3] for r in rows]
-            counts = [pa.array([sum(s[0] == k for s in r) for r in bases], pa.int64()) for k in range(3)]
-            return [*counts, pa.array([hashlib.sha256(_text(r).encode()).hexdigest() for r in bases]), pa.array([_text(r) for r in rows], pa.string())]
-
-        return step
-
-    names = ("n_assign", "n_access", "n_hex")
-    fields = [*(T.StructField(n, T.LongType()) for n in names), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
-    return append_columns(spans, fields, make).drop("secret_spans")
+    """The digest columns, derived from ``secret_spans`` of the scan. Null and empty texts have no span; rows are independent."""
+    spans = F.col("secret_spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*KINDS[:3]))
+    text = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return scan(df.select("doc_id", "text")).select("doc_id", *map(count, KINDS[:3]), F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"))
