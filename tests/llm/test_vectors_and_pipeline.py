@@ -38,9 +38,35 @@ def test_links_recall(spark):
 
 
 def test_multi_sequence_order():
-    first, second = np.array([0.3, 0.0, 0.7]), np.array([0.0, 0.4])
-    cost = [first[i] + second[j] for i, j in vector_dedup.visited(first, second, 0.75)]
-    assert cost == sorted(cost) and len(cost) == sum(a + b <= 0.75 for a in first for b in second)
+    rng = np.random.default_rng(4)
+    first, second = rng.random((20, 5)), rng.random((20, 7))
+    seen = {q: [] for q in range(20)}
+    for who, row, column in vector_dedup.traverse(first, second, 0.75):
+        for q, i, j in zip(who.tolist(), row.tolist(), column.tolist(), strict=True):
+            seen[q].append((i, j))
+    for q, cells in seen.items():
+        cost = [first[q, i] + second[q, j] for i, j in cells]
+        assert cost == sorted(cost) and len(set(cells)) == len(cells) == sum(a + b <= 0.75 for a in first[q] for b in second[q])
+
+
+def test_measured_stop_keeps_recall_and_symmetry(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(700, 16))
+    v = np.vstack([base, base + 0.12 * rng.normal(size=base.shape), base[:200] + 0.2 * rng.normal(size=(200, 16))])
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r["n_links"] for r in vector_dedup.links(df).collect()}
+    assert sum(got.values()) >= 0.99 * close.sum() and all(got[k] <= n for k, n in enumerate(close.sum(1)))
+    assert sum(got.values()) % 2 == 0
+
+
+def test_topk_of_huge_components(spark):
+    df = spark.createDataFrame([(0, [1e20, 1e20]), (1, [1e20, 1e20]), (2, [-1e300, 1.0]), (3, [1.0, 2.0]), (4, [5e17, -5e17])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, exact_topk.search(df, df.filter("vec_id = 0"), k=4).collect()))
+    top = (1 << 63) - 1
+    assert got == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 4, 0), (0, 4, 2, -top - 1)]
 
 
 def test_topk_of_odd_vectors(spark):
