@@ -1,9 +1,15 @@
 """A hidden Markov language model over words, and exact scores of whole texts.
 
-A word belongs to a class: the commonest training words are a class each, the others share classes by a hash.
-Latent states emit classes, and a class emits its words by their smoothed counts, so every training word has its own
-probability while what Baum-Welch has to estimate stays small enough to send around. Each round of Baum-Welch adds
-up expected counts in every partition over all training texts and combines them across partitions.
+A word belongs to a class: the commonest training words are a class each, the others share classes by the sum of their
+bytes. Latent states emit classes, and a class emits its words by their smoothed counts, so every training word has its own
+probability while what Baum-Welch has to estimate stays small enough to send around. Each class of other words leaves a
+share to words never seen, by Good and Turing's estimate; among those, words are as probable as a model of their
+spelling makes them. The share of each class in all spellings is known exactly, since sums of independent bytes
+are a convolution, and what known words take of it is added up: so the probabilities of all words sum to 1.
+
+Each round of Baum-Welch adds up expected counts in every partition over all training texts and combines them across
+partitions. Texts go through it in windows that begin and end some words before and after the words they count, so
+that the states at either end are those that the text leads to.
 
 Scoring is exact: the forward recursion runs over the whole text. Texts are cut into segments whose transfer
 matrices are computed side by side and then chained, which is the same product in another order.
@@ -12,7 +18,6 @@ Exact counts of the commonest words are broadcast; those of the rest, whose numb
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,37 +28,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import crc_mod, materialise, quoted, words_of
+from gridloom.llm.common import crc_mod, materialise, position, quoted, slices, temporary, words_of
 
-#: Words whose counts are broadcast; of those, words with a class of their own; classes of the other words.
+#: Words whose counts are broadcast, at most; of those, words with a class of their own (the first class is that of the end);
+#: classes of the other words, by the sum of their bytes.
 HEAD_WORDS, OWN_CLASSES, SHARED_CLASSES = 131_072, 2048, 256
 STATES, ROUNDS, SMOOTH = 6, 3, 0.1
-#: Words of a training window and of a scoring segment; distinct words that a counting task holds before it hands them on.
-WINDOW, SEGMENT, HELD_WORDS = 64, 32, 400_000
+#: Words that a training window counts and that it takes in before and after those; words of a scoring segment; distinct words
+#: that a counting task holds before it hands them on.
+WINDOW, LEAD, SEGMENT, HELD_WORDS = 64, 16, 32, 200_000
 END = b""  # no word is empty
+#: Bytes that words are made of: all but white space and the capitals, which are lower-cased.
+LETTERS = np.array([b for b in range(256) if b not in b" \t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ"])
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     """``token, c``: occurrences of every word, and of the end that closes each text."""
-    at = df.columns.index(text_col)
+    at = position(df, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
 
         held: Counter = Counter()
-        for b in batches:
-            for t in b.column(at):
-                held.update(words_of(t.as_py()))
-                held[END] += 1
-                if len(held) > HELD_WORDS:
-                    yield out()
-                    held.clear()
+        for whole in batches:
+            for b in slices(whole):
+                for t in b.column(at):
+                    held.update(words_of(t.as_py()))
+                    held[END] += 1
+                    if len(held) > HELD_WORDS:
+                        yield out()
+                        held.clear()
         yield out()
 
     return df.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+@dataclass
+class Spelling:
+    """Independent bytes and a chance to stop after each: log10-probabilities by byte, of going on and of stopping."""
+
+    letters: np.ndarray
+    on: float
+    stop: float
+
+    @staticmethod
+    def fit(bytes_seen: np.ndarray, words: int) -> Spelling:
+        p = np.zeros(256)
+        p[LETTERS] = bytes_seen[LETTERS] + 1
+        stop = (words + 1) / (bytes_seen.sum() + 2)
+        return Spelling(np.log10(p / p.sum(), where=p > 0, out=np.full(256, -np.inf)), float(np.log10(1 - stop)), float(np.log10(stop)))
+
+    def log(self, word: bytes) -> float:
+        return sum(map(self.letters.__getitem__, word)) + (len(word) - 1) * self.on + self.stop
+
+    def class_shares(self) -> np.ndarray:
+        """Probability that a spelling belongs to each shared class: a geometric series of convolutions, by Fourier transform."""
+        one = np.bincount(np.arange(256) % SHARED_CLASSES, 10.0**self.letters, SHARED_CLASSES)
+        f = np.fft.fft(one)
+        return np.fft.ifft(10**self.stop * f / (1 - 10**self.on * f)).real.clip(0, 1)
+
+
 @dataclass
 class Vocabulary:
     """What scoring knows without a join. ``n`` and ``v``: tokens and distinct tokens in training."""
@@ -63,59 +98,123 @@ class Vocabulary:
     head: dict[bytes, tuple[int, int]]  # word -> class, count
     class_mass: np.ndarray  # share of a class in the training tokens
     seen_log: np.ndarray  # by class: log10 of what (count + SMOOTH) of a known word is multiplied with
-    unseen_log: np.ndarray  # by class: log10 probability that a word of the class was never seen
+    unseen_log: np.ndarray  # by class: log10 of what the spelling probability of an unseen word is multiplied with
+    spelling: Spelling
 
     @property
     def denominator(self) -> float:
         return self.n + SMOOTH * (self.v + 1)
 
+    def within(self, word: bytes, count: int) -> tuple[int, float]:
+        """Class of a word, and the log10-probability of the word in its class; ``count`` is 0 for unseen words."""
+        k = self.head[word][0] if word in self.head else class_of(word)
+        if k < OWN_CLASSES:
+            return k, 0.0
+        return k, float(self.seen_log[k] + np.log10(count + SMOOTH) if count else self.unseen_log[k] + self.spelling.log(word))
+
 
 def class_of(word: bytes) -> int:
     """The shared class of a word that has none of its own."""
-    return OWN_CLASSES + zlib.crc32(word) % SHARED_CLASSES
+    return OWN_CLASSES + sum(word) % SHARED_CLASSES
+
+
+def _head(counts: DataFrame) -> tuple[list[bytes], list[int]]:
+    """The commonest words, as many as fit in ``HEAD_WORDS``, by count and word. The count to cut at comes from a histogram, so
+    that no task sorts the vocabulary."""
+    level = F.floor(F.log2("c") * 64)
+    bins = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    cut, total = None, 0
+    for k, n in bins:
+        total += n
+        if total > HEAD_WORDS:
+            break
+        cut = k
+    if cut is None:
+        return [], []
+    top = counts.filter(level >= cut).toArrow()
+    pairs = sorted(zip(top.column("c").to_pylist(), top.column("token").to_pylist(), strict=True), key=lambda p: (-p[0], p[1]))
+    return [w for _, w in pairs], [c for c, _ in pairs]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(HEAD_WORDS).toArrow()
-    words, c = top.column("token").to_pylist(), top.column("c").to_pylist()
-    head = {w: (k if k < OWN_CLASSES else class_of(w), m) for k, (w, m) in enumerate(zip(words, c, strict=True))}
-    total, kinds, once = (np.zeros(OWN_CLASSES + SHARED_CLASSES) for _ in range(3))
-    hashed = counts.groupBy((F.crc32("token") % SHARED_CLASSES).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == 1).alias("once"))
-    for r in hashed.collect():
+    """From ``token, c``. Everything is counted over all words; only sums by class and the head reach the driver."""
+    n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.length("token") == 0, F.col("c"))), F.lit(0))).first()
+    spelled = counts.filter(F.length("token") > 0)
+    words, c = _head(spelled)
+
+    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(256, np.int64)
+        rows = 0
+        for b in batches:
+            seen += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8), minlength=256)
+            rows += len(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 256)), pa.array(np.r_[rows, seen])], names=["k", "n"])
+
+    sums = np.zeros(257)
+    for r in spelled.select("token").mapInArrow(letters, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        sums[r["k"] + 1] = r["n"]
+    spelling = Spelling.fit(sums[1:], int(sums[0]))
+
+    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, SHARED_CLASSES))
+        for b in batches:
+            tokens, m = b.column(0).to_pylist(), b.column(1).to_numpy()
+            k = np.array([sum(w) % SHARED_CLASSES for w in tokens], np.int64)
+            spelt = 10.0 ** np.array([spelling.log(w) for w in tokens])
+            for row, x in zip(sums, (m, np.ones(len(b)), m == 1, spelt), strict=True):
+                row += np.bincount(k, x, SHARED_CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHARED_CLASSES)), *map(pa.array, sums)], names=["k", "c", "n", "once", "spelt"])
+
+    every = OWN_CLASSES + SHARED_CLASSES
+    total, kinds, once, spelt = (np.zeros(every) for _ in range(4))
+    for r in spelled.mapInArrow(by_class, "k long, c double, n double, once double, spelt double").groupBy("k").agg(*(F.sum(x).alias(x) for x in ("c", "n", "once", "spelt"))).collect():
         at = OWN_CLASSES + r["k"]
-        total[at], kinds[at], once[at] = r["c"], r["n"], r["once"]
-    for w, m in zip(words[:OWN_CLASSES], c[:OWN_CLASSES], strict=True):
-        total[head[w][0]] = m
-        for sums, less in ((total, m), (kinds, 1), (once, m == 1)):
-            sums[class_of(w)] -= less
-    # Good and Turing: words seen once tell how often an unseen one comes up; a class of one word has no others
-    unseen = np.where(np.arange(len(total)) < OWN_CLASSES, 0.0, (once + 1) / (total + once + 2))
+        total[at], kinds[at], once[at], spelt[at] = r["c"], r["n"], r["once"], r["spelt"]
+    head = {END: (0, int(ends))}
+    total[0] = ends
+    for k, (w, m) in enumerate(zip(words, c, strict=True), 1):
+        head[w] = (k if k < OWN_CLASSES else class_of(w), m)
+        if k < OWN_CLASSES:
+            total[k] = m
+            for sums, less in ((total, m), (kinds, 1), (once, m == 1)):
+                sums[class_of(w)] -= less
+    shared = np.arange(every) >= OWN_CLASSES
+    # Good and Turing: words seen once tell how often an unseen one comes up
+    unseen = np.where(shared, np.where(kinds > 0, (once + 1) / (total + once + 2), 1.0), 0.0)
+    left = np.maximum(np.r_[np.ones(OWN_CLASSES), spelling.class_shares()] - spelt, 1e-12)
     with np.errstate(divide="ignore"):
-        seen_log = np.where(unseen > 0, np.log10(1 - unseen) - np.log10(np.maximum(total + SMOOTH * kinds, SMOOTH)), 0.0)
-        unseen_log = np.log10(unseen)
-    return Vocabulary(int(n), int(v), head, (total + 1) / (total + 1).sum(), seen_log, unseen_log)
+        seen_log = np.where(shared & (kinds > 0), np.log10(1 - unseen) - np.log10(np.maximum(total + SMOOTH * kinds, SMOOTH)), 0.0)
+        unseen_log = np.where(shared, np.log10(np.maximum(unseen, 1e-300)) - np.log10(left), 0.0)
+    # classes of their own that no word uses emit nothing
+    used = shared | (np.arange(every) <= len(words))
+    mass = np.where(used, total + 1, 0.0)
+    return Vocabulary(int(n), int(v), head, mass / mass.sum(), seen_log, unseen_log, spelling)
+
+
+_TAIL = pa.struct([("token", pa.binary()), ("times", pa.int32()), ("k", pa.int32()), ("spelt", pa.float64())])
 
 
 def coded(df: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
-    """Adds to each row its classes, the words that need a join, and sums over the words that do not."""
+    """Adds to each row its classes, its distinct words that need a join, and sums over the words that do not."""
     shared = df.sparkSession.sparkContext.broadcast(known)
-    at = df.columns.index(text_col)
+    at = position(df, text_col)
     keep = [i for i in range(len(df.columns)) if i != at]
-    fields = [T.StructField("classes", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_log", T.DoubleType()), T.StructField("head_within", T.DoubleType()), T.StructField("tail", T.ArrayType(T.BinaryType()))]
-    schema = T.StructType([df.schema[i] for i in keep] + fields)
+    fields = [T.StructField("classes", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()), T.StructField("head_log", T.DoubleType()), T.StructField("head_within", T.DoubleType())]
+    tail_type = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("times", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("spelt", T.DoubleType())])
+    schema = T.StructType([df.schema[i] for i in keep] + fields + [T.StructField("tail", T.ArrayType(tail_type))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = shared.value.head
+        head, spell = shared.value.head, shared.value.spelling.log
         kinds = np.array([k for k, _ in head.values()], np.int64)
-        log = np.log10(np.array([m for _, m in head.values()]) + SMOOTH)
+        count = np.array([m for _, m in head.values()])
+        log = np.log10(count + SMOOTH)
         within = np.where(kinds < OWN_CLASSES, 0.0, log + shared.value.seen_log[kinds])
-        number = dict(zip(head, zip(kinds.tolist(), log.tolist(), within.tolist(), strict=True), strict=True))
-        none = (-1, 0.0, 0.0)
-        for b in batches:
-            for part in range(0, len(b), 500):
-                some = b.slice(part, 500)
+        number = dict(zip(head, zip(kinds.tolist(), log.tolist(), within.tolist(), (count > 0).tolist(), strict=True), strict=True))
+        none = (-1, 0.0, 0.0, 0)
+        for whole in batches:
+            for some in slices(whole):
                 rows: list[tuple] = []
+                tails: list[Counter] = []
                 for t in some.column(at):
                     words = [*words_of(t.as_py()), END]
                     got = [number.get(w, none) for w in words]
@@ -123,10 +222,14 @@ def coded(df: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
                     classes = np.fromiter((g[0] for g in got), np.int16, len(got))
                     if tail:
                         classes[classes < 0] = [class_of(w) for w in tail]
-                    rows.append((classes.tobytes(), len(words), len(words) - len(tail), sum(g[1] for g in got), sum(g[2] for g in got), tail))
+                    rows.append((classes.tobytes(), len(words), sum(g[3] for g in got), sum(g[1] for g in got), sum(g[2] for g in got)))
+                    tails.append(Counter(tail))
                 cols = list(zip(*rows, strict=True))
-                types = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in keep), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], names=schema.names)
+                flat = [w for c in tails for w in c]
+                struct = pa.StructArray.from_arrays([pa.array(flat, pa.binary()), pa.array([n for c in tails for n in c.values()], pa.int32()), pa.array([sum(w) % SHARED_CLASSES for w in flat], pa.int32()), pa.array(list(map(spell, flat)), pa.float64())], fields=list(_TAIL))
+                offsets = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
+                types = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in keep), *(pa.array(c, k) for c, k in zip(cols, types, strict=True)), pa.ListArray.from_arrays(offsets, struct)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -147,22 +250,24 @@ class Hmm:
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected starts, moves, emissions and the log-likelihood, over windows of the texts.
 
-        A window inside a text starts from the stationary distribution of the states.
+        A window counts ``WINDOW`` words and takes in ``LEAD`` words before and after them, which lead from the stationary
+        distribution to the states of the text at its ends; a text's first window begins with the start.
         """
         s = len(self.start)
         still = np.linalg.matrix_power(self.move, 64)[0]
         starts, moves, emits, total = np.zeros(s), np.zeros((s, s)), np.zeros_like(self.emit), 0.0
-        cut = [(x[i : i + WINDOW], i == 0) for x in texts for i in range(0, len(x), WINDOW)]
+        cut = [(x[max(0, i - LEAD) : i + WINDOW + LEAD], i <= LEAD, min(i, LEAD), min(i, LEAD) + min(WINDOW, len(x) - i)) for x in texts for i in range(0, len(x), WINDOW)]
         cut.sort(key=lambda w: -len(w[0]))
         for at in range(0, len(cut), 2048):
             group = cut[at : at + 2048]
-            sizes = np.array([len(w) for w, _ in group])
+            sizes = np.array([len(w[0]) for w in group])
             grid = np.zeros((len(group), sizes[0]), np.int64)
-            for k, (w, _) in enumerate(group):
+            for k, (w, *_) in enumerate(group):
                 grid[k, : len(w)] = w
+            first, begin, end = (np.array([w[k] for w in group]) for k in (1, 2, 3))
             live = [int((sizes > t).sum()) for t in range(sizes[0])]
+            counts = [((begin[:m] <= t) & (t < end[:m])).astype(float) for t, m in enumerate(live)]
             b = [self.emit[grid[:m, t]] for t, m in enumerate(live)]
-            first = np.array([f for _, f in group])
             alpha = [np.where(first[:, None], self.start, still) * b[0]]
             scale = [alpha[0].sum(1)]
             alpha[0] /= scale[0][:, None]
@@ -170,20 +275,23 @@ class Hmm:
                 a = (alpha[-1][: live[t]] @ self.move) * b[t]
                 scale.append(a.sum(1))
                 alpha.append(a / scale[-1][:, None])
-            total += sum(np.log10(x).sum() for x in scale)
+            total += sum((np.log10(x) * n).sum() for x, n in zip(scale, counts, strict=True))
             beta = np.ones((live[-1], s))
             for t in range(len(live) - 1, -1, -1):
-                gamma = alpha[t] * beta
-                for k in range(s):
-                    emits[:, k] += np.bincount(grid[: live[t], t], gamma[:, k], len(emits))
+                counted = counts[t]
+                if counted.any():
+                    gamma = alpha[t] * beta * counted[:, None]
+                    for k in range(s):
+                        emits[:, k] += np.bincount(grid[: live[t], t], gamma[:, k], len(emits))
                 if t:
                     weighted = b[t] * beta / scale[t][:, None]
-                    moves += (alpha[t - 1][: live[t]].T @ weighted) * self.move
+                    if counted.any():
+                        moves += (alpha[t - 1][: live[t]].T @ (weighted * counted[:, None])) * self.move
                     wider = np.ones((live[t - 1], s))
                     wider[: live[t]] = weighted @ self.move.T
                     beta = wider
                 else:
-                    starts += gamma[first].sum(0)
+                    starts += gamma[first & (begin == 0)].sum(0) if counted.any() else 0
         return starts, moves, emits, total
 
     def update(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, mass: np.ndarray, prior: float = 50.0) -> Hmm:
@@ -246,7 +354,11 @@ def _grouped(texts: list[np.ndarray], most: int = 400_000) -> Iterator[tuple[int
 
 
 def baum_welch(training: DataFrame, mass: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, list[float]]:
-    """Trains on the ``classes`` of all rows; also returns the log-likelihood that each round started from."""
+    """Trains on the ``classes`` of all rows; also returns the log-likelihood that each round started from.
+
+    ``mass`` is the share of each class, which the emissions begin with and are smoothed by. Rows that repeat count each; no
+    row has an empty text, as all have an end. Without any row the model stays as it begins.
+    """
     model, seen = Hmm.initial(mass, states), []
     sc = training.sparkSession.sparkContext
     width = states * (1 + states + len(mass))
@@ -290,6 +402,11 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     text get the same scores. Without training rows all words are unseen and all latent parameters stay as they began.
     An empty table gives an empty result. Scores are log10 probabilities.
     """
+    with temporary(df.sparkSession) as keep:
+        return keep(_score(df, training, id_col, text_col, rounds), "lm-scores")
+
+
+def _score(df: DataFrame, training: Column, id_col: str, text_col: str, rounds: int) -> DataFrame:
     ident, text = F.col(quoted(id_col)), F.col(quoted(text_col))
     docs = df.select(ident.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), (~training).alias("held_out")).withColumn("row_key", F.xxhash64("doc_id", "text"))
     counts = materialise(word_counts(docs.filter(~F.col("held_out")).select("text"), "text"), "lm-counts")
@@ -297,6 +414,7 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
     codes = materialise(coded(docs, known, "text"), "lm-coded")
     model, _ = baum_welch(codes.filter(~F.col("held_out")), known.class_mass, rounds=rounds)
     shared = df.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "row_key", "held_out", "n_tokens", "head_known", "head_log", "head_within"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm = shared.value
@@ -307,26 +425,27 @@ def score(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str
                 out[at : at + len(some)] = hmm.log10_likelihoods(some)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out)], names=[*names, "latent"])
 
-    names = ["doc_id", "row_key", "held_out", "n_tokens", "head_known", "head_log", "head_within", "n_tail"]
-    latent = codes.select(*names[:-1], F.size("tail").cast("long").alias("n_tail"), "classes").mapInArrow(run, T.StructType([*(codes.schema[n] for n in names[:-1]), T.StructField("n_tail", T.LongType()), T.StructField("latent", T.DoubleType())]))
-    # equal rows repeat their words here; dividing by how often the words came undoes that
-    words = codes.select("doc_id", "row_key", F.explode("tail").alias("token"))
-    by_class = F.pmod(F.crc32("token"), F.lit(SHARED_CLASSES)).cast("int") + 1
+    latent = codes.select(*names, "classes").mapInArrow(run, T.StructType([*(codes.schema[n] for n in names), T.StructField("latent", T.DoubleType())]))
+    words = codes.select("doc_id", "row_key", F.explode("tail").alias("w")).select("doc_id", "row_key", "w.*")
+    at = F.col("k") + 1
     log_c = F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))
-    within = F.when(F.col("c").isNull(), F.element_at(F.lit(known.unseen_log[OWN_CLASSES:].tolist()), by_class)).otherwise(log_c + F.element_at(F.lit(known.seen_log[OWN_CLASSES:].tolist()), by_class))
-    joined = words.join(counts, "token", "left").groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("came"), F.count("c").alias("seen"), F.sum(log_c).alias("logs"), F.sum(within).alias("within"))
-    sums = joined.select(F.col("doc_id").alias("s_id"), F.col("row_key").alias("s_key"), "came", "seen", "logs", "within")
-    share = F.col("n_tail") / F.col("came")
-    all_log = F.col("head_log") + F.coalesce(F.col("logs") * share, F.lit(0.0))
-    n_known = F.col("head_known") + F.coalesce(F.round(F.col("seen") * share).cast("long"), F.lit(0))
-    base = all_log - F.col("n_tokens") * F.lit(float(np.log10(known.denominator)))
+    of_class = lambda x: F.element_at(F.lit(x[OWN_CLASSES:].tolist()), at)
+    within = F.when(F.col("c").isNull(), F.col("spelt") + of_class(known.unseen_log)).otherwise(log_c + of_class(known.seen_log))
+    joined = words.join(counts, "token", "left").groupBy("doc_id", "row_key").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))).alias("seen"), F.sum(log_c * F.col("times")).alias("logs"), F.sum(within * F.col("times")).alias("within"))
+    # equal rows add their words up here; dividing by their number undoes that
+    same = codes.groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+    sums = joined.select(F.col("doc_id").alias("s_id"), F.col("row_key").alias("s_key"), "seen", "logs", "within")
+    same = same.select(F.col("doc_id").alias("r_id"), F.col("row_key").alias("r_key"), "rows")
+    of = lambda c: F.coalesce(F.col(c) / F.coalesce("rows", F.lit(1)), F.lit(0.0))
+    base = F.col("head_log") + of("logs") - F.col("n_tokens") * F.lit(float(np.log10(known.denominator)))
     return (
         latent.join(sums, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row_key") == F.col("s_key")), "left")
-        .withColumn("n_known", n_known)
-        .withColumn("base_score", base)
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.n).cast("long").alias("train_tokens"), "base_score", (F.col("latent") + F.col("head_within") + F.coalesce(F.col("within") * share, F.lit(0.0))).alias("score"))
+        .join(same, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("row_key") == F.col("r_key")), "left")
+        .withColumn("n_known", F.col("head_known") + F.round(of("seen")).cast("long"))
+        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("latent") + F.col("head_within") + of("within")).alias("score"))
     )
 
 
 def digests(df: DataFrame) -> DataFrame:
+    """The digest columns, which are those of ``score`` with its rules."""
     return score(df, crc_mod(F.col("doc_id"), 10) != 0)

@@ -3,11 +3,11 @@
 Everything is DataFrame functions. The place of a match is found from the lengths of the matches and of the
 text between them, so no text leaves the first projection.
 
-Bootstrapping: words with a digit or an @ are instances, the two words before one are its pattern. Instances
-that look like an e-mail address, an IP address or a card number are seeds with confidence 1. Then the
-pattern-instance graph is scored in rounds: a pattern is worth the smoothed mean confidence of its distinct
-instances, an instance the noisy-or of its patterns. Patterns that stay trustworthy report the instances that no
-base pattern covers.
+Bootstrapping: words with a digit or an @ are instances, the two words before one are its pattern, whatever else those are
+part of. Instances that a span of a base pattern covers, of whichever kind, are seeds with confidence 1 and count as
+that span's text. Then the pattern-instance graph is scored in rounds: a pattern is worth the smoothed mean
+confidence of its distinct instances, an instance the noisy-or of its patterns. Patterns that stay trustworthy
+report the instances of six characters or more that no base pattern covers.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, quoted
+from gridloom.llm.common import materialise, quoted, temporary
 
 #: The base patterns, in the order of their kinds. Each matches what the stated pattern matches from left to right;
 #: possessive runs, and starts at a run's start or where the last match ended, keep them linear on long texts.
@@ -26,8 +26,11 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "id")
 
-#: Two words, white space, and a word of 6 to 64 characters with a digit or an @.
-CONTEXT = r"(?<!\S)(\S{1,40}\s{1,4}\S{1,40}\s{1,4})(?=[^\s0-9@]{0,63}[0-9@])(\S{6,64})(?!\S)"
+#: A word; what follows it, without being consumed: a second word, and a third with a digit or an @. So every word can
+#: begin a context, and contexts overlap.
+CONTEXT = r"(?<!\S)(\S++\s++)(?=(\S++\s++)(?=[^\s0-9@]*+[0-9@])(\S++))"
+#: Least characters of an instance that is reported.
+LEAST = 6
 #: Rounds of scoring; confidence, distinct instances and seeds that a pattern must have to report.
 ROUNDS, CONFIDENCE, INSTANCES, SEEDS = 3, 0.8, 8, 5
 
@@ -92,35 +95,38 @@ def base_matches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     worth = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": digit, "phone": t.contains("+")}
     pick = lambda k: F.when(digit | t.contains("@"), F.regexp_extract_all(t, F.lit(CONTEXT), F.lit(k))).otherwise(F.array().cast("array<string>"))
     cols = [c for kind, p in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE)) for c in _matches(t, p, worth[kind], kind)]
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), *cols, *_matches(t, CONTEXT, digit | t.contains("@"), "id"), pick(1).alias("id_left"), pick(2).alias("id_word"))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), *cols, *_matches(t, CONTEXT, digit | t.contains("@"), "id"), pick(2).alias("id_next"), pick(3).alias("id_word"))
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """Replaces the columns of the base kinds by ``base``: an array of (kind, start, end), by kind and start."""
+    """Replaces the columns of the base kinds by ``base``: an array of (kind, start, end, hash of the text), by kind and start."""
     for kind in KINDS[:4]:
         found = _starts(found, kind)
 
     def spans(k: int, kind: str) -> Column:
         both = F.arrays_zip(F.col(f"{kind}_s").alias("s"), F.col(f"{kind}_m").alias("m"))
         fine = F.filter(both, lambda z: _valid(kind, z["m"]))
-        return F.transform(fine, lambda z: F.struct(F.lit(k).alias("kind"), z["s"].alias("start"), (z["s"] + F.length(z["m"])).alias("end")))
+        return F.transform(fine, lambda z: F.struct(F.lit(k).alias("kind"), z["s"].alias("start"), (z["s"] + F.length(z["m"])).alias("end"), F.xxhash64(F.lower(z["m"])).alias("text")))
 
     return found.withColumn("base", F.concat(*(spans(k, kind) for k, kind in enumerate(KINDS[:4])))).drop(*(f"{k}_{x}" for k in KINDS[:4] for x in "mgs"))
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """``doc_id, row_key, pattern, instance, start, end, covered, seed``: instances in context, one row each."""
+    """``doc_id, row_key, pattern, instance, start, end, seed``: instances in context, one row each, named by a hash.
+
+    What a base span covers is a seed of any length.
+    """
     placed = _starts(found.filter(F.size("id_m") > 0), "id")
-    each = F.arrays_zip(F.col("id_s").alias("s"), F.col("id_left").alias("left"), F.col("id_word").alias("word"))
+    each = F.arrays_zip(F.col("id_s").alias("s"), F.col("id_m").alias("first"), F.col("id_next").alias("second"), F.col("id_word").alias("word"))
     rows = placed.select("doc_id", "row_key", "base", F.explode(each).alias("o"))
     word = F.regexp_replace(F.col("o.word"), r"^[\"'(\[<]+|[\"')\]>.,;:!?]+$", "")
     lead = F.length(F.regexp_extract("o.word", r"^[\"'(\[<]*", 0))
-    start = F.col("o.s") + F.length("o.left") + lead
-    out = rows.select("doc_id", "row_key", "base", F.lower(F.regexp_replace("o.left", r"\s+", " ")).alias("pattern"), F.lower(word).alias("instance"), start.alias("start"), (start + F.length(word)).alias("end"))
-    covered = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    i = F.col("instance")
-    seed = i.rlike(f"^{EMAIL}$") | (i.rlike(f"^{IP}$") & _valid("ip", i)) | (i.rlike(r"^[0-9]{13,19}$") & F.when(i.rlike(r"^[0-9]{13,19}$"), _luhn(i)).otherwise(F.lit(False)))
-    return out.filter(F.length("instance") >= 6).select("doc_id", "row_key", "pattern", "instance", "start", "end", covered.alias("covered"), F.coalesce(seed, F.lit(False)).alias("seed"))
+    start = F.col("o.s") + F.length("o.first") + F.length("o.second") + lead
+    left = F.lower(F.regexp_replace(F.concat("o.first", "o.second"), r"\s+", " "))
+    out = rows.select("doc_id", "row_key", "base", left.alias("pattern"), F.lower(word).alias("word"), start.alias("start"), (start + F.length(word)).alias("end"))
+    out = out.withColumn("of", F.get(F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))), F.lit(0)))
+    seed = F.col("of").isNotNull()
+    return out.filter(seed | (F.length("word") >= LEAST)).select("doc_id", "row_key", "pattern", F.coalesce(F.col("of.text"), F.xxhash64("word")).alias("instance"), "start", "end", seed.alias("seed"))
 
 
 def score_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -143,11 +149,17 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     Rows that repeat id and text get the same spans, and count once in a pattern's distinct instances. An empty
     table gives an empty result; other columns are not looked at.
     """
+    with temporary(df.sparkSession) as keep:
+        return keep(_find(df, id_col, text_col, rounds), "pii-result")
+
+
+def _find(df: DataFrame, id_col: str, text_col: str, rounds: int) -> DataFrame:
     spans = materialise(base_spans(materialise(base_matches(df, id_col, text_col), "pii-matches")), "pii-base")
     seen = materialise(occurrences(spans), "pii-seen")
     good = score_patterns(seen, rounds).filter((F.col("trust") >= CONFIDENCE) & (F.col("instances") >= INSTANCES) & (F.col("seeds") >= SEEDS)).select("pattern")
-    new = seen.filter(~F.col("covered")).join(good, "pattern").groupBy(F.col("doc_id").alias("n_id"), F.col("row_key").alias("n_key")).agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("found"))
-    joined = spans.select("doc_id", "row_key", "base").join(new, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("row_key") == F.col("n_key")), "left")
+    new = seen.filter(~F.col("seed")).join(good, "pattern").groupBy(F.col("doc_id").alias("n_id"), F.col("row_key").alias("n_key")).agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("found"))
+    base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+    joined = spans.select("doc_id", "row_key", base.alias("base")).join(new, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("row_key") == F.col("n_key")), "left")
     return joined.select("doc_id", "base", F.coalesce(F.array_sort("found"), F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")).alias("found"))
 
 
@@ -157,6 +169,7 @@ def _text(spans: Column) -> Column:
 
 
 def digests(df: DataFrame) -> DataFrame:
+    """The digest columns, derived from the spans of ``find``: a row per row, null texts counting as empty."""
     out = find(df.select("doc_id", "text"))
 
     def count(k: int) -> Column:
