@@ -18,6 +18,33 @@ def scale(p: Column, k: Column) -> Column:
     return point(p["x"] * k, p["y"] * k)
 
 
+def negate(p: Column) -> Column:
+    return point(-p["x"], -p["y"])
+
+
+def subtract(p: Column, q: Column) -> Column:
+    return point(p["x"] - q["x"], p["y"] - q["y"])
+
+
+def divide(p: Column, k: Column) -> Column:
+    """Of integers, truncated; null where ``k`` is 0."""
+    part = lambda c: F.call_function("div", c.cast("long"), F.nullif(k.cast("long"), F.lit(0)))
+    return point(part(p["x"]), part(p["y"]))
+
+
+def is_zero(p: Column) -> Column:
+    return (p["x"] == 0) & (p["y"] == 0)
+
+
+def to_rounded_int(p: Column) -> Column:
+    """To the nearest whole point, halves away from zero."""
+    return point(to_int(F.round(p["x"])), to_int(F.round(p["y"])))
+
+
+def to_floats(p: Column, kind: str = "double") -> Column:
+    return point(p["x"].cast(kind), p["y"].cast(kind))
+
+
 def dot(p: Column, q: Column) -> Column:
     return p["x"] * q["x"] + p["y"] * q["y"]
 
@@ -78,3 +105,22 @@ def line_intersection(p1: Column, p2: Column, p3: Column, p4: Column) -> Column:
     struct = lambda x, y, a, b: F.struct(x.alias("x"), y.alias("y"), a.alias("mua"), b.alias("mub"))
     same = tiny(across) & tiny(along_a) & tiny(along_b)
     return F.when(same, struct((p1["x"] + p2["x"]) / 2, (p1["y"] + p2["y"]) / 2, void, void)).when(~tiny(across), struct(p1["x"] + mua * ax, p1["y"] + mua * ay, mua, mub))
+
+
+#: How far beyond a segment's ends a crossing still belongs to it.
+_NEAR = 1e-3
+
+
+def crossing_outside(at: Column) -> Column:
+    """Whether a crossing of two lines lies outside of either segment; coinciding lines count as inside."""
+    off = lambda m: F.coalesce((m < -_NEAR) | (m > 1 + _NEAR), F.lit(False))
+    return off(at["mua"]) | off(at["mub"])
+
+
+def lines_coincide(at: Column) -> Column:
+    return at.isNotNull() & at["mua"].isNull() & at["mub"].isNull()
+
+
+def same_crossing(a: Column, b: Column) -> Column:
+    """By their places along the lines; all crossings of coinciding lines are the same."""
+    return (lines_coincide(a) & lines_coincide(b)) | F.coalesce((a["mua"] == b["mua"]) & (a["mub"] == b["mub"]), F.lit(False))

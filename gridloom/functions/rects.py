@@ -101,6 +101,23 @@ class Rect:
     def inside(self, x: Column, y: Column) -> Column:
         return (x > self.l) & (x < self.r) & (y > self.t) & (y < self.b)
 
+    def on_boundary_or_inside(self, x: Column, y: Column, tolerance: Column) -> Column:
+        return self.on_boundary(x, y, tolerance) | self.inside(x, y)
+
+    def corners(self) -> dict[str, tuple[Column, Column]]:
+        return {"left_top": (self.l, self.t), "right_top": (self.r, self.t), "right_bottom": (self.r, self.b), "left_bottom": (self.l, self.b)}
+
+    def to_whole(self) -> Rect:
+        """The smallest rectangle of whole numbers around one of doubles."""
+        return Rect(F.floor(self.l), F.floor(self.t), F.ceil(self.r), F.ceil(self.b))
+
+    def add_point(self, x: Column, y: Column) -> Rect:
+        return Rect(F.least(self.l, x), F.least(self.t, y), F.greatest(self.r, x), F.greatest(self.b, y))
+
+    def merge(self, o: Rect) -> Rect:
+        """Around both; a null rectangle is the empty one of doubles and changes nothing."""
+        return Rect(F.least(self.l, o.l), F.least(self.t, o.t), F.greatest(self.r, o.r), F.greatest(self.b, o.b))
+
     def step_inside(self, x: Column, y: Column) -> tuple[Column, Column]:
         """The neighbour of a boundary point inside."""
         move = lambda v, lo, hi: F.when(v == lo, v + 1).when(v == hi, v - 1).otherwise(v)
@@ -141,3 +158,10 @@ def map_point(x: Column, y: Column, a: Rect, b: Rect) -> tuple[Column, Column]:
         return F.when(a.is_empty | b.is_empty, v).otherwise(to + moved)
 
     return along(x, a.l, a.width, b.l, b.width), along(y, a.t, a.height, b.t, b.height)
+
+
+def map_rect(r: Rect, a: Rect, b: Rect) -> Rect:
+    """Both corners by ``map_point``."""
+    left, top = map_point(r.l, r.t, a, b)
+    right, bottom = map_point(r.r, r.b, a, b)
+    return Rect(left, top, right, bottom)

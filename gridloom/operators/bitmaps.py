@@ -57,6 +57,46 @@ def negative(bits: DataFrame, width: int, height: int) -> DataFrame:
     return grid(bits, width, height).join(bits.select(PIXEL), PIXEL, "left_anti")
 
 
+def operation(a: DataFrame, b: DataFrame, rule: tuple[bool, bool, bool, bool], frame: DataFrame | None = None) -> DataFrame:
+    """Any function of two pixels: ``rule`` says what becomes of pixels set in neither, in ``a`` alone, in ``b`` alone, in both.
+
+    Where pixels set in neither are to be set, ``frame`` names all pixels.
+    """
+    if rule[0] and frame is None:
+        raise ValueError("a rule that sets pixels which neither side has needs the frame")
+    both = a.select(*PIXEL, F.lit(1).alias("side")).union(b.select(*PIXEL, F.lit(2).alias("side"))).distinct()
+    if frame is not None:
+        both = both.union(frame.select(*PIXEL, F.lit(0).alias("side")))
+    held = both.groupBy(*PIXEL).agg(F.sum("side").alias("sides"))
+    return held.filter(F.col("sides").isin([k for k, on in enumerate(rule) if on])).select(PIXEL)
+
+
+def boundary_list(bits: DataFrame, transpose: bool = False) -> DataFrame:
+    """``image_id, k, x, y``: boundary pixels in raster order, or column by column."""
+    by = Window.partitionBy("image_id").orderBy(*(("x", "y") if transpose else ("y", "x")))
+    return boundary(bits).select("image_id", (F.row_number().over(by) - 1).alias("k"), "x", "y")
+
+
+def boundary_summary(bits: DataFrame) -> DataFrame:
+    """``image_id, x, y, n``: the first boundary pixel in raster order, and how many there are."""
+    found = boundary(bits).groupBy("image_id").agg(F.min(F.struct("y", "x")).alias("first"), F.count(F.lit(1)).alias("n"))
+    return found.select("image_id", "first.x", "first.y", "n")
+
+
+def to_colors(bits: DataFrame, width: int, height: int) -> DataFrame:
+    """``image_id, x, y, r, g, b, a``: set pixels black, others white."""
+    value = lambda c: F.when(F.col("on").isNull(), F.lit(255)).otherwise(F.lit(0)).cast("long").alias(c)
+    return grid(bits, width, height).join(bits.select(*PIXEL, F.lit(1).alias("on")), PIXEL, "left").select(*PIXEL, *map(value, "rgb"), F.lit(255).cast("long").alias("a"))
+
+
+def resample_into(target: DataFrame, source: DataFrame, rect: tuple[int, int, int, int], into: tuple[int, int, int, int], overlay: bool) -> DataFrame:
+    """``target`` with the pixels of ``source``'s ``rect`` stretched over ``into``: added, or in place of what is there."""
+    l, t, r, b = into  # noqa: E741
+    drawn = offset(resample(source, rect, r - l, b - t), l, t)
+    rest = target if overlay else target.filter(~(F.col("x").between(l, r - 1) & F.col("y").between(t, b - 1)))
+    return union(rest, drawn)
+
+
 def hamming(a: DataFrame, b: DataFrame) -> DataFrame:
     return difference(a, b).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
 

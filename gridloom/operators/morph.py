@@ -67,9 +67,10 @@ def significance(difference: DataFrame, areas: DataFrame, width: int) -> DataFra
 
 
 def clustered_difference(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
-    """The significance of where two bitmaps differ, against the size of that difference."""
-    diff = bitmaps.difference(a, b)
-    return significance(diff, diff.groupBy("image_id").agg(F.count(F.lit(1)).alias("area")), width)
+    """The significance of where two bitmaps differ, against the area of the first; null where that has no pixel."""
+    areas = a.groupBy("image_id").agg(F.count(F.lit(1)).alias("area"))
+    every = areas.join(b.select("image_id").distinct(), "image_id", "full").select("image_id", F.coalesce("area", F.lit(0)).alias("area"))
+    return significance(bitmaps.difference(a, b), every, width)
 
 
 _NEAR = ((0, -1), (1, 0), (0, 1), (-1, 0))

@@ -202,6 +202,26 @@ def svg(path: list[Point], close: bool = True, dx: float = 0, dy: float = 0, pre
     return f"{text} Z " if close else f"{text} "
 
 
+def spline_svg(points: list[Point], close: bool = True, dx: float = 0, dy: float = 0, precision: int | None = None) -> str:
+    """Cubics through 1 + 3n control points."""
+    if not points:
+        return ""
+    if (len(points) - 1) % 3:
+        raise ValueError("a spline has 1 + 3n points")
+    text = [f"{number(float(x + dx), precision)} {number(float(y + dy), precision)}" for x, y in points]
+    curves = "".join(f"C{' '.join(text[k : k + 3])} " for k in range(1, len(text), 3))
+    return f"M{text[0]} {curves}{'Z ' if close else ''}"
+
+
+def compound_svg(parts: list[list[Point]], splines: bool = False, close: bool = True, precision: int | None = None) -> tuple[str, Point]:
+    """One text of an outline and its holes, moved so that it starts at the origin, and the offset that moves it back."""
+    if not parts:
+        return "", (0, 0)
+    x, y = parts[0][0]
+    draw = spline_svg if splines else svg
+    return "".join(draw(p, close, -x, -y, precision) for p in parts), (x, y)
+
+
 def per_object(df: DataFrame, key: str, work: Callable[[list[tuple]], list[tuple]], columns: list[str], schema: str) -> DataFrame:
     """Applies ``work`` to the rows of each object, in the order of ``columns``; it returns rows without the key.
 

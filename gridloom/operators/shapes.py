@@ -103,30 +103,122 @@ LAYER_SHIFTS = (8, 8, 8, 8, 8, 6, 4, 2, 0)
 TAIL_SHIFTS = ((0, 8), (1, 8), (3, 8), (5, 8), (7, 8), (7, 6), (7, 4), (7, 2), (7, 0))
 
 
-def code_distance(a: Column, b: Column) -> Column:
-    """Weighted mismatches of two bit texts, layer by layer; missing bits are filled from a pattern that differs by side.
+def code_length(area: int) -> int:
+    """Bits of the code of a square of ``area`` pixels: a bit per pixel and two planes, or one, of each coarser grid."""
+    return area + area // 4 + (code_length(area // 4) if area > 4 else 0)
 
-    A layer counts all its bits but one at most. Where both codes end, the rest weighs a fixed amount.
+
+def layer_places(k: int) -> tuple[int, int]:
+    """Where layer ``k`` ends in codes that reach it, and its bits: the last plane of a code of 4^k pixels."""
+    return code_length(1 << 2 * k), 1 << 2 * k
+
+
+def code_size(length: Column) -> Column:
+    """Side of the square that a code of this length is of."""
+    return F.pow(F.lit(2), F.floor(F.floor(F.log2(length.cast("double"))) / 2)).cast("int")
+
+
+def pack_code(bits: Column, second: bool = False, layers: int = len(LAYER_SHIFTS)) -> Column:
+    """A code made ready for ``packed_distance``: struct of its length and, for each layer, its bits as numbers of up to 48.
+
+    Missing bits are filled from a pattern that differs by side, every fourth being set: a code is packed for one side.
     """
-    total = F.lit(0).cast("long")
-    size, at = 1, 0
-    ended = F.lit(False)
+    fill = "0100" if second else "1000"
+    whole = code_length(1 << 2 * (layers - 1))
+    full = F.concat(bits, F.substring(F.lit(fill * (whole // 4 + 1)), F.length(bits) + 1, F.lit(whole)))
+
+    def numbers(k: int) -> Column:
+        end, size = layer_places(k)
+        step = min(size, 48)
+        return F.transform(F.sequence(F.lit(end - size + 1), F.lit(end), F.lit(step)), lambda at: F.conv(F.substring(full, at, F.least(F.lit(step), F.lit(end + 1) - at)), 2, 10).cast("long"))
+
+    return F.struct(F.length(bits).alias("length"), *(numbers(k).alias(f"l{k}") for k in range(layers)))
+
+
+def packed_distance(a: Column, b: Column, layers: int = len(LAYER_SHIFTS)) -> Column:
+    """Weighted mismatches of two packed codes, layer by layer; ``b`` is packed for the second side.
+
+    A layer counts all its bits but one at most. Where both codes end, the rest weighs a fixed amount and layers end.
+    """
+    total, ended = F.lit(0).cast("long"), F.lit(False)
     for k, shift in enumerate(LAYER_SHIFTS):
-        short = (F.length(a) <= at) & (F.length(b) <= at)
+        end, size = layer_places(k)
+        short = (a["length"] <= end - size) & (b["length"] <= end - size)
         tail = sum((1 << p) << s for p, s in TAIL_SHIFTS[k:])
-        bits = F.sequence(F.lit(at), F.lit(at + size - 1))
-        bit = lambda t, side: lambda i: F.when(i < F.length(t), F.substring(t, i + 1, 1) == "1").otherwise(i % 4 == side)
-        x, y = bit(a, 0), bit(b, 1)
-        apart = F.size(F.filter(bits, lambda i: x(i) != y(i))).cast("long")  # noqa: B023
-        here = F.least(apart, F.lit(max(size - 1, 1)).cast("long")) * (1 << shift)
+        here = F.lit(0).cast("long")
+        if k < layers:
+            apart = F.aggregate(F.zip_with(a[f"l{k}"], b[f"l{k}"], lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+            here = F.least(apart, F.lit(max(size - 1, 1)).cast("long")) * (1 << shift)
         total = total + F.when(ended, F.lit(0)).when(short, F.lit(tail)).otherwise(here)
         ended = ended | short
-        at, size = at + size, size * 4
-        if at > 4096:
-            break
     return total
 
 
+def code_distance(a: Column, b: Column, layers: int = len(LAYER_SHIFTS)) -> Column:
+    """``packed_distance`` of two bit texts. ``layers``: those that the longer code reaches, or more."""
+    return packed_distance(pack_code(a, False, layers), pack_code(b, True, layers), layers)
+
+
+def nearest_codes(queries: DataFrame, codes: DataFrame, k: int, side: int, blocks: int = 16) -> DataFrame:
+    """``a, rank, b, distance``: for each row of ``queries`` the ``k`` nearest of ``codes`` with another id (``image_id, code``),
+    ties to the smaller id. Codes are packed once; each block of codes meets all queries. ``side`` bounds the images."""
+    from pyspark.sql.window import Window
+
+    layers = side.bit_length()
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = queries.select(F.col("image_id").alias("a"), pack_code(F.col("code"), False, layers).alias("pa")).withColumn("block", every)
+    b = codes.select(F.col("image_id").alias("b"), pack_code(F.col("code"), True, layers).alias("pb"), F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int").alias("block"))
+    pairs = a.join(b, "block").filter("a <> b").select("a", "b", packed_distance(F.col("pa"), F.col("pb"), layers).alias("distance"))
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).filter(F.col("rank") <= k).select("a", "rank", "b", "distance")
+
+
+def hex_bits(text: Column) -> Column:
+    """The bits of a code written in hex; null for lengths that no code of more than one bit has.
+
+    A missing half byte is 0; a single byte 00 or 80 is a code of one bit.
+    """
+    full = F.concat(text, F.when(F.length(text) % 2 == 1, "0").otherwise(""))
+    bits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(full)), lambda k: F.lpad(F.conv(F.substring(full, k, F.lit(1)), 16, 2), 4, "0")), "")
+    known = {-(-code_length(1 << 2 * k) // 8) * 8: code_length(1 << 2 * k) for k in range(1, 9)}
+    length = F.try_element_at(F.create_map(*(F.lit(v) for pair in known.items() for v in pair)), F.length(bits))
+    return F.when(F.upper(full).isin("00", "80"), F.substring(bits, 1, 1)).otherwise(F.substring(bits, F.lit(1), length))
+
+
+def decode(codes: DataFrame, code_col: str = "code") -> DataFrame:
+    """``image_id, x, y``: set pixels of the bitmaps that codes are of; the last plane holds them in spiral order."""
+    sized = codes.select("image_id", F.col(code_col).alias("code"), code_size(F.length(code_col)).alias("size"))
+    sizes = [r[0] for r in sized.select("size").distinct().collect()]  # a handful of powers of two
+    last = F.substring("code", F.length("code") - F.col("size") * F.col("size") + 1, F.length("code"))
+    placed = sized.select("image_id", "size", F.posexplode(F.split(last, "")).alias("place", "bit")).filter("bit = '1'")
+    return placed.join(F.broadcast(spiral_order(codes.sparkSession, sizes)), ["size", "place"]).select("image_id", "x", "y")
+
+
+#: A cubic that comes close to a quarter of the unit circle runs from (0, A) over (B, C) and (C, B) to (A, 0); as differences from 1.
+ARC_A, ARC_B, ARC_C = 0.00005519, 0.44657314, 0.00126415
+
+
+def arc(start: Column, corner: Column, end: Column) -> Column:
+    """Four control points of the quarter circle from ``start`` to ``end`` that ``corner`` rounds off, structs of x and y.
+
+    The legs are axis-parallel and of equal length; null for others.
+    """
+    u = {c: F.signum((corner[c] - start[c]).cast("double")) for c in "xy"}
+    v = {c: F.signum((end[c] - corner[c]).cast("double")) for c in "xy"}
+    r = F.abs(end["x"] - start["x"]).cast("double")
+    place = lambda p, ku, kv: F.struct(*((p[c].cast("double") + r * (ku * u[c] + kv * v[c])).alias(c) for c in "xy"))
+    points = F.array(place(start, 0.0, -ARC_A), place(corner, -ARC_B, ARC_C), place(corner, -ARC_C, ARC_B), place(end, ARC_A, 0.0))
+    square = (F.abs(u["x"]) + F.abs(u["y"]) == 1) & (F.abs(v["x"]) + F.abs(v["y"]) == 1) & (u["x"] * v["x"] + u["y"] * v["y"] == 0) & (F.abs(end["x"] - start["x"]) == F.abs(end["y"] - start["y"]))
+    return F.when(square, points)
+
+
+def circle_spline(left: Column, top: Column, diameter: Column) -> Column:
+    """Thirteen control points of a circle, clockwise from the middle of its top; of an odd diameter the even one below."""
+    r = F.floor(diameter / 2)
+    at = lambda i, j: F.struct((left + i * r).alias("x"), (top + j * r).alias("y"))
+    quarters = [arc(at(*a), at(*b), at(*c)) for a, b, c in (((1, 0), (2, 0), (2, 1)), ((2, 1), (2, 2), (1, 2)), ((1, 2), (0, 2), (0, 1)), ((0, 1), (0, 0), (1, 0)))]
+    return F.concat(quarters[0], *(F.slice(q, 2, 3) for q in quarters[1:]))
+
+
 def thin_difference(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     """``image_id, score``: how thick the parts are in which two shapes differ.
 

@@ -65,3 +65,11 @@ def color_sums(df: DataFrame, keys: list[str]) -> DataFrame:
 def merge_color_sums(df: DataFrame, keys: list[str]) -> DataFrame:
     """Merges rows of ``color_sums`` without going back to the pixels."""
     return df.groupBy(*keys).agg(*(F.sum(f"{c}_sum").alias(f"{c}_sum") for c in "rgb"), F.sum("n").alias("n")).select("*", *(truncated_mean(F.col(f"{c}_sum"), F.col("n")).alias(f"{c}_average") for c in "rgb"))
+
+
+def retract_color_sums(whole: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
+    """``whole`` without what ``part`` summed up: rows of ``color_sums`` on either side. Groups that nothing is left of have null averages."""
+    sums = [*(f"{c}_sum" for c in "rgb"), "n"]
+    taken = part.select(*keys, *(F.col(c).alias(f"part_{c}") for c in sums))
+    left = whole.join(taken, keys, "left").select(*keys, *((F.col(c) - F.coalesce(f"part_{c}", F.lit(0))).alias(c) for c in sums))
+    return left.select("*", *(truncated_mean(F.col(f"{c}_sum"), F.col("n")).alias(f"{c}_average") for c in "rgb"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import colors as C
 from gridloom.functions import points as P
 from gridloom.functions.rects import Rect, map_point
-from gridloom.operators import bitmaps, morph, paths, raster, segmentation, shapes, smoothing, spatial, stats
+from gridloom.operators import bitmaps, matrices, morph, paths, raster, segmentation, shapes, smoothing, spatial, stats
+from gridloom.scratch import materialise
 from gridloom.sources.examples import SIDE, duck_with, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,12 +203,12 @@ def rect_transform(spark, sf_dir):
 # ---- tile index, grouping --------------------------------------------------------------------------------------
 
 
-@query("SELECT a.rect_id AS a, b.rect_id AS b FROM fx_rects a JOIN fx_rects b ON a.rect_id < b.rect_id AND least(a.l//100,9) = least(b.l//100,9) AND least(a.t//100,9) = least(b.t//100,9) WHERE a.rect_id % 20 = 0", "fx_rects")
+@query("SELECT a.rect_id AS a, b.rect_id AS b FROM fx_rects a JOIN fx_rects b ON a.rect_id <> b.rect_id AND least(a.l//100,9) = least(b.l//100,9) AND least(a.t//100,9) = least(b.t//100,9) WHERE a.rect_id % 20 = 0", "fx_rects")
 def tile_point_query(spark, sf_dir):
     tiles = spatial.TileMap(1000, 1000)
     placed = tiles.of_point(load(spark, sf_dir, "fx_rects"), F.col("l"), F.col("t"))
     asking = placed.filter("rect_id % 20 = 0").select("tile", F.col("rect_id").alias("a"))
-    return asking.join(placed.select("tile", F.col("rect_id").alias("b")), "tile").filter("a < b").select("a", "b")
+    return asking.join(placed.select("tile", F.col("rect_id").alias("b")), "tile").filter("a <> b").select("a", "b")
 
 
 @query(
@@ -306,8 +306,8 @@ def bitmap_boundary(spark, sf_dir):
     return bitmaps.boundary(load(spark, sf_dir, "fx_bits"))
 
 
-def _components_sql(near: str, where: str = "") -> str:
-    return f"""WITH v AS (SELECT image_id, x, y, y*40+x AS k FROM fx_bits {where}),
+def _components_sql(near: str) -> str:
+    return f"""WITH v AS (SELECT image_id, x, y, y*40+x AS k FROM fx_bits),
  e AS (SELECT a.image_id AS i, a.k AS a, b.k AS b FROM v a JOIN v b ON a.image_id = b.image_id AND {near}),
  w(i, k, c) AS (SELECT image_id, k, k FROM v UNION SELECT w.i, e.b, w.c FROM w JOIN e ON w.i = e.i AND w.k = e.a WHERE e.b > w.c),
  m AS (SELECT i, k, min(c) AS component FROM w GROUP BY 1, 2)
@@ -323,10 +323,10 @@ def bitmap_components4(spark, sf_dir):
     return _sizes(bitmaps.components(load(spark, sf_dir, "fx_bits"), False, SIDE))
 
 
-@query(_components_sql("greatest(abs(a.x-b.x),abs(a.y-b.y)) = 1", "WHERE x < 20 AND y < 20"), "fx_bits")
+@query()
 def bitmap_components8(spark, sf_dir):
-    # the upper left quarter, as an image of its own; the SQL needs its intermediate rows bounded
-    return _sizes(bitmaps.components(bitmaps.crop(load(spark, sf_dir, "fx_bits"), 0, 0, 20, 20), True, SIDE))
+    # recursion in SQL is too slow on whole images; a test compares with a flood fill
+    return _sizes(bitmaps.components(load(spark, sf_dir, "fx_bits"), True, SIDE))
 
 
 @query("SELECT DISTINCT image_id, x + d.dx + 2 AS x, y + d.dy + 2 AS y FROM fx_bits, (SELECT dx, dy FROM range(-2, 2) a(dx), range(-2, 2) b(dy) WHERE floor(sqrt(dx*dx+dy*dy)) < 2) d", "fx_bits")
@@ -436,16 +436,11 @@ def bilinear_sample(spark, sf_dir):
 # ---- shapes ----------------------------------------------------------------------------------------------------
 
 
-def _all_frames(spark, sf_dir):
-    return load(spark, sf_dir, "fx_rects").select(F.col("rect_id").alias("image_id"), (F.col("r") - F.col("l") + 4).alias("w"), (F.col("b") - F.col("t") + 4).alias("h"), (F.col("rect_id") % 6).alias("radius"))
-
-
 def _frames(spark, sf_dir):
-    """The frames that the SQL below names."""
-    return _all_frames(spark, sf_dir).filter("image_id <= 100")
+    return load(spark, sf_dir, "fx_rects").select(F.col("rect_id").alias("image_id"), (F.col("r") - F.col("l") + 4).alias("w"), (F.col("b") - F.col("t") + 4).alias("h"), (F.col("rect_id") % 6).alias("radius"))
 
 
-_FRAMES = "f AS (SELECT rect_id AS image_id, r-l+4 AS w, b-t+4 AS h, rect_id % 6 AS radius FROM fx_rects WHERE rect_id <= 100), c AS (SELECT f.*, x, y FROM f, range(60) a(x), range(60) b(y) WHERE x < w AND y < h)"
+_FRAMES = "f AS (SELECT rect_id AS image_id, r-l+4 AS w, b-t+4 AS h, rect_id % 6 AS radius FROM fx_rects), c AS (SELECT f.*, x, y FROM f, range(60) a(x), range(60) b(y) WHERE x < w AND y < h)"
 
 
 @query(f"WITH {_FRAMES} SELECT image_id, x, y FROM c WHERE abs(x-w//2) <= least(w,h)//2 AND abs(y-h//2) <= least(w,h)//2 AND round(sqrt(CAST((x-w//2)*(x-w//2)+(y-h//2)*(y-h//2) AS DOUBLE))) < least(w,h)//2 + least(w,h) % 2", "fx_rects")
@@ -510,21 +505,30 @@ def shapecode_hex(spark, sf_dir):
 
 @query()
 def shapecode_topk(spark, sf_dir):
-    """The three nearest codes of each, of all others, ranked in one window per code."""
-    from pyspark.sql.window import Window
-
-    codes = _codes(spark, sf_dir)
-    a, b = codes.select(F.col("image_id").alias("a"), F.col("code").alias("ca")), codes.select(F.col("image_id").alias("b"), F.col("code").alias("cb"))
-    pairs = a.join(b, F.col("a") != F.col("b")).withColumn("distance", shapes.code_distance(F.col("ca"), F.col("cb")))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).filter("rank <= 3").select("a", "rank", "b", "distance")
+    """The three nearest codes, among all images, of every image whose id is divisible by 20."""
+    codes = materialise(_codes(spark, sf_dir), "codes")
+    return shapes.nearest_codes(codes.filter("image_id % 20 = 0"), codes, 3, 64)
 
 
 @query()
 def shapecode_distance(spark, sf_dir):
-    codes = _codes(spark, sf_dir)
+    codes = materialise(_codes(spark, sf_dir), "codes")
     a, b = codes.select(F.col("image_id").alias("a"), F.col("code").alias("ca")), codes.select(F.col("image_id").alias("b"), F.col("code").alias("cb"))
     pairs = a.join(b, F.col("b") == F.col("a") + 1)
-    return pairs.select("a", "b", shapes.code_distance(F.col("ca"), F.col("cb")).alias("distance"))
+    return pairs.select("a", "b", shapes.code_distance(F.col("ca"), F.col("cb"), 7).alias("distance"))
+
+
+@query("WITH " + _GRID64.format(w=64, h=64) + " SELECT g.image_id, g.x, g.y FROM g JOIN fx_bits b ON g.image_id = b.image_id AND b.x = g.x*40//64 AND b.y = g.y*40//64", "fx_bits")
+def shapecode_decode(spark, sf_dir):
+    """Decoding gives back what was encoded: the bitmaps resampled to 64 x 64."""
+    return shapes.decode(_codes(spark, sf_dir))
+
+
+@query()
+def shapecode_from_hex(spark, sf_dir):
+    codes = _codes(spark, sf_dir)
+    back = shapes.hex_bits(shapes.hex_text(F.col("code")))
+    return codes.select("image_id", (back == F.col("code")).alias("same"), shapes.code_size(F.length("code")).alias("size"))
 
 
 def _skeleton_sql() -> str:
@@ -559,7 +563,7 @@ def shape_average(spark, sf_dir):
 
 @query()
 def shape_recognise(spark, sf_dir):
-    frames = _all_frames(spark, sf_dir)
+    frames = _frames(spark, sf_dir)
     ellipse = morph.is_ellipse(shapes.ellipses(frames), frames.select("image_id", "w", "h"), 64)
     return ellipse.join(morph.is_isosceles(shapes.rounded_rects(frames), frames.select("image_id", "w", "h"), 64), "image_id")
 
@@ -592,22 +596,57 @@ def path_reduce(spark, sf_dir):
     return paths.reduced(load(spark, sf_dir, "fx_polyline"), 25.0)
 
 
+def _smoothed(rows) -> list[list[tuple[float, float]]]:
+    """Outline and holes of an object, simplified and smoothed."""
+    return [smoothing.smooth(paths.simplify(p, k == 0)) for k, p in enumerate(paths.compound(set(rows)))]
+
+
 @query()
 def path_smooth(spark, sf_dir):
     def work(rows):
-        path = smoothing.smooth(paths.simplify(paths.compound(set(rows))[0]))
-        return [(k, float(x), float(y)) for k, (x, y) in enumerate(path)]
+        return [(part, k, float(x), float(y)) for part, path in enumerate(_smoothed(rows)) for k, (x, y) in enumerate(path)]
 
-    return paths.per_object(_objects(spark, sf_dir), "object_id", work, ["x", "y"], "k int, x double, y double")
+    return paths.per_object(_objects(spark, sf_dir), "object_id", work, ["x", "y"], "part int, k int, x double, y double")
 
 
 @query()
 def spline_fit(spark, sf_dir):
     def work(rows):
-        curve = smoothing.spline(smoothing.smooth(paths.simplify(paths.compound(set(rows))[0])))
-        return [(k, float(x), float(y)) for k, (x, y) in enumerate(curve)]
+        return [(part, k, float(x), float(y)) for part, path in enumerate(_smoothed(rows)) for k, (x, y) in enumerate(smoothing.spline(path))]
 
-    return paths.per_object(_objects(spark, sf_dir), "object_id", work, ["x", "y"], "k int, x double, y double")
+    return paths.per_object(_objects(spark, sf_dir), "object_id", work, ["x", "y"], "part int, k int, x double, y double")
+
+
+@query()
+def spline_svg(spark, sf_dir):
+    """One text per object, holes included, from the origin on, and where it belongs."""
+
+    def work(rows):
+        curves = [c for c in map(smoothing.spline, _smoothed(rows)) if c]
+        text, (x, y) = paths.compound_svg(curves, splines=True, precision=3)
+        return [(text, float(x), float(y), len(curves))]
+
+    return paths.per_object(_objects(spark, sf_dir), "object_id", work, ["x", "y"], "svg string, x double, y double, parts int")
+
+
+@query()
+def compound_svg(spark, sf_dir):
+    def work(rows):
+        text, (x, y) = paths.compound_svg(paths.compound(set(rows)))
+        return [(text, x, y)]
+
+    return paths.per_object(_objects(spark, sf_dir), "object_id", work, ["x", "y"], "svg string, x long, y long")
+
+
+@query()
+def compound_reduce(spark, sf_dir):
+    """Outlines and holes reduced; parts of which nothing is left are dropped."""
+
+    def work(rows):
+        reduced = [q for p in paths.compound(set(rows)) if (q := paths.reduce_closed(p, 1.5)) is not None]
+        return [(part, k, x, y) for part, path in enumerate(reduced) for k, (x, y) in enumerate(path)]
+
+    return paths.per_object(_objects(spark, sf_dir), "object_id", work, ["x", "y"], "part int, k int, x long, y long")
 
 
 @query()
@@ -653,40 +692,13 @@ def matrix_inverse(spark, sf_dir):
     return paths.per_object(load(spark, sf_dir, "fx_gray"), "image_id", work, ["y", "x", "g"], "i int, j int, v double")
 
 
-def perspective(src: list[tuple[float, float]], dst: list[tuple[float, float]]) -> list[float]:
-    """Eight coefficients that carry four points to four others; the identity if there are none."""
-    rows, right = [], []
-    for (x, y), (u, v) in zip(src, dst, strict=True):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-        right += [u, v]
-    try:
-        return [round(c, 10) for c in np.linalg.solve(np.array(rows, float), np.array(right, float)).tolist()]
-    except np.linalg.LinAlgError:
-        return [1, 0, 0, 0, 1, 0, 0, 0]
-
-
 _SRC, _DST = [(0, 0), (1000, 0), (1000, 1000), (0, 1000)], [(10, 20), (900, 50), (1000, 980), (30, 900)]
 
 
-@query("SELECT rect_id, ({0}*l+{1}*t+{2})/({6}*l+{7}*t+1) AS x, ({3}*l+{4}*t+{5})/({6}*l+{7}*t+1) AS y FROM fx_rects".format(*(f"{c!r}::DOUBLE" for c in perspective(_SRC, _DST))), "fx_rects")
+@query("SELECT rect_id, ({0}*l+{1}*t+{2})/({6}*l+{7}*t+1) AS x, ({3}*l+{4}*t+{5})/({6}*l+{7}*t+1) AS y FROM fx_rects".format(*(f"{c!r}::DOUBLE" for c in matrices.projection(_SRC, _DST))), "fx_rects")
 def perspective_transform(spark, sf_dir):
-    c = [F.lit(v) for v in perspective(_SRC, _DST)]
-    x, y = F.col("l"), F.col("t")
-    w = c[6] * x + c[7] * y + 1
-    return load(spark, sf_dir, "fx_rects").select("rect_id", ((c[0] * x + c[1] * y + c[2]) / w).alias("x"), ((c[3] * x + c[4] * y + c[5]) / w).alias("y"))
-
-
-#: How far a quarter arc's handles reach, in radii.
-ARC = 4 / 3 * (math.sqrt(2) - 1)
+    x, y = matrices.project(matrices.projection(_SRC, _DST), F.col("l"), F.col("t"))
+    return load(spark, sf_dir, "fx_rects").select("rect_id", x.alias("x"), y.alias("y"))
 
 
-@query(
-    """WITH q AS (SELECT rect_id, l, t, (r-l)//2 AS q FROM fx_rects)
- SELECT rect_id, CAST(k AS INT) AS k, CASE k WHEN 0 THEN l WHEN 1 THEN l+q WHEN 2 THEN l+2*q ELSE l+q END AS x, CASE k WHEN 0 THEN t+q WHEN 1 THEN t WHEN 2 THEN t+q ELSE t+2*q END AS y FROM q, range(4) s(k)""",
-    "fx_rects",
-)
-def arc_circle(spark, sf_dir):
-    """The four points where the arcs of a rectangle's circle meet, from the left, clockwise."""
-    q, l, t = F.floor((F.col("r") - F.col("l")) / 2), F.col("l"), F.col("t")  # noqa: E741
-    at = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((l, t + q), (l + q, t), (l + 2 * q, t + q), (l + q, t + 2 * q))))
-    return load(spark, sf_dir, "fx_rects").select("rect_id", F.posexplode(at).alias("k", "p")).select("rect_id", "k", "p.x", "p.y")
+from gridloom.plans import elements  # noqa: E402, F401  registers more queries
