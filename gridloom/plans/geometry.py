@@ -513,9 +513,11 @@ def shapecode_topk(spark, sf_dir):
 @query()
 def shapecode_distance(spark, sf_dir):
     codes = materialise(_codes(spark, sf_dir), "codes")
-    a, b = codes.select(F.col("image_id").alias("a"), F.col("code").alias("ca")), codes.select(F.col("image_id").alias("b"), F.col("code").alias("cb"))
+    # packed on either side of the join, once for each code
+    a = codes.select(F.col("image_id").alias("a"), shapes.pack_code(F.col("code"), False, 7).alias("pa"))
+    b = codes.select(F.col("image_id").alias("b"), shapes.pack_code(F.col("code"), True, 7).alias("pb"))
     pairs = a.join(b, F.col("b") == F.col("a") + 1)
-    return pairs.select("a", "b", shapes.code_distance(F.col("ca"), F.col("cb"), 7).alias("distance"))
+    return pairs.select("a", "b", shapes.packed_distance(F.col("pa"), F.col("pb"), 7).alias("distance"))
 
 
 @query("WITH " + _GRID64.format(w=64, h=64) + " SELECT g.image_id, g.x, g.y FROM g JOIN fx_bits b ON g.image_id = b.image_id AND b.x = g.x*40//64 AND b.y = g.y*40//64", "fx_bits")
