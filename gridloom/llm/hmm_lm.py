@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,15 @@ class Spelling:
     def log(self, word: bytes) -> float:
         return sum(map(self.letters.__getitem__, word)) + (len(word) - 1) * self.on + self.stop
 
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of many words the shared classes, counted from 0, and ``log``."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        flat, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        k = np.add.reduceat(flat, begin, dtype=np.int64) % SHARED_CLASSES
+        return k, np.add.reduceat(self.letters[flat], begin) + (size - 1) * self.on + self.stop
+
     def class_shares(self) -> np.ndarray:
         """Probability that a spelling belongs to each shared class: a geometric series of convolutions, by Fourier transform."""
         one = np.bincount(np.arange(256) % SHARED_CLASSES, 10.0**self.letters, SHARED_CLASSES)
@@ -159,8 +169,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         sums = np.zeros((4, SHARED_CLASSES))
         for b in batches:
             tokens, m = b.column(0).to_pylist(), b.column(1).to_numpy()
-            k = np.array([sum(w) % SHARED_CLASSES for w in tokens], np.int64)
-            spelt = 10.0 ** np.array([spelling.log(w) for w in tokens])
+            k, spelt = spelling.of(tokens)
+            spelt = 10.0**spelt
             for row, x in zip(sums, (m, np.ones(len(b)), m == 1, spelt), strict=True):
                 row += np.bincount(k, x, SHARED_CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHARED_CLASSES)), *map(pa.array, sums)], names=["k", "c", "n", "once", "spelt"])
@@ -204,32 +214,40 @@ def coded(df: DataFrame, known: Vocabulary, text_col: str) -> DataFrame:
     schema = T.StructType([df.schema[i] for i in keep] + fields + [T.StructField("tail", T.ArrayType(tail_type))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, spell = shared.value.head, shared.value.spelling.log
-        kinds = np.array([k for k, _ in head.values()], np.int64)
+        head, spelling = shared.value.head, shared.value.spelling
+        # one more element for words that are not in the head, at place -1
+        kinds = np.array([*(k for k, _ in head.values()), OWN_CLASSES], np.int64)
         count = np.array([m for _, m in head.values()])
-        log = np.log10(count + SMOOTH)
+        log = np.r_[np.log10(count + SMOOTH), 0.0]
         within = np.where(kinds < OWN_CLASSES, 0.0, log + shared.value.seen_log[kinds])
-        number = dict(zip(head, zip(kinds.tolist(), log.tolist(), within.tolist(), (count > 0).tolist(), strict=True), strict=True))
-        none = (-1, 0.0, 0.0, 0)
+        within[-1] = 0.0
+        seen = np.r_[count > 0, False].astype(np.int64)
+        number = dict(zip(head, range(len(head)), strict=True)).get
         for whole in batches:
             for some in slices(whole):
-                rows: list[tuple] = []
-                tails: list[Counter] = []
+                words: list[bytes] = []
+                size = []
                 for t in some.column(at):
-                    words = [*words_of(t.as_py()), END]
-                    got = [number.get(w, none) for w in words]
-                    tail = [w for w, g in zip(words, got, strict=True) if g[0] < 0]
-                    classes = np.fromiter((g[0] for g in got), np.int16, len(got))
-                    if tail:
-                        classes[classes < 0] = [class_of(w) for w in tail]
-                    rows.append((classes.tobytes(), len(words), sum(g[3] for g in got), sum(g[1] for g in got), sum(g[2] for g in got)))
-                    tails.append(Counter(tail))
-                cols = list(zip(*rows, strict=True))
+                    own = words_of(t.as_py())
+                    words += own
+                    words.append(END)
+                    size.append(len(own) + 1)
+                place = np.fromiter(map(number, words, repeat(-1)), np.int64, len(words))
+                ends = np.cumsum(size)
+                begin = ends - size
+                classes = kinds[place].astype(np.int16)
+                missing = np.flatnonzero(place < 0)
+                rest = [words[i] for i in missing.tolist()]
+                classes[missing] = OWN_CLASSES + spelling.of(rest)[0]
+                cuts = np.searchsorted(missing, np.r_[0, ends]).tolist()
+                tails = [Counter(rest[a:b]) for a, b in pairwise(cuts)]
                 flat = [w for c in tails for w in c]
-                struct = pa.StructArray.from_arrays([pa.array(flat, pa.binary()), pa.array([n for c in tails for n in c.values()], pa.int32()), pa.array([sum(w) % SHARED_CLASSES for w in flat], pa.int32()), pa.array(list(map(spell, flat)), pa.float64())], fields=list(_TAIL))
+                k, spelt = spelling.of(flat)
+                struct = pa.StructArray.from_arrays([pa.array(flat, pa.binary()), pa.array([n for c in tails for n in c.values()], pa.int32()), pa.array(k.astype(np.int32)), pa.array(spelt)], fields=list(_TAIL))
                 offsets = pa.array(np.cumsum([0, *map(len, tails)]), pa.int32())
-                types = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in keep), *(pa.array(c, k) for c, k in zip(cols, types, strict=True)), pa.ListArray.from_arrays(offsets, struct)], names=schema.names)
+                sums = [np.add.reduceat(x[place], begin) for x in (seen, log, within)]
+                packed = [classes[a:b].tobytes() for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in keep), pa.array(packed, pa.binary()), pa.array(size, pa.int64()), *map(pa.array, sums), pa.ListArray.from_arrays(offsets, struct)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
