@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from gridloom.llm.common import append_columns, position
 
 #: Entries of a memo table, and bytes of the pieces in one, before it starts afresh; they affect speed only.
-MEMO_ENTRIES, MEMO_BYTES, MEMO_PIECE = 80_000, 2_000_000, 256
+MEMO_ENTRIES, MEMO_BYTES, MEMO_PIECE = 150_000, 5_000_000, 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
