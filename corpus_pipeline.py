@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, lang_id, line_dedup, minhash_dedup, mixing
-from gridloom.llm.common import crc_mod, materialise, table
+from gridloom.llm.common import crc_mod, materialise, quoted, table
 from gridloom.llm.queries import PATTERN, VOCABULARY
 from gridloom.session import ship
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` under names that no operator's own columns have, so that further columns pass through whatever they are called."""
+    return docs.toDF(*(f"in_{c}" for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no language's model accepts; the models learn from a bounded labelled sample of ``docs``.
 
@@ -23,7 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     ship(spark)
     model = lang_id.train(docs, crc_mod(F.col("doc_id"), 4) != 2)
-    return lang_id.classify(docs, model).filter("lang_accepted").select(*docs.columns)
+    judged = lang_id.classify(_apart(docs), model, text_col="in_text").filter("lang_accepted")
+    return judged.select(*(F.col(quoted(f"in_{c}")).alias(c) for c in docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +38,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Null texts stay null, with null ``n_chars``. Rows that repeat id and text are one document here and lose the same lines.
     """
     ship(spark)
-    out = line_dedup.deduplicate(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = line_dedup.deduplicate(_apart(docs), "in_doc_id", "in_text").withColumn("in_n_chars", F.length("in_text").cast("long"))
+    return out.select(*(F.col(quoted(f"in_{c}")).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
