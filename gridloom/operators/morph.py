@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from gridloom.operators import bitmaps, shapes
 from gridloom.operators.bitmaps import EIGHT, PIXEL
-from gridloom.operators.paths import per_object
+from gridloom.operators.paths import compound, per_object, reduce_closed
 
 #: Directions of runs: the key that is constant along a run, and the place that grows. In this order ties are decided.
 _DIRECTIONS = (("y", "x"), ("x", "y"), ("x + y", "x"), ("x - y", "x"))
@@ -76,7 +76,7 @@ def clustered_difference(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
 _NEAR = ((0, -1), (1, 0), (0, 1), (-1, 0))
 
 
-def _parts(pixels: set) -> list[set]:
+def parts_of(pixels: set) -> list[set]:
     """4-connected parts by first raster pixel."""
     left, out = set(pixels), []
     for seed in sorted(pixels, key=lambda p: (p[1], p[0])):
@@ -99,7 +99,7 @@ def average_of(a: set, b: set) -> set | None:
     Null if the two sets have different numbers of parts.
     """
     inner, outer = a & b, a | b
-    if len(_parts(inner)) != len(_parts(outer)):
+    if len(parts_of(inner)) != len(parts_of(outer)):
         return None
     rings, seen, front = [], set(inner), set(inner)
     while front:
@@ -139,7 +139,7 @@ def break_weak_joints(pixels: set, least: int = 5) -> list[set]:
         return None
 
     cut = joint()
-    parts = _parts(pixels - {cut}) if cut else []
+    parts = parts_of(pixels - {cut}) if cut else []
     if not parts or min(map(len, parts)) < least:
         return [pixels]
     return [q for p in parts for q in break_weak_joints(p, least)]
@@ -175,3 +175,34 @@ def is_isosceles(bits: DataFrame, frames: DataFrame, width: int) -> DataFrame:
     zero = F.lit(0).cast("long")
     ideal = shapes.triangles(frames.select("image_id", zero.alias("ax"), h.alias("ay"), F.floor(w / 2).alias("bx"), zero.alias("by"), w.alias("cx"), h.alias("cy"))).join(frames, "image_id").filter((F.col("x") < w) & (F.col("y") < h))
     return looks_like(bits, frames, ideal.select(PIXEL), 3, width).join(frames, "image_id").select("image_id", (F.col("alike") & ((w >= 3) | (h >= 3))).alias("isosceles"))
+
+
+def quadrilateral_of(pixels: set, tolerance: float) -> list[tuple[int, int]] | None:
+    """Corners of the outer outline reduced to its extreme points, as four pixels; null if the outline reduces to nothing.
+
+    The fourth takes its height from the second: this is how the measure is defined.
+    """
+    path = reduce_closed(compound(pixels)[0], tolerance) if pixels else None
+    if path is None:
+        return None
+    (x0, y0), (x1, y1), (x2, y2), (x3, _) = path[:4]
+    return [(x0 - 1, y0), (x1 - 1, y1 - 1), (x2, y2 - 1), (x3, y1 - 1)]
+
+
+def is_quadrilateral(bits: DataFrame, frames: DataFrame, width: int) -> DataFrame:
+    """``image_id, quadrilateral``: by the two triangles between the extreme points; null where there are none.
+
+    ``frames`` are ``image_id, w, h``; an outline that is too small to reduce, or no pixel at all, gives null.
+    """
+
+    def work(rows):
+        corners = quadrilateral_of({(x, y) for x, y, _, _ in rows}, float(min(rows[0][2:])))
+        return [tuple(v for p in corners for v in p)] if corners else []
+
+    found = per_object(bits.join(frames, "image_id"), "image_id", work, ["x", "y", "w", "h"], ", ".join(f"{c}{k} long" for k in range(4) for c in "xy"))
+    corner = lambda *ks: [F.col(f"{c}{k}").alias(f"{n}{c}") for n, k in zip("abc", ks, strict=True) for c in "xy"]
+    halves = found.select("image_id", *corner(0, 1, 2)).unionAll(found.select("image_id", *corner(0, 2, 3)))
+    ideal = shapes.triangles(halves).join(frames, "image_id").filter((F.col("x") >= 0) & (F.col("x") < F.col("w")) & (F.col("y") >= 0) & (F.col("y") < F.col("h")))
+    alike = looks_like(bits, frames, ideal.select(PIXEL).distinct(), 6, width)
+    known = found.select("image_id", F.lit(True).alias("known"))
+    return alike.join(known, "image_id", "left").select("image_id", F.when(F.col("known"), F.col("alike")).alias("quadrilateral"))

@@ -570,6 +570,15 @@ def shape_recognise(spark, sf_dir):
     return ellipse.join(morph.is_isosceles(shapes.rounded_rects(frames), frames.select("image_id", "w", "h"), 64), "image_id")
 
 
+@query()
+def shape_quadrilateral(spark, sf_dir):
+    """Filled rectangles and ellipses in frames of their size; the former are quadrilaterals."""
+    frames = _frames(spark, sf_dir)
+    sizes = frames.select("image_id", "w", "h")
+    boxes = morph.is_quadrilateral(shapes.rounded_rects(frames.withColumn("radius", L(0))), sizes, 64).withColumnRenamed("quadrilateral", "box")
+    return boxes.join(morph.is_quadrilateral(shapes.ellipses(frames), sizes, 64).withColumnRenamed("quadrilateral", "ellipse"), "image_id")
+
+
 @query()
 def bitmap_break(spark, sf_dir):
     return morph.broken(_objects(spark, sf_dir))
@@ -661,6 +670,58 @@ def color_segment_neighbours(spark, sf_dir):
     return segmentation.region_neighbours(load(spark, sf_dir, "fx_rgb"))
 
 
+#: Rules of one's own: colours alike by their sum, every region that differs by 40 stays, none cuts a hole.
+_OWN = segmentation.Settings(
+    same=lambda a, b: abs(sum(a) - sum(b)) <= 60,
+    difference=lambda a, b: max(abs(u - v) for u, v in zip(a, b, strict=True)),
+    deepens=lambda seg, k, area, near: max(abs(u - v) for u, v in zip(segmentation.mean_color(seg.regions[k].total), near[0], strict=True)) > 40,
+    hollows=lambda seg, k, area, near: False,
+)
+
+
+@query()
+def color_segment_rules(spark, sf_dir):
+    return segmentation.segment(load(spark, sf_dir, "fx_rgb"), _OWN)
+
+
+def _keyed(spark, sf_dir):
+    """Every seventh pixel, by its place, wears the key colour."""
+    keyed = F.when((F.col("x") * 3 + F.col("y") * 5) % 7 == 0, L(1))
+    channel = lambda c, key: F.coalesce(keyed * key, F.col(c)).alias(c)
+    return load(spark, sf_dir, "fx_rgb").select("image_id", "x", "y", channel("r", 255), channel("g", 0), channel("b", 255), F.coalesce(keyed * 128, L(255)).alias("a"))
+
+
+@query("SELECT image_id, x, y, (x*3+y*5) % 7 = 0 AS keyed FROM fx_rgb", "fx_gray", "fx_rgb")
+def color_key_pixels(spark, sf_dir):
+    """With keyed pixels dropped, these and no others end in no region, as flat output leaves nothing else out."""
+    flat = segmentation.Settings(key=(255, 0, 255, 128), discard=True, hierarchical=0)
+    return segmentation.region_at(_keyed(spark, sf_dir), flat).select("image_id", "x", "y", F.col("place").isNull().alias("keyed"))
+
+
+@query()
+def color_segment_keyed(spark, sf_dir):
+    return segmentation.segment(_keyed(spark, sf_dir), segmentation.Settings(key=(255, 0, 255, 128), discard=True, min_area=1))
+
+
+@query()
+def region_lookup(spark, sf_dir):
+    """The region at one point of each image."""
+    points = load(spark, sf_dir, "fx_rgb").select("image_id", (F.col("image_id") % 8).alias("x"), (F.col("image_id") % 5).alias("y")).distinct()
+    return points.join(segmentation.region_at(load(spark, sf_dir, "fx_rgb"), segmentation.Settings(min_area=1)), ["image_id", "x", "y"])
+
+
+@query("SELECT image_id, count(*) AS pixels FROM fx_rgb GROUP BY 1", "fx_gray", "fx_rgb")
+def region_pixels(spark, sf_dir):
+    """Flat regions share out the pixels of their image: each pixel is in one of them."""
+    pixels = segmentation.region_pixels(load(spark, sf_dir, "fx_rgb"), segmentation.Settings(hierarchical=0))
+    return pixels.groupBy("image_id").agg(F.count_distinct("x", "y").alias("pixels"))
+
+
+@query()
+def region_paths(spark, sf_dir):
+    return segmentation.region_paths(load(spark, sf_dir, "fx_rgb"), segmentation.Settings(min_area=1))
+
+
 @query()
 def color_recolor(spark, sf_dir):
     return segmentation.recolor(load(spark, sf_dir, "fx_rgb"), segmentation.Settings(min_area=1))

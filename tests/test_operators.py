@@ -338,6 +338,72 @@ def test_segmentation():
     assert [plain.regions[k].area for k in plain.output] == [25]
 
 
+def test_segmentation_with_a_key_colour():
+    key, left, right = (0, 255, 0, 128), (10, 10, 10, 255), (200, 200, 200, 255)
+    image = {(x, y): key if x == 4 else left if x < 4 else right for x in range(9) for y in range(6)}
+    dropped = segmentation.Segmenter(image, segmentation.Settings(key=key, discard=True))
+    assert [dropped.regions[k].area for k in dropped.output] == [24, 24]  # nothing joins across what was dropped
+    assert all((4, y) not in dropped.label for y in range(6)) and dropped.regions[0].area == 0
+    kept = segmentation.Segmenter(image, segmentation.Settings(key=key, hierarchical=0))
+    assert kept.regions[0].area == 6 and kept.regions[0].total == [0, 1530, 0, 6]
+    assert sum(kept.regions[k].area for k in kept.output) == 54
+    # another alpha is another colour
+    other = segmentation.Segmenter(image, segmentation.Settings(key=(*key[:3], 255), hierarchical=0))
+    assert other.regions[0].area == 0
+
+
+def test_segmentation_by_given_rules():
+    image = {(x, y): (0, 0, 100) if x < 4 else (100, 0, 0) for x in range(8) for y in range(8)}
+    alike = segmentation.Segmenter(image, segmentation.Settings(same=lambda a, b: sum(a) == sum(b), hierarchical=0))
+    assert sorted(alike.regions[k].area for k in alike.output) == [1, 63]  # the first pixel joins later only
+    rules = {"deepens": lambda seg, k, area, near: area == 32, "hollows": lambda seg, k, area, near: len(near) == 1}
+    deep = segmentation.Segmenter(image, segmentation.Settings(**rules))
+    first, last = deep.output
+    assert deep.regions[first].area == 32 and deep.regions[first].parent == last and deep.regions[last].area == 64
+    assert deep.shape(last) == deep.shape(last, False) - deep.shape(first) and len(deep.shape(last)) == 32
+    assert segmentation.Segmenter(image, segmentation.Settings(difference=lambda a, b: 0)).output
+
+
+def test_labels_and_regions_agree_after_growth():
+    a, b = (0, 0, 0), (255, 255, 255)
+    rows = ["aab", "aab", "bab", "aaa"]
+    image = {(x, y): a if c == "a" else b for y, row in enumerate(rows) for x, c in enumerate(row)}
+    seg = segmentation.Segmenter(image, segmentation.Settings(hierarchical=0))
+    assert sum(seg.regions[k].area for k in seg.output) == len(image)
+    assert set(seg.label) == set(image) and all(p in seg.regions[k].pixels for p, k in seg.label.items())
+
+
+def test_regions_of_images(spark):
+    rows = [(1, x, y, *((10, 10, 10) if 2 <= x < 6 and 2 <= y < 6 else (200, 200, 200))) for x in range(8) for y in range(8)]
+    df = spark.createDataFrame(rows, "image_id long, x long, y long, r int, g int, b int")
+    settings = segmentation.Settings(min_area=4, max_area=60)
+    at = {(r.x, r.y): r.place for r in segmentation.region_at(df, settings).collect()}
+    assert len(at) == 64 and set(at.values()) == {1}
+    inner = {(x, y) for x in range(2, 6) for y in range(2, 6)}
+    pixels = segmentation.region_pixels(df, settings).collect()
+    assert {(r.x, r.y) for r in pixels if r.place == 0} == inner
+    assert {(r.x, r.y) for r in pixels if r.place == 1} == set(at) - inner
+    assert segmentation.region_pixels(df, settings, holes=False).filter("place = 1").count() == 64
+    paths_of = {r.place: r for r in segmentation.region_paths(df, settings).collect()}
+    assert paths_of[0].svg == "M0,0 L4,0 L4,4 L0,4 Z " and (paths_of[0].x, paths_of[0].y, paths_of[0].parts) == (2, 2, 1)
+    assert (paths_of[1].x, paths_of[1].y, paths_of[1].parts) == (0, 0, 2)
+    assert segmentation.region_paths(df.limit(0), settings).count() == 0
+
+
+def test_quadrilaterals(spark):
+    texts = {  # the last is a triangle with steps
+        "--***--\n-*****-\n*******\n*******\n*******\n-*****-\n--***--": False,
+        "----*----\n---***---\n--*****--\n-*******-\n*********\n*********\n*********\n-*******-\n--*****--\n---***---\n----*----": True,
+        "----*----\n--*****--\n-*******-\n-*******-\n*********\n*********\n*********\n-*******-\n-*******-\n--*****--\n----*----": False,
+        "-***-\n-***-\n*****\n*****": False,
+    }
+    frames = spark.createDataFrame([(k, len(t.split("\n")[0]), t.count("\n") + 1) for k, t in enumerate(texts)], "image_id long, w long, h long")
+    got = {r.image_id: r.quadrilateral for r in morph.is_quadrilateral(bits_of(spark, *texts), frames, 16).collect()}
+    assert got == dict(enumerate(texts.values()))
+    empty = spark.createDataFrame([(9, 5, 5)], "image_id long, w long, h long")
+    assert morph.is_quadrilateral(bits_of(spark, *texts), empty, 16).first().quadrilateral is None
+
+
 def test_hex_codes(spark):
     codes = lambda text, side: shapes.code_bits(shapes.code_layers(bits_of(spark, text), side), side).first().bits
     assert codes("*-\n-*", 2) == "11010"
