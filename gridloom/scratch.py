@@ -7,12 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 #: Paths written since each open ``temporary`` block began.
 _open: list[list[str]] = []
+#: Where the frames that ``materialise`` returned are stored.
+_stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -44,7 +47,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     atexit.register(_delete, spark, path)
     if _open:
         _open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Frees the table of a frame that ``materialise`` returned, before its block ends: nothing that depends on it may run afterwards."""
+    _delete(df.sparkSession, _stored.pop(df))
 
 
 @contextmanager
