@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.scratch import materialise, temporary  # noqa: F401
+from gridloom.scratch import materialise, release, temporary  # noqa: F401
 from gridloom.session import ship
 
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, carriage return.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import fresh, materialise, quoted, slices, temporary
+from gridloom.llm.common import fresh, materialise, quoted, release, slices, temporary
 from gridloom.operators.components import connected_components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -407,9 +407,13 @@ def _classes(docs: DataFrame, similarity: float, plain: bool) -> DataFrame:
                         names=["doc_id", "row_key", "node", "n", "sig", "h", "tf"],
                     )
 
-    signed = materialise(keyed.select("doc_id", "row_key", "text").mapInArrow(sign, f"doc_id {kind.simpleString()}, row_key long, node binary, n long, sig binary, h binary, tf binary"), "icws-signed")
-    texts = signed.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("of_key"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    texts = materialise(texts.withColumn("name", _id_key(F.col("least"), F.col("node"), kind)), "icws-texts")
+    signed = keyed.select("doc_id", "row_key", "text").mapInArrow(sign, f"doc_id {kind.simpleString()}, row_key long, node binary, n long, sig binary, h binary, tf binary")
+    signed = materialise(signed.withColumn("row", F.monotonically_increasing_id()), "icws-signed")
+    rows = materialise(signed.select("doc_id", "row_key", "node", "n"), "icws-rows")
+    # a text is read in one row that has it, whichever
+    texts = signed.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("of_row"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    texts = materialise(texts, "icws-texts")
+    names = materialise(texts.select("node", "of_row", _id_key(F.col("least"), F.col("node"), kind).alias("name")), "icws-names")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -419,6 +423,7 @@ def _classes(docs: DataFrame, similarity: float, plain: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(b))), b.column("node").take(at), b.column("n").take(at)], names=["bucket", "band", "node", "n"])
 
     banded = materialise(texts.select("node", "n", "sig").mapInArrow(bands, "bucket long, band int, node binary, n long"), "icws-bands")
+    release(texts)
     a_set = [F.xxhash64("node").alias("x"), F.xxhash64(F.lit("second"), "node").alias("y")]
     buckets = banded.select("*", *a_set).groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("node").alias("lead"), F.max("node").alias("other"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter(F.col("size") > 1)
     # of buckets with the same members the first; what two texts share first is always among these
@@ -426,12 +431,12 @@ def _classes(docs: DataFrame, similarity: float, plain: bool) -> DataFrame:
     pieces = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     buckets = materialise(buckets.select("first.bucket", "size", "lead", "other", pieces.alias("pieces")), "icws-buckets")
     members = materialise(banded.select("bucket", "band", "node").join(buckets, "bucket"), "icws-members")
-    wanted = materialise(members.select("node").distinct().join(texts.select("node", "of_key", "name"), "node"), "icws-wanted")
+    release(banded)
+    wanted = materialise(members.select("node").distinct().join(names, "node"), "icws-wanted")
     few = wanted.count() <= BROADCAST_NODES
-    named = wanted.select(F.col("node").alias("w_node"), "of_key", "name")
-    read = signed.select("node", "row_key", "sig", "h", "tf").join(F.broadcast(named) if few else named, (F.col("node") == F.col("w_node")) & (F.col("row_key") == F.col("of_key"))).select("node", "name", "sig", "h", "tf")
-    # rows that repeat id and text have the same key
-    packed = materialise(read.groupBy("node").agg(*(F.first(c).alias(c) for c in ("name", "sig", "h", "tf"))), "icws-shingles")
+    read = signed.select("row", "sig", "h", "tf").join(F.broadcast(wanted) if few else wanted, F.col("row") == F.col("of_row"))
+    packed = materialise(read.select("node", "name", "sig", "h", "tf"), "icws-shingles")
+    release(signed)
 
     def search(groups: DataFrame) -> DataFrame:
         """``a, b``: links within each group, by names."""
@@ -451,8 +456,8 @@ def _classes(docs: DataFrame, similarity: float, plain: bool) -> DataFrame:
         label = wanted.join(found.withColumnRenamed("id", "name"), "name", "left").select("node", F.coalesce("component", "name").alias("component"))
         links = materialise(links.union(search(_groups(cut.join(label, "node")))), "icws-links")
         found = connected_components(links)
-    by_node = texts.join(found.withColumnRenamed("id", "name"), "name", "left").select("node", _key_id(F.coalesce("component", "name"), kind).alias("of_class"))
-    out = signed.select("doc_id", "row_key", "node", "n").join(by_node, "node", "left")
+    by_node = names.join(found.withColumnRenamed("id", "name"), "name", "left").select("node", _key_id(F.coalesce("component", "name"), kind).alias("of_class"))
+    out = rows.join(by_node, "node", "left")
     out = out.select("doc_id", "row_key", F.when(F.col("n") > 0, F.col("of_class")).otherwise(F.col("doc_id")).alias("class_id"))
     return out.select("doc_id", "row_key", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
