@@ -36,8 +36,8 @@ DEPTH, WIDTH_BITS, TABLE = 2, (20, 23), 1 << 16
 #: Members, and shingles, of a part of a bucket; least share of agreeing samples of a pair that is read in full, more than
 #: five standard deviations below what a linked pair shows.
 BLOCK, BLOCK_SHINGLES, PROMISING = 2048, 2_000_000, 0.5
-#: Nodes that a broadcast may name (some 40 bytes each).
-BROADCAST_NODES = 500_000
+#: Pieces that the sketch is summed and read in.
+PIECES = 64
 #: Bytes of text shingled at once.
 CHUNK = 1_000_000
 
@@ -119,9 +119,13 @@ class Weights:
     """
 
     def __init__(self, sketch: np.ndarray, docs: int):
-        mean, spread = sketch.mean(1, keepdims=True), np.sqrt(np.median(sketch, 1, keepdims=True) + 1)
-        df = np.where(sketch > mean + 3 * spread, sketch - mean, 1).clip(1, max(docs, 1))
-        self.table = np.round(255 * (1 - np.log(df) / np.log(max(docs, 2)))).astype(np.uint8)
+        self.table = np.empty(sketch.shape, np.uint8)
+        for row, steps in zip(sketch, self.table, strict=True):
+            mean, spread = row.mean(), np.sqrt(np.median(row) + 1)
+            # in pieces, as the driver has little room beside the sketch
+            for cells, out in zip(np.array_split(row, PIECES), np.array_split(steps, PIECES), strict=True):
+                df = np.where(cells > mean + 3 * spread, cells - mean, np.float32(1)).clip(1, max(docs, 1))
+                out[:] = np.round(255 * (1 - np.log(df) / np.log(max(docs, 2))))
 
     def idf(self, h: np.ndarray) -> np.ndarray:
         steps = np.maximum.reduce([row[c] for row, c in zip(self.table, _cells(h, self.table.shape[1]), strict=True)])
@@ -190,7 +194,7 @@ def _width(docs: int) -> int:
 def _sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Document frequencies of all shingles in the sketch's cells, and the number of documents."""
     n_docs = docs.count()
-    width, parts = _width(n_docs), 64
+    width = _width(n_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros((DEPTH, width), np.uint32), 0
@@ -202,24 +206,42 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
                 for row, c in zip(sums, _cells(h, width), strict=True):
                     np.add.at(row, c, np.uint32(1))
         if n:
-            for k, piece in enumerate(np.array_split(sums.ravel(), parts)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(piece.astype(np.uint64).tobytes(), 1)], pa.binary())], names=["piece", "sums"])
+            for k, piece in enumerate(np.array_split(sums.ravel(), PIECES)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(piece)], pa.binary())], names=["piece", "sums"])
 
     schema = "piece int, sums binary"
     salted = docs.select("text").mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    rows = salted.groupBy("piece", "salt").applyInArrow(_add_pieces, schema).groupBy("piece").applyInArrow(_add_pieces, schema).collect()
-    if not rows:
-        return np.zeros((DEPTH, width), np.float32), 0
-    flat = np.concatenate([np.frombuffer(zlib.decompress(r["sums"]), np.uint64) for r in sorted(rows, key=lambda r: r["piece"])])
-    return flat.reshape(DEPTH, width).astype(np.float32), n_docs
+    summed = materialise(salted.groupBy("piece", "salt").applyInArrow(_add_pieces, schema).groupBy("piece").applyInArrow(_add_pieces, schema), "icws-sketch")
+    sketch = np.zeros((DEPTH, width), np.float32)
+    pieces = np.array_split(sketch.reshape(-1), PIECES)
+    # a partition at a time: the driver never holds the whole sketch twice
+    for r in summed.toLocalIterator():
+        pieces[r["piece"]][:] = _unpack(r["sums"])
+    release(summed)
+    return sketch, n_docs
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts as planes of bytes, the lowest first and as many as the largest count needs, compressed."""
+    n = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
+    planes = counts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T
+    return bytes([n]) + zlib.compress(planes.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
+    counts = np.zeros(planes.shape[1], _U)
+    for k, plane in enumerate(planes):
+        counts |= plane.astype(_U) << _U(8 * k)
+    return counts
 
 
 def _add_pieces(key, table):
     total = None
     for x in table.column("sums"):
-        piece = np.frombuffer(zlib.decompress(x.as_py()), np.uint64)
-        total = piece.copy() if total is None else total + piece
-    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        piece = _unpack(x.as_py())
+        total = piece if total is None else total + piece
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([_pack(total)], pa.binary())})
 
 
 def weighted_jaccard(h1, w1, h2, w2) -> float:
@@ -369,6 +391,27 @@ def _key_id(key: Column, kind: T.DataType) -> Column:
     return F.when(F.hex(F.substring(key, 1, 1)) == "00", found)
 
 
+def _bits(key, table):
+    """A bit for each place of a partition's rows, from the lowest of the first byte."""
+    place = table.column("place").to_numpy()
+    flags = np.zeros(place.max() + 1, bool)
+    flags[place] = True
+    return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``rows`` whose ``row``, a monotonically increasing id, is an ``of_row`` of ``wanted``. ``rows`` is not shuffled, however
+    many are wanted; what is broadcast has a bit for each row, at most."""
+    apart = lambda c: (F.shiftright(c, 33), F.col(c).bitwiseAND(F.lit((1 << 33) - 1)))
+    at, place = apart("of_row")
+    bits = materialise(wanted.select(at.alias("at"), place.alias("place")).groupBy("at").applyInArrow(_bits, "at long, bits binary"), "icws-bits")
+    at, place = apart("row")
+    byte = F.col("bits").substr(F.floor(place / 8).cast("int") + 1, F.lit(1))
+    # beyond the last bit there is no byte, and so null
+    named = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1
+    return rows.join(F.broadcast(bits), (at == F.col("at")) & named).drop("at", "bits")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, plain: bool = True) -> DataFrame:
     """``doc_id, row_key, class_id, kept``: one row per row of ``df``.
 
@@ -433,14 +476,12 @@ def _classes(docs: DataFrame, similarity: float, plain: bool) -> DataFrame:
     members = materialise(banded.select("bucket", "band", "node").join(buckets, "bucket"), "icws-members")
     release(banded)
     wanted = materialise(members.select("node").distinct().join(names, "node"), "icws-wanted")
-    few = wanted.count() <= BROADCAST_NODES
-    read = signed.select("row", "sig", "h", "tf").join(F.broadcast(wanted) if few else wanted, F.col("row") == F.col("of_row"))
-    packed = materialise(read.select("node", "name", "sig", "h", "tf"), "icws-shingles")
+    packed = materialise(_among(signed.select("row", "node", "sig", "h", "tf"), wanted).drop("row"), "icws-shingles")
     release(signed)
 
     def search(groups: DataFrame) -> DataFrame:
         """``a, b``: links within each group, by names."""
-        rows = groups.join(packed, "node").select(*_GROUP, "band", "component", "part", "big", F.col("name").alias("node"), "sig", "h", "tf")
+        rows = groups.join(wanted.select("node", "name"), "node").join(packed, "node").select(*_GROUP, "band", "component", "part", "big", F.col("name").alias("node"), "sig", "h", "tf")
         return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_searched(shared, similarity, plain), "a binary, b binary")
 
     no = F.lit(False)

@@ -640,6 +640,50 @@ def test_string_ids_name_classes(spark):
     assert {r.doc_id: r.class_id for r in minhash_dedup.classes(low).collect()} == {-5: -5, 7: -5, -(1 << 62): -(1 << 62)}
 
 
+def test_driver_holds_little_however_many_texts_are_read(spark, monkeypatch):
+    # what is broadcast has a bit for each row, not a row with a name for each text in a bucket
+    sent, real = [], F.broadcast
+
+    def broadcast(df):
+        sent.append((df.columns, df.agg(F.sum(F.length("bits"))).first()[0] if "bits" in df.columns else None))
+        return real(df)
+
+    monkeypatch.setattr(minhash_dedup.F, "broadcast", broadcast)
+    rows = [(k, " ".join(f"{k // 2}w{j}" for j in range(40)) + (" odd" if k % 2 else "")) for k in range(900)] + [(k, f"alone {k}") for k in range(900, 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(df).collect()}
+    assert got == {k: k - k % 2 if k < 900 else k for k in range(1000)}
+    assert [c for c, _ in sent] == [["at", "bits"]] and sent[0][1] <= 1000 / 8 + 7
+
+
+def test_only_wanted_rows_are_read(spark):
+    rows = spark.range(0, 1000, 1, 5).select("id", F.monotonically_increasing_id().alias("row"))
+    wanted = rows.filter("id % 7 = 0 or id > 990 or id in (200, 201)").filter("id < 600 or id >= 800").select(F.col("row").alias("of_row"))
+    got = sorted(r.id for r in minhash_dedup._among(rows, wanted).collect())
+    assert got == [k for k in range(1000) if (k % 7 == 0 or k > 990 or k in (200, 201)) and not 600 <= k < 800]
+    assert minhash_dedup._among(rows, wanted.limit(0)).count() == 0
+
+
+def test_sketch_is_summed_in_small_pieces(spark, monkeypatch):
+    import numpy as np
+
+    texts = [" ".join(f"{k % 30}w{j}" for j in range(60)) for k in range(300)]
+    width = minhash_dedup._width(len(texts))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(9)
+    # the driver reads a partition at a time, never all pieces at once
+    monkeypatch.setattr(type(df), "collect", None)
+    sketch, n = minhash_dedup._sketch(df)
+    monkeypatch.undo()
+    _, h, _ = minhash_dedup.distinct(*minhash_dedup.shingles([t.encode() for t in texts])[:2])
+    assert n == 300 and all((row == np.bincount(c, minlength=width)).all() for row, c in zip(sketch, minhash_dedup._cells(h, width), strict=True))
+    rng = np.random.default_rng(3)
+    for most in (0, 1, 255, 256, 70_000, 1 << 40):
+        counts = rng.integers(0, most + 1, 777).astype(np.uint64)
+        assert (minhash_dedup._unpack(minhash_dedup._pack(counts)) == counts).all()
+    few = rng.poisson(0.1, 1 << 16).astype(np.uint32)
+    assert len(minhash_dedup._pack(few)) < 0.6 * len(zlib.compress(few.astype(np.uint64).tobytes(), 1))
+
+
 def test_consistent_sampling_estimates_similarity():
     import numpy as np
 
