@@ -6,8 +6,8 @@ documents; it is summed over partitions and broadcast. Improved consistent weigh
 ``BANDS * ROWS`` samples, such that two documents agree in a sample with probability equal to their weighted Jaccard
 similarity; bands of samples make buckets, and pairs from a bucket are verified on all their shingles.
 
-Exact copies are gathered first, so a text counts once however often it is repeated. A bucket's members come to a
-task with their shingles, and all pairs of them are verified that are not connected yet; a pair counts in the first
+Exact copies are gathered first, so a text counts once however often it is repeated. Of all texts only the samples are
+stored; those in a bucket with others are read and shingled a second time. A bucket's members come to a task with their shingles, and all pairs of them are verified that are not connected yet; a pair counts in the first
 band that it shares. Buckets of equal members are searched once. Buckets of more than a block are cut into parts:
 members of a part meet each other and the bucket's two leaders, which joins what a large group of copies consists of;
 then every part meets every other, save that members of the largest component do not meet each other. No
@@ -38,6 +38,8 @@ DEPTH, WIDTH_BITS, TABLE = 2, (20, 23), 1 << 16
 BLOCK, BLOCK_SHINGLES, PROMISING = 2048, 2_000_000, 0.5
 #: Pieces that the sketch is summed and read in.
 PIECES = 64
+#: Binary digits of the places of a bitmap of rows, bits of all bitmaps for each document, and bits at most.
+PLACE_BITS, ROW_BITS, MOST_BITS = 16, 16, 1 << 28
 #: Bytes of text shingled at once.
 CHUNK = 1_000_000
 
@@ -392,23 +394,22 @@ def _key_id(key: Column, kind: T.DataType) -> Column:
 
 
 def _bits(key, table):
-    """A bit for each place of a partition's rows, from the lowest of the first byte."""
-    place = table.column("place").to_numpy()
-    flags = np.zeros(place.max() + 1, bool)
-    flags[place] = True
+    """A bit for each of a bitmap's places, from the lowest of the first byte."""
+    flags = np.zeros(1 << PLACE_BITS, bool)
+    flags[table.column("place").to_numpy()] = True
     return pa.table({"at": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
 
-def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``rows`` whose ``row``, a monotonically increasing id, is an ``of_row`` of ``wanted``. ``rows`` is not shuffled, however
-    many are wanted; what is broadcast has a bit for each row, at most."""
-    apart = lambda c: (F.shiftright(c, 33), F.col(c).bitwiseAND(F.lit((1 << 33) - 1)))
-    at, place = apart("of_row")
+def _among(rows: DataFrame, wanted: DataFrame, n_rows: int) -> DataFrame:
+    """Rows whose ``row_key`` may be an ``of_key`` of ``wanted``: all that are, and a small share of others. Rows are not shuffled, however many
+    are wanted; what is broadcast has ``ROW_BITS`` bits for each of ``n_rows``, ``MOST_BITS`` at most."""
+    maps = max(1, min(ROW_BITS * n_rows, MOST_BITS) >> PLACE_BITS)
+    apart = lambda c: (F.pmod(F.shiftright(c, PLACE_BITS), F.lit(maps)), F.col(c).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+    at, place = apart("of_key")
     bits = materialise(wanted.select(at.alias("at"), place.alias("place")).groupBy("at").applyInArrow(_bits, "at long, bits binary"), "icws-bits")
-    at, place = apart("row")
-    byte = F.col("bits").substr(F.floor(place / 8).cast("int") + 1, F.lit(1))
-    # beyond the last bit there is no byte, and so null
-    named = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1
+    at, place = apart("row_key")
+    byte = F.col("bits").substr(F.shiftright(place, 3) + 1, F.lit(1))
+    named = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8))) == 1
     return rows.join(F.broadcast(bits), (at == F.col("at")) & named).drop("at", "bits")
 
 
@@ -419,7 +420,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     alone: in very large groups of copies what they share weighs little, and the weights alone would lose links that
     plain shingles have. Classes are what links connect, and ``class_id`` is the smallest id in it (null if all are). A row is
     kept if it has that id. Case of A-Z and white space make no difference. Null, empty and blank texts have
-    no shingles and are classes of their own. ``row_key`` is a hash of id and text; rows that repeat both share a class.
+    no shingles and are classes of their own. ``df`` is read several times and has to have the same rows each time. ``row_key`` is a hash of id and text; rows that repeat both share a class.
     Ids are integers or strings; nulls come last. An empty table gives an empty result; further columns are not looked at.
     """
     docs = df.select(F.col(quoted(id_col)).alias("doc_id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
@@ -442,21 +443,30 @@ def _classes(docs: DataFrame, similarity: float, plain: bool) -> DataFrame:
                     doc, h, c1, c2 = shingles(some)
                     doc, h, tf = distinct(doc, h)
                     sig = samples(doc, h, np.log(tf.astype(np.float32) * weights.idf(h)), len(some), tables)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(b.column(c).slice(at, len(some)) for c in ("doc_id", "row_key")), _node(c1, c2), pa.array(np.bincount(doc, minlength=len(some))), pa.array([s.tobytes() for s in sig], pa.binary())],
+                        names=["doc_id", "row_key", "node", "n", "sig"],
+                    )
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                for at, some in _chunks(b.column("text")):
+                    doc, h, c1, c2 = shingles(some)
+                    doc, h, tf = distinct(doc, h)
                     edge = np.searchsorted(doc, np.arange(len(some) + 1)).tolist()
                     cuts = list(zip(edge[:-1], edge[1:], strict=True))
                     counts = pa.array([tf[x:y].astype(np.uint32).tobytes() if (tf[x:y] > 1).any() else b"" for x, y in cuts], pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [*(b.column(c).slice(at, len(some)) for c in ("doc_id", "row_key")), _node(c1, c2), pa.array(np.diff(edge)), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array([h[x:y].tobytes() for x, y in cuts], pa.binary()), counts],
-                        names=["doc_id", "row_key", "node", "n", "sig", "h", "tf"],
-                    )
+                    yield pa.RecordBatch.from_arrays([b.column("row_key").slice(at, len(some)), _node(c1, c2), pa.array([h[x:y].tobytes() for x, y in cuts], pa.binary()), counts], names=["row_key", "node", "h", "tf"])
 
-    signed = keyed.select("doc_id", "row_key", "text").mapInArrow(sign, f"doc_id {kind.simpleString()}, row_key long, node binary, n long, sig binary, h binary, tf binary")
-    signed = materialise(signed.withColumn("row", F.monotonically_increasing_id()), "icws-signed")
+    signed = keyed.select("doc_id", "row_key", "text").mapInArrow(sign, f"doc_id {kind.simpleString()}, row_key long, node binary, n long, sig binary")
+    signed = materialise(signed, "icws-signed")
     rows = materialise(signed.select("doc_id", "row_key", "node", "n"), "icws-rows")
-    # a text is read in one row that has it, whichever
-    texts = signed.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("of_row"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # a text is read again in the rows of one key that have it, whichever
+    texts = signed.filter(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("of_key"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     texts = materialise(texts, "icws-texts")
-    names = materialise(texts.select("node", "of_row", _id_key(F.col("least"), F.col("node"), kind).alias("name")), "icws-names")
+    release(signed)
+    names = materialise(texts.select("node", _id_key(F.col("least"), F.col("node"), kind).alias("name")), "icws-names")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -466,7 +476,6 @@ def _classes(docs: DataFrame, similarity: float, plain: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(b))), b.column("node").take(at), b.column("n").take(at)], names=["bucket", "band", "node", "n"])
 
     banded = materialise(texts.select("node", "n", "sig").mapInArrow(bands, "bucket long, band int, node binary, n long"), "icws-bands")
-    release(texts)
     a_set = [F.xxhash64("node").alias("x"), F.xxhash64(F.lit("second"), "node").alias("y")]
     buckets = banded.select("*", *a_set).groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("node").alias("lead"), F.max("node").alias("other"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter(F.col("size") > 1)
     # of buckets with the same members the first; what two texts share first is always among these
@@ -475,13 +484,17 @@ def _classes(docs: DataFrame, similarity: float, plain: bool) -> DataFrame:
     buckets = materialise(buckets.select("first.bucket", "size", "lead", "other", pieces.alias("pieces")), "icws-buckets")
     members = materialise(banded.select("bucket", "band", "node").join(buckets, "bucket"), "icws-members")
     release(banded)
-    wanted = materialise(members.select("node").distinct().join(names, "node"), "icws-wanted")
-    packed = materialise(_among(signed.select("row", "node", "sig", "h", "tf"), wanted).drop("row"), "icws-shingles")
-    release(signed)
+    wanted = members.select("node").distinct().join(texts, "node").select("node", "of_key", _id_key(F.col("least"), F.col("node"), kind).alias("name"), "sig")
+    wanted = materialise(wanted, "icws-wanted")
+    release(texts)
+    spelled = _among(keyed.select("row_key", "text"), wanted, n_docs).mapInArrow(spell, "row_key long, node binary, h binary, tf binary")
+    # rows that repeat both id and text are alike
+    packed = spelled.join(wanted.withColumnRenamed("of_key", "row_key"), ["node", "row_key"]).dropDuplicates(["node"])
+    packed = materialise(packed.select("node", "name", "sig", "h", "tf"), "icws-shingles")
 
     def search(groups: DataFrame) -> DataFrame:
         """``a, b``: links within each group, by names."""
-        rows = groups.join(wanted.select("node", "name"), "node").join(packed, "node").select(*_GROUP, "band", "component", "part", "big", F.col("name").alias("node"), "sig", "h", "tf")
+        rows = groups.join(packed, "node").select(*_GROUP, "band", "component", "part", "big", F.col("name").alias("node"), "sig", "h", "tf")
         return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_searched(shared, similarity, plain), "a binary, b binary")
 
     no = F.lit(False)

@@ -641,7 +641,7 @@ def test_string_ids_name_classes(spark):
 
 
 def test_driver_holds_little_however_many_texts_are_read(spark, monkeypatch):
-    # what is broadcast has a bit for each row, not a row with a name for each text in a bucket
+    # what is broadcast has a few bits for each row, not a row with a name for each text in a bucket
     sent, real = [], F.broadcast
 
     def broadcast(df):
@@ -653,15 +653,35 @@ def test_driver_holds_little_however_many_texts_are_read(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = {r.doc_id: r.class_id for r in minhash_dedup.classes(df).collect()}
     assert got == {k: k - k % 2 if k < 900 else k for k in range(1000)}
-    assert [c for c, _ in sent] == [["at", "bits"]] and sent[0][1] <= 1000 / 8 + 7
+    assert [c for c, _ in sent] == [["at", "bits"]] and sent[0][1] <= 8192
 
 
-def test_only_wanted_rows_are_read(spark):
-    rows = spark.range(0, 1000, 1, 5).select("id", F.monotonically_increasing_id().alias("row"))
-    wanted = rows.filter("id % 7 = 0 or id > 990 or id in (200, 201)").filter("id < 600 or id >= 800").select(F.col("row").alias("of_row"))
-    got = sorted(r.id for r in minhash_dedup._among(rows, wanted).collect())
-    assert got == [k for k in range(1000) if (k % 7 == 0 or k > 990 or k in (200, 201)) and not 600 <= k < 800]
-    assert minhash_dedup._among(rows, wanted.limit(0)).count() == 0
+def test_wanted_rows_are_read_and_few_others(spark):
+    rows = spark.range(0, 20_000, 1, 5).withColumn("row_key", F.xxhash64("id"))
+    wanted = rows.filter("id % 7 = 0").select(F.col("row_key").alias("of_key"))
+    got = {r.id for r in minhash_dedup._among(rows, wanted, 20_000).collect()}
+    others = sum(k % 7 > 0 for k in got)
+    assert {k for k in range(20_000) if k % 7 == 0} <= got and others < 0.03 * 20_000
+    assert minhash_dedup._among(rows, wanted.limit(0), 20_000).count() == 0
+
+
+def test_shingles_of_texts_without_partner_are_not_stored(spark, monkeypatch):
+    written, real = {}, minhash_dedup.materialise
+
+    def materialise(df, label):
+        out = real(df, label)
+        written[label] = (out.columns, out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "materialise", materialise)
+    alone = [(k, " ".join(f"{k}w{j}" for j in range(300))) for k in range(400)]
+    # copies, rows that repeat id and text, one id with two texts, and near copies
+    rows = [*alone, (1000, alone[3][1]), (7, alone[7][1]), (7, alone[7][1] + " odd"), (2000, alone[9][1] + " end"), (None, alone[9][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.kept) for r in minhash_dedup.classes(df).collect())
+    assert got == Counter([(k, k, True) for k in range(400)] + [(1000, 3, False), (7, 7, True), (7, 7, True), (2000, 9, False), (None, 9, False)])
+    assert [label for label, (columns, _) in written.items() if "h" in columns] == ["icws-shingles"]
+    assert written["icws-shingles"][1] == 4
 
 
 def test_sketch_is_summed_in_small_pieces(spark, monkeypatch):
