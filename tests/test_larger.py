@@ -18,6 +18,6 @@ def parts(folder, rows):
 ON_THE_LINE = [(181505, 49), (374363, 14), (711458, 34), (5, 3), (6, 12)]
 
 
-@pytest.mark.parametrize("name", ["crossing_relations"])
+@pytest.mark.parametrize("name", ["crossing_relations", "line_intersection"])
 def test_lines_that_coincide_do_not_cross(spark, tmp_path, name):
     agree(geometry.QUERIES[name](spark, parts(tmp_path, ON_THE_LINE)), geometry.ORACLES[name], str(tmp_path))
