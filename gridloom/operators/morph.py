@@ -156,25 +156,25 @@ def looks_like(bits: DataFrame, frames: DataFrame, ideal: DataFrame, share: int,
     ``frames`` are ``image_id, w, h``; the parts may weigh w * h / ``share`` together.
     """
     score = shapes.thin_difference(bits, ideal, width)
-    return frames.join(score, "image_id", "left").select("image_id", (F.coalesce("score", F.lit(0)) <= F.floor(F.col("w") * F.col("h") / share)).alias("alike"))
+    return frames.join(score.hint("merge"), "image_id", "left").select("image_id", (F.coalesce("score", F.lit(0)) <= F.floor(F.col("w") * F.col("h") / share)).alias("alike"))
 
 
 def is_ellipse(bits: DataFrame, frames: DataFrame, width: int) -> DataFrame:
     """``image_id, ellipse, circle``: by the ideal ellipse of the frame; small frames and set corners rule it out."""
     alike = looks_like(bits, frames, shapes.ellipses(frames), 2, width)
     corner = F.col("x").isin(0) | (F.col("x") == F.col("w") - 1)
-    corners = bits.join(frames, "image_id").filter(corner & ((F.col("y") == 0) | (F.col("y") == F.col("h") - 1))).groupBy("image_id").agg(F.count(F.lit(1)).alias("corners"))
+    corners = bits.join(frames.hint("merge"), "image_id").filter(corner & ((F.col("y") == 0) | (F.col("y") == F.col("h") - 1))).groupBy("image_id").agg(F.count(F.lit(1)).alias("corners"))
     fine = F.col("alike") & ((F.col("w") > 4) | (F.col("h") > 4)) & (F.coalesce("corners", F.lit(0)) <= 1)
     near = F.greatest("w", "h") - F.least("w", "h") <= F.floor(F.greatest("w", "h") / 4)
-    return alike.join(frames, "image_id").join(corners, "image_id", "left").select("image_id", fine.alias("ellipse"), (fine & near).alias("circle"))
+    return alike.join(frames.hint("merge"), "image_id").join(corners.hint("merge"), "image_id", "left").select("image_id", fine.alias("ellipse"), (fine & near).alias("circle"))
 
 
 def is_isosceles(bits: DataFrame, frames: DataFrame, width: int) -> DataFrame:
     """``image_id, isosceles``: by the triangle from the frame's foot to the middle of its top."""
     w, h = F.col("w"), F.col("h")
     zero = F.lit(0).cast("long")
-    ideal = shapes.triangles(frames.select("image_id", zero.alias("ax"), h.alias("ay"), F.floor(w / 2).alias("bx"), zero.alias("by"), w.alias("cx"), h.alias("cy"))).join(frames, "image_id").filter((F.col("x") < w) & (F.col("y") < h))
-    return looks_like(bits, frames, ideal.select(PIXEL), 3, width).join(frames, "image_id").select("image_id", (F.col("alike") & ((w >= 3) | (h >= 3))).alias("isosceles"))
+    ideal = shapes.triangles(frames.select("image_id", zero.alias("ax"), h.alias("ay"), F.floor(w / 2).alias("bx"), zero.alias("by"), w.alias("cx"), h.alias("cy"))).join(frames.hint("merge"), "image_id").filter((F.col("x") < w) & (F.col("y") < h))
+    return looks_like(bits, frames, ideal.select(PIXEL), 3, width).join(frames.hint("merge"), "image_id").select("image_id", (F.col("alike") & ((w >= 3) | (h >= 3))).alias("isosceles"))
 
 
 def quadrilateral_of(pixels: set, tolerance: float) -> list[tuple[int, int]] | None:
@@ -199,10 +199,10 @@ def is_quadrilateral(bits: DataFrame, frames: DataFrame, width: int) -> DataFram
         corners = quadrilateral_of({(x, y) for x, y, _, _ in rows}, float(min(rows[0][2:])))
         return [tuple(v for p in corners for v in p)] if corners else []
 
-    found = per_object(bits.join(frames, "image_id"), "image_id", work, ["x", "y", "w", "h"], ", ".join(f"{c}{k} long" for k in range(4) for c in "xy"))
+    found = per_object(bits.join(frames.hint("merge"), "image_id"), "image_id", work, ["x", "y", "w", "h"], ", ".join(f"{c}{k} long" for k in range(4) for c in "xy"))
     corner = lambda *ks: [F.col(f"{c}{k}").alias(f"{n}{c}") for n, k in zip("abc", ks, strict=True) for c in "xy"]
     halves = found.select("image_id", *corner(0, 1, 2)).unionAll(found.select("image_id", *corner(0, 2, 3)))
-    ideal = shapes.triangles(halves).join(frames, "image_id").filter((F.col("x") >= 0) & (F.col("x") < F.col("w")) & (F.col("y") >= 0) & (F.col("y") < F.col("h")))
+    ideal = shapes.triangles(halves).join(frames.hint("merge"), "image_id").filter((F.col("x") >= 0) & (F.col("x") < F.col("w")) & (F.col("y") >= 0) & (F.col("y") < F.col("h")))
     alike = looks_like(bits, frames, ideal.select(PIXEL).distinct(), 6, width)
     known = found.select("image_id", F.lit(True).alias("known"))
-    return alike.join(known, "image_id", "left").select("image_id", F.when(F.col("known"), F.col("alike")).alias("quadrilateral"))
+    return alike.join(known.hint("merge"), "image_id", "left").select("image_id", F.when(F.col("known"), F.col("alike")).alias("quadrilateral"))

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from oracle import agree
 
+from gridloom.operators import morph, shapes
 from gridloom.plans import elements, geometry  # noqa: F401
 
 
@@ -21,3 +22,18 @@ ON_THE_LINE = [(181505, 49), (374363, 14), (711458, 34), (5, 3), (6, 12)]
 @pytest.mark.parametrize("name", ["crossing_relations", "line_intersection"])
 def test_lines_that_coincide_do_not_cross(spark, tmp_path, name):
     agree(geometry.QUERIES[name](spark, parts(tmp_path, ON_THE_LINE)), geometry.ORACLES[name], str(tmp_path))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def frames(spark, n):
+    return spark.range(n).selectExpr("id AS image_id", "5 + id % 7 AS w", "6 + id % 5 AS h", "id % 4 AS radius")
+
+
+def test_recognised_pixels_are_not_broadcast(spark):
+    f = frames(spark, 30)
+    ellipse, triangle = morph.is_ellipse(shapes.ellipses(f), f.select("image_id", "w", "h"), 64), morph.is_isosceles(shapes.rounded_rects(f), f.select("image_id", "w", "h"), 64)
+    assert "BroadcastExchange" not in plan(ellipse) and "BroadcastExchange" not in plan(triangle)
+    assert ellipse.count() == triangle.count() == 30
