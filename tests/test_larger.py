@@ -1,12 +1,16 @@
 """What only larger tables show, on small ones made for it."""
 
 import duckdb
+import numpy as np
 import pytest
 from oracle import agree
 
-from gridloom.operators import morph, shapes
+from gridloom.operators import morph, shapes, spatial
+from gridloom.operators.components import connected_components
 from gridloom.plans import elements, geometry  # noqa: F401
 
+QUERIES = geometry.QUERIES  # to which elements adds its own
+
 
 def parts(folder, rows):
     """A star schema that holds nothing but parts: rows of key and size."""
@@ -21,7 +25,7 @@ ON_THE_LINE = [(181505, 49), (374363, 14), (711458, 34), (5, 3), (6, 12)]
 
 @pytest.mark.parametrize("name", ["crossing_relations", "line_intersection"])
 def test_lines_that_coincide_do_not_cross(spark, tmp_path, name):
-    agree(geometry.QUERIES[name](spark, parts(tmp_path, ON_THE_LINE)), geometry.ORACLES[name], str(tmp_path))
+    agree(QUERIES[name](spark, parts(tmp_path, ON_THE_LINE)), geometry.ORACLES[name], str(tmp_path))
 
 
 def plan(df):
@@ -37,3 +41,44 @@ def test_recognised_pixels_are_not_broadcast(spark):
     ellipse, triangle = morph.is_ellipse(shapes.ellipses(f), f.select("image_id", "w", "h"), 64), morph.is_isosceles(shapes.rounded_rects(f), f.select("image_id", "w", "h"), 64)
     assert "BroadcastExchange" not in plan(ellipse) and "BroadcastExchange" not in plan(triangle)
     assert ellipse.count() == triangle.count() == 30
+
+
+def groups_by_pairs(df, expand, tile):
+    found = connected_components(spatial.overlap_pairs(df, "rect_id", expand, tile))
+    return df.selectExpr("rect_id AS id").join(found, "id", "left").selectExpr("id", "coalesce(component, id) AS component")
+
+
+def test_overlap_groups_of_a_crowd_form_no_pairs(spark, monkeypatch):
+    """Rectangles of many sizes, some of them lines, points or empty, in tiles that many share; the old way gives the same groups."""
+    df = spark.range(700).selectExpr("id + 5 AS rect_id", "id * 37 % 397 - 50 AS l", "id * 91 % 409 - 50 AS t").selectExpr("*", "l + rect_id * 7 % 19 AS r", "t + rect_id * 5 % 13 - 1 AS b")
+    want = sorted(map(tuple, groups_by_pairs(df, 1, 16).collect()))
+    monkeypatch.setattr(spatial, "overlap_pairs", None)
+    assert sorted(map(tuple, spatial.overlap_groups(df, expand=1, tile=16).collect())) == want
+    assert 1 < len({c for _, c in want}) < 700
+    crowd = spark.range(30_000).selectExpr("id AS rect_id", "id % 3 AS l", "id % 2 AS t", "id % 3 + 9 AS r", "id % 2 + 9 AS b")
+    assert {r.component for r in spatial.overlap_groups(crowd).collect()} == {0}
+
+
+@pytest.mark.parametrize("name", ["disjoint_group_items"])
+def test_groups_of_rectangles_form_no_pairs(spark, monkeypatch, tmp_path, name):
+    folder = parts(tmp_path, [(20_000 * k + j, j % 50) for k in range(4) for j in range(40)])
+    monkeypatch.setattr(spatial, "overlap_pairs", None)
+    agree(QUERIES[name](spark, folder), geometry.ORACLES[name], folder)
+
+
+def test_a_tile_cut_into_strips(monkeypatch):
+    n = np.arange(60)
+    box = np.stack([n * 37 % 41, n * 29 % 43, n * 37 % 41 + n % 7, n * 29 % 43 + n % 5], 1)
+
+    def groups(a, b):
+        root = {i: i for i in n}
+        for _ in n:
+            for x, y in zip(a, b, strict=True):
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    pairs = [(i, j) for i in n for j in n if (np.maximum(box[i, :2], box[j, :2]) <= np.minimum(box[i, 2:], box[j, 2:])).all()]
+    want = groups(*zip(*pairs, strict=True))
+    for cells in (1, 90, 1 << 22):
+        monkeypatch.setattr(spatial, "GRID_CELLS", cells)
+        assert groups(*spatial._touching(n, box)) == want
