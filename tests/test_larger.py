@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
-from oracle import agree
+from oracle import SF, agree
 
 from gridloom.operators import morph, shapes, spatial
 from gridloom.operators.components import connected_components
@@ -82,3 +82,20 @@ def test_a_tile_cut_into_strips(monkeypatch):
     for cells in (1, 90, 1 << 22):
         monkeypatch.setattr(spatial, "GRID_CELLS", cells)
         assert groups(*spatial._touching(n, box)) == want
+
+
+@pytest.mark.parametrize("side", [1, 4, 64])
+def test_codes_are_those_of_their_layers(spark, side):
+    """Some images are full, some sparse, one has a pixel outside of the frame."""
+    bits = spark.range(3 * side * side).selectExpr("id % 3 AS image_id", f"id div 3 % {side} AS x", f"id div 3 div {side} AS y").filter("image_id = 0 OR (x * 7 + y * y + image_id) % (image_id * 3) < 2 OR y = 0")
+    bits = bits.unionAll(spark.createDataFrame([(1, side, 0)], "image_id long, x long, y long"))
+    by_layers = shapes.code_bits(shapes.code_layers(bits, side), side)
+    assert dict(map(tuple, shapes.codes(bits, side).collect())) == dict(map(tuple, by_layers.collect()))
+    assert "BroadcastExchange" not in plan(shapes.codes(bits, side))
+
+
+@pytest.mark.parametrize("name", ["shapecode_hex"])
+def test_shape_codes_broadcast_no_cells(spark, monkeypatch, name):
+    """Cells of layers are as many as pixels; their size is taken for that of the images."""
+    monkeypatch.setattr(shapes, "code_layers", None)
+    assert QUERIES[name](spark, SF).count() > 0
