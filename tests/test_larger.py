@@ -94,7 +94,7 @@ def test_codes_are_those_of_their_layers(spark, side):
     assert "BroadcastExchange" not in plan(shapes.codes(bits, side))
 
 
-@pytest.mark.parametrize("name", ["shapecode_hex", "shapecode_decode", "shapecode_distance", "shapecode_from_hex"])
+@pytest.mark.parametrize("name", ["shapecode_hex", "shapecode_decode", "shapecode_distance", "shapecode_from_hex", "shapecode_topk"])
 def test_shape_codes_broadcast_no_cells(spark, monkeypatch, name):
     """Cells of layers are as many as pixels; their size is taken for that of the images."""
     monkeypatch.setattr(shapes, "code_layers", None)
