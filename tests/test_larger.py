@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from oracle import SF, agree
 
+from gridloom.functions.rects import Rect
 from gridloom.operators import morph, shapes, spatial
 from gridloom.operators.components import connected_components
 from gridloom.plans import elements, geometry  # noqa: F401
@@ -99,3 +100,14 @@ def test_shape_codes_broadcast_no_cells(spark, monkeypatch, name):
     """Cells of layers are as many as pixels; their size is taken for that of the images."""
     monkeypatch.setattr(shapes, "code_layers", None)
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_outline_pairs_are_not_shuffled(spark):
+    """Outlines of up to seven tiles a side, some of them within others, meet as often as counting says."""
+    df = spark.range(90).selectExpr("id AS rect_id", "id * 37 % 90 AS l", "id * 53 % 80 AS t").selectExpr("*", "l + rect_id * rect_id % 67 AS r", "t + rect_id * 29 % 61 AS b")
+    tiles = spatial.TileMap(100, 100, 10)
+    placed = tiles.of_outline(df, Rect.of()).select("tile", "rect_id")
+    counted = placed.withColumnRenamed("rect_id", "a").join(placed.withColumnRenamed("rect_id", "b"), "tile").filter("a < b").groupBy("a", "b").count()
+    found = tiles.outline_pairs(df)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, counted.collect()))
+    assert "Aggregate" not in plan(found)
