@@ -60,7 +60,7 @@ def test_overlap_groups_of_a_crowd_form_no_pairs(spark, monkeypatch):
     assert {r.component for r in spatial.overlap_groups(crowd).collect()} == {0}
 
 
-@pytest.mark.parametrize("name", ["disjoint_group_items", "rect_merge_expand"])
+@pytest.mark.parametrize("name", ["disjoint_group_items", "rect_merge_expand", "disjoint_count_sets"])
 def test_groups_of_rectangles_form_no_pairs(spark, monkeypatch, tmp_path, name):
     folder = parts(tmp_path, [(20_000 * k + j, j % 50) for k in range(4) for j in range(40)])
     monkeypatch.setattr(spatial, "overlap_pairs", None)
