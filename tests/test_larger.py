@@ -44,6 +44,11 @@ def test_recognised_pixels_are_not_broadcast(spark):
     assert ellipse.count() == triangle.count() == 30
 
 
+def test_quadrilateral_pixels_are_not_broadcast(spark):
+    f = frames(spark, 12)
+    assert "BroadcastExchange" not in plan(morph.is_quadrilateral(shapes.ellipses(f), f.select("image_id", "w", "h"), 64))
+
+
 def groups_by_pairs(df, expand, tile):
     found = connected_components(spatial.overlap_pairs(df, "rect_id", expand, tile))
     return df.selectExpr("rect_id AS id").join(found, "id", "left").selectExpr("id", "coalesce(component, id) AS component")
