@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from gridloom.operators import bitmaps, shapes
 from gridloom.operators.bitmaps import EIGHT, PIXEL
 from gridloom.operators.paths import compound, per_object, reduce_closed
+from gridloom.scratch import materialise
 
 #: Directions of runs: the key that is constant along a run, and the place that grows. In this order ties are decided.
 _DIRECTIONS = (("y", "x"), ("x", "y"), ("x + y", "x"), ("x - y", "x"))
@@ -199,7 +200,8 @@ def is_quadrilateral(bits: DataFrame, frames: DataFrame, width: int) -> DataFram
         corners = quadrilateral_of({(x, y) for x, y, _, _ in rows}, float(min(rows[0][2:])))
         return [tuple(v for p in corners for v in p)] if corners else []
 
-    found = per_object(bits.join(frames.hint("merge"), "image_id"), "image_id", work, ["x", "y", "w", "h"], ", ".join(f"{c}{k} long" for k in range(4) for c in "xy"))
+    # stored, as it is read three times and outlines are followed in Python
+    found = materialise(per_object(bits.join(frames.hint("merge"), "image_id"), "image_id", work, ["x", "y", "w", "h"], ", ".join(f"{c}{k} long" for k in range(4) for c in "xy")), "corners")
     corner = lambda *ks: [F.col(f"{c}{k}").alias(f"{n}{c}") for n, k in zip("abc", ks, strict=True) for c in "xy"]
     halves = found.select("image_id", *corner(0, 1, 2)).unionAll(found.select("image_id", *corner(0, 2, 3)))
     ideal = shapes.triangles(halves).join(frames.hint("merge"), "image_id").filter((F.col("x") >= 0) & (F.col("x") < F.col("w")) & (F.col("y") >= 0) & (F.col("y") < F.col("h")))

@@ -49,6 +49,13 @@ def test_quadrilateral_pixels_are_not_broadcast(spark):
     assert "BroadcastExchange" not in plan(morph.is_quadrilateral(shapes.ellipses(f), f.select("image_id", "w", "h"), 64))
 
 
+def test_quadrilateral_outlines_are_followed_once(spark):
+    f = frames(spark, 12)
+    found = morph.is_quadrilateral(shapes.ellipses(f), f.select("image_id", "w", "h"), 64)
+    assert "MapInArrow" not in plan(found)
+    assert found.count() == 12
+
+
 def groups_by_pairs(df, expand, tile):
     found = connected_components(spatial.overlap_pairs(df, "rect_id", expand, tile))
     return df.selectExpr("rect_id AS id").join(found, "id", "left").selectExpr("id", "coalesce(component, id) AS component")
